@@ -1,28 +1,25 @@
-"""Calendar columns."""
+"""Calendar rules as SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from tillwright.fixed_values import CENTURY_PIVOT_YEAR, REPORT_DATE_FORMAT
 
 
-def report_date(c: Column) -> Column:
+def report_date(column: str) -> str:
     """Two-digit-year text to DATE; unreadable text becomes null, years 69-99 are 19xx."""
-    parsed = F.try_to_date(c, REPORT_DATE_FORMAT)
-    return F.when(F.year(parsed) >= CENTURY_PIVOT_YEAR, F.add_months(parsed, -1200)).otherwise(parsed)
+    parsed = f"try_to_date({column}, '{REPORT_DATE_FORMAT}')"
+    return f"CASE WHEN year({parsed}) >= {CENTURY_PIVOT_YEAR} THEN add_months({parsed}, -1200) ELSE {parsed} END"
 
 
-def month_name(d: Column) -> Column:
-    return F.date_format(d, "MMM yyyy")
+def month_name(date: str) -> str:
+    return f"date_format({date}, 'MMM yyyy')"
 
 
-def weekday_name(d: Column) -> Column:
-    return F.date_format(d, "EEEE")
+def weekday_name(date: str) -> str:
+    return f"date_format({date}, 'EEEE')"
 
 
-def year_week(d: Column, iso_year: bool = False) -> Column:
+def year_week(date: str, iso_year: bool = False) -> str:
     """Calendar year + ISO week (so 2022-01-01 is 2022-W52); ``iso_year`` pairs the week with its own year."""
-    year = F.extract(F.lit("YEAROFWEEK"), d) if iso_year else F.year(d)
-    return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-W"), F.lpad(F.weekofyear(d).cast("string"), 2, "0"))
+    year = f"extract(YEAROFWEEK FROM {date})" if iso_year else f"year({date})"
+    return f"concat(lpad({year}, 4, '0'), '-W', lpad(weekofyear({date}), 2, '0'))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,8 @@ from tillwright.fixed_values import (
     NO_PROMOTION,
     PLATFORM_FULFILMENT,
     SHIPPED_PREFIX,
-    STATE_ALIASES,
     UNKNOWN_COURIER,
+    UNKNOWN_PLACE,
 )
 from tillwright.functions import calendar, text
 from tillwright.schema import DERIVED_FROM, SalesSchema
@@ -41,66 +41,63 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in floats})
 
 
-def clean_roles(df: DataFrame) -> DataFrame:
-    """Clean the text and date roles that are present."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    c = F.col
-    rules: dict[str, Column] = {}
-    if "date" in kinds:
-        rules["date"] = calendar.report_date(c("date")) if isinstance(kinds["date"], T.StringType) else c("date").cast("date")
-    if "state" in kinds:
-        rules["state"] = text.place(c("state"))
-    if "city" in kinds:
-        rules["city"] = text.place(c("city"))
-    if "courier_status" in kinds:
-        rules["courier_status"] = F.coalesce("courier_status", F.lit(UNKNOWN_COURIER))
-    if "promotion_ids" in kinds:
-        rules["promotion_ids"] = F.coalesce("promotion_ids", F.lit(NO_PROMOTION))
-    if "currency" in kinds:
-        rules["currency"] = F.coalesce("currency", F.lit(DEFAULT_CURRENCY))
-    if {"fulfilled_by", "fulfilment"} <= kinds.keys():
-        by_platform = F.when(c("fulfilment") == PLATFORM_FULFILMENT, FULFILLED_BY_PLATFORM).otherwise(FULFILLED_BY_SELLER)
-        rules["fulfilled_by"] = F.coalesce("fulfilled_by", by_platform)
-    cleaned = df.withColumns(rules) if rules else df
-    return cleaned.replace(STATE_ALIASES, subset=["state"]) if "state" in kinds else cleaned
+def _with(df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Replace or add columns given as SQL."""
+    if not rules:
+        return df
+    kept = [f"`{c}`" for c in df.columns if c not in rules]
+    return df.selectExpr(*kept, *[f"{rule} AS {name}" for name, rule in rules.items()])
+
+
+def clean_roles(df: DataFrame, tidy_places: bool = False) -> DataFrame:
+    """Clean the text and date roles that are present; ``tidy_places`` only need their gaps filled."""
+    kinds = dict(df.dtypes)
+    by_platform = f"CASE WHEN fulfilment = '{PLATFORM_FULFILMENT}' THEN '{FULFILLED_BY_PLATFORM}' ELSE '{FULFILLED_BY_SELLER}' END"
+    rules = {
+        "date": calendar.report_date("date") if kinds.get("date") == "string" else "CAST(date AS DATE)",
+        "state": f"coalesce(state, '{UNKNOWN_PLACE}')" if tidy_places else text.state("state"),
+        "city": f"coalesce(city, '{UNKNOWN_PLACE}')" if tidy_places else text.place("city"),
+        "courier_status": f"coalesce(courier_status, '{UNKNOWN_COURIER}')",
+        "promotion_ids": f"coalesce(promotion_ids, '{NO_PROMOTION}')",
+        "currency": f"coalesce(currency, '{DEFAULT_CURRENCY}')",
+        "fulfilled_by": f"coalesce(fulfilled_by, {by_platform})",
+    }
+    return _with(df, {role: rule for role, rule in rules.items() if role in kinds})
 
 
 def add_derived(df: DataFrame) -> DataFrame:
     """Calendar columns and 0/1 flags for the roles that are present."""
-    c = F.col
-    derived = {
-        "month": F.month("date"),
-        "month_name": calendar.month_name(c("date")),
-        "week": F.weekofyear("date"),
-        "day_of_week": calendar.weekday_name(c("date")),
-        "is_cancelled": text.has_prefix(c("status"), CANCELLED_PREFIX),
-        "is_shipped": text.has_prefix(c("status"), SHIPPED_PREFIX),
-        "is_b2b": c("b2b").cast("int"),
+    rules = {
+        "month": "month(date)",
+        "month_name": calendar.month_name("date"),
+        "week": "weekofyear(date)",
+        "day_of_week": calendar.weekday_name("date"),
+        "is_cancelled": text.has_prefix("status", CANCELLED_PREFIX),
+        "is_shipped": text.has_prefix("status", SHIPPED_PREFIX),
+        "is_b2b": "CAST(b2b AS INT)",
     }
     present = set(df.columns)
-    return df.withColumns({name: rule for name, rule in derived.items() if DERIVED_FROM[name] in present})
+    return _with(df, {name: rule for name, rule in rules.items() if DERIVED_FROM[name] in present})
 
 
 def add_measures(df: DataFrame) -> DataFrame:
-    """Line-level measures from ``order_id``, ``qty`` and ``amount``."""
-    c = F.col
-    sold = c("qty") > 0
-    revenue = F.when(c("amount").isNotNull() & sold, c("amount"))
-    earning = F.coalesce(revenue > 0, F.lit(False))
-    return df.withColumns(
-        {
-            "lines": F.lit(1).cast("long"),
-            "orders": c("order_id").isNotNull().cast("long"),
-            "qty": c("qty").cast("long"),
-            "units": F.when(sold, c("qty").cast("long")),
-            "revenue": revenue,
-            "priced": revenue.isNotNull().cast("long"),
-            "earned": F.when(earning, revenue),
-            "earning_lines": earning.cast("long"),
-            "earning_orders": (earning & c("order_id").isNotNull()).cast("long"),
-            "earning_qty": F.when(earning, c("qty").cast("long")),
-        }
-    )
+    """Line-level measures from ``order_id``, ``qty`` and ``amount``, and the ``kind`` of line.
+
+    Sums over lines of one kind fall into the same row classes as the lines themselves.
+    """
+    priced = _with(df, {"qty": "CAST(qty AS BIGINT)", "revenue": "CASE WHEN qty > 0 THEN amount END"})
+    measures = {
+        "lines": "1L",
+        "orders": "CAST(order_id IS NOT NULL AS BIGINT)",
+        "units": "CASE WHEN qty > 0 THEN qty END",
+        "priced": "CAST(revenue IS NOT NULL AS BIGINT)",
+        "earned": "CASE WHEN revenue > 0 THEN revenue END",
+        "earning_lines": "CASE WHEN revenue > 0 THEN 1L ELSE 0L END",
+        "earning_orders": "CASE WHEN revenue > 0 AND order_id IS NOT NULL THEN 1L ELSE 0L END",
+        "earning_qty": "CASE WHEN revenue > 0 THEN qty END",
+        "kind": "CASE WHEN revenue > 0 THEN 'earning' WHEN revenue IS NOT NULL THEN 'priced' WHEN qty > 0 THEN 'sold' ELSE 'unsold' END",
+    }
+    return _with(priced, measures)
 
 
 def clean(raw: DataFrame, schema: SalesSchema) -> DataFrame:

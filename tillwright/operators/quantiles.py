@@ -1,10 +1,10 @@
-"""Exact quantiles by radix selection.
+"""Exact quantiles by digit-wise selection.
 
-Sorting or counting all values in one task does not scale, and sketches are not exact. Here each
-value is a 64-bit integer read as three digits of 21 bits. One narrow pass per digit counts the rows
-per digit value, and the running counts say which digit value holds each wanted rank; the next pass
-looks only at rows that share the digits found so far. A pass shuffles counts, never rows, and at
-most 2^21 of them per wanted rank whatever the number of rows.
+Sorting or counting all values in one task does not scale, and sketches are not exact. Here values
+are integers, written with three digits in a base close to the cube root of their range. One narrow
+pass per digit counts the rows per digit value, and the running counts say which digit values hold
+the wanted ranks; the next pass looks only at rows that share the digits found so far. A pass
+shuffles counts, not rows: at most about 2^21 of them per wanted rank, however many rows there are.
 """
 
 from __future__ import annotations
@@ -14,70 +14,73 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGIT_BITS = 21
+DIGITS = ("d1", "d2", "d3")
 
 
 def scaled_values(df: DataFrame, scales: Mapping[str, int]) -> DataFrame:
     """Long form ``(column, value)`` of exact numbers as integers in units of 10^-scale; nulls left out."""
-    pairs = [
-        F.struct(F.lit(name).alias("column"), (F.col(name) * 10**scale if scale else F.col(name)).cast("long").alias("value"))
-        for name, scale in scales.items()
-    ]
-    return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    units = [(F.col(name) * 10**scale if scale else F.col(name)).cast("long").alias(name) for name, scale in scales.items()]
+    return df.select(*units).unpivot([], list(scales), "column", "value").where(F.col("value").isNotNull())
 
 
-def _locate(counts: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Keep, per group, the digit values that hold a wanted rank; ranks become relative to them."""
-    running = Window.partitionBy(*group).orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+def _ranks(rows: Column, probs: Mapping[str, float]) -> Column:
+    """The ranks around every wanted quantile."""
+    wanted = []
+    for name, p in probs.items():
+        position = F.lit(p) * (rows - 1)
+        for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
+            wanted.append(F.struct(rank.alias("rank"), F.lit(name).alias("prob"), F.lit(side).alias("side")))
+    return F.array(*wanted)
+
+
+def _locate(counts: DataFrame, group: Sequence[str], digit: str) -> DataFrame:
+    """Keep the digit values that hold a wanted rank; ranks become relative to them."""
+    running = Window.partitionBy(*group).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(running), F.lit(0))
     inside = F.filter("ranks", lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("n")))
-    relative = F.transform(inside, lambda r: F.struct((r["rank"] - F.col("before")).alias("rank"), r["prob"].alias("prob"), r["side"].alias("side")))
-    return placed.withColumn("ranks", relative).where(F.size("ranks") > 0)
+    shifted = F.transform(
+        inside, lambda r: F.struct((r["rank"] - F.col("before")).alias("rank"), r["prob"].alias("prob"), r["side"].alias("side"))
+    )
+    placed = counts.withColumn("before", before).withColumn("ranks", shifted)
+    return placed.where(F.size("ranks") > 0).select(*group, digit, "ranks")
 
 
 def exact_quantiles(values: DataFrame, scales: Mapping[str, int], probs: Mapping[str, float]) -> DataFrame:
-    """One row per column with linearly interpolated quantiles named by ``probs``, and the row count ``n``.
+    """One row per column with linearly interpolated quantiles named by ``probs``.
 
-    ``values`` is the output of ``scaled_values``. The selection state is at most two ranks per
-    column and quantile, which is what is broadcast.
+    ``values`` is the output of ``scaled_values``. What is broadcast is one row per column, and two
+    ranks per column and quantile.
     """
-    high, mid = 2 * DIGIT_BITS, DIGIT_BITS
-    first = values.groupBy("column", F.shiftright("value", high).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
-    whole = F.sum("n").over(Window.partitionBy("column"))
-
-    def wanted(rows: Column) -> Column:
-        ranks = []
-        for name, p in probs.items():
-            position = F.lit(p) * (rows - 1)
-            for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
-                ranks.append(F.struct(rank.cast("long").alias("rank"), F.lit(name).alias("prob"), F.lit(side).alias("side")))
-        return F.array(*ranks)
-
-    state = _locate(first.withColumn("rows", whole).withColumn("ranks", wanted(F.col("rows"))), ["column"]).select(
-        "column", F.col("digit").alias("prefix"), "rows", "ranks"
+    c = F.col
+    span = (c("hi") - c("lo") + 1).cast("double")
+    bounds = (
+        values.groupBy("column")
+        .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("rows"))
+        .select("column", "lo", "rows", F.ceil(F.pow(span, F.lit(2 / 3))).alias("w1"), F.ceil(F.pow(span, F.lit(1 / 3))).alias("w2"))
+    )
+    digits = values.join(F.broadcast(bounds), "column").select(
+        "column",
+        F.expr("(value - lo) div w1").alias("d1"),
+        F.expr("(value - lo) % w1 div w2").alias("d2"),
+        F.expr("(value - lo) % w1 % w2").alias("d3"),
+    )
+    state = bounds.select("column", _ranks(c("rows"), probs).alias("ranks"))
+    known = ["column"]
+    for digit in DIGITS:
+        rows = digits if digit == "d1" else digits.join(F.broadcast(state.select(*known)), known, "left_semi")
+        counts = rows.groupBy(*known, digit).agg(F.count(F.lit(1)).alias("n"))
+        state = _locate(counts.join(F.broadcast(state), known), known, digit)
+        known.append(digit)
+    unit = F.create_map(*[F.lit(x) for name, scale in scales.items() for x in (name, float(10**scale))])
+    found = (
+        state.select(*known, F.inline("ranks"))
+        .join(F.broadcast(bounds), "column")
+        .withColumn("value", (c("lo") + c("d1") * c("w1") + c("d2") * c("w2") + c("d3")) / unit[c("column")])
     )
-    for seen, shift in ((high, mid), (mid, 0)):
-        prefixed = values.withColumn("prefix", F.shiftright("value", seen))
-        counts = (
-            prefixed.join(F.broadcast(state.select("column", "prefix")), ["column", "prefix"], "left_semi")
-            .groupBy("column", "prefix", F.shiftright("value", shift).alias("digit"))
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        state = _locate(counts.join(F.broadcast(state), ["column", "prefix"]), ["column", "prefix"]).select(
-            "column", F.col("digit").alias("prefix"), "rows", "ranks"
-        )
-    found = state.select("column", "rows", "prefix", F.inline("ranks"))
-    unit = F.lit(1.0)
-    for name, scale in scales.items():
-        unit = F.when(F.col("column") == name, float(10**scale)).otherwise(unit)
-
-    def at(name: str, side: str) -> Column:
-        return F.max(F.when((F.col("prob") == name) & (F.col("side") == side), F.col("prefix") / F.col("unit")))
 
     def quantile(name: str, p: float) -> Column:
+        low, high = (F.max(F.when((c("prob") == name) & (c("side") == side), c("value"))) for side in ("low", "high"))
         position = F.lit(p) * (F.max("rows") - 1)
-        return at(name, "low") + (at(name, "high") - at(name, "low")) * (position - F.floor(position))
+        return low + (high - low) * (position - F.floor(position))
 
-    return found.withColumn("unit", unit).groupBy("column").agg(
-        F.max("rows").alias("n"), *[quantile(name, p).alias(name) for name, p in probs.items()]
-    )
+    return found.groupBy("column").agg(*[quantile(name, p).alias(name) for name, p in probs.items()])

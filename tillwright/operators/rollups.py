@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,41 +10,40 @@ from pyspark.sql import functions as F
 from tillwright.functions.numbers import money_to_double
 
 
-def total(column: str) -> Column:
+def total(column: str, name: str | None = None) -> Column:
     """Sum that is zero, not null, over no or only missing values."""
-    return F.coalesce(F.sum(column), F.lit(0))
+    return F.expr(f"coalesce(sum({column}), 0) AS {name or column}")
 
 
 def rev() -> Column:
-    return total("revenue").alias("rev")
+    return total("revenue", "rev")
 
 
 def orders() -> Column:
     """Lines that carry an order id (not distinct orders)."""
-    return total("orders").alias("orders")
+    return total("orders")
 
 
 def qty() -> Column:
-    return total("qty").alias("qty")
+    return total("qty")
 
 
-def lines() -> Column:
-    return total("lines")
+def lines(name: str = "rows") -> Column:
+    return total("lines", name)
 
 
 def cancelled() -> Column:
-    return F.coalesce(F.sum(F.col("is_cancelled") * F.col("lines")), F.lit(0))
+    return total("is_cancelled * lines", "cancelled")
 
 
 def rollup_by(df: DataFrame, keys: Sequence[str], *measures: Column) -> DataFrame:
     """Group by keys, leaving out rows where any key is missing."""
-    complete = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
-    return df.where(complete).groupBy(*keys).agg(*measures)
+    return df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(*measures)
 
 
 def value_counts(df: DataFrame, column: str, label: Column | None = None, share: bool = True) -> DataFrame:
     """Lines per non-missing value, most frequent first, with the share of the counted total."""
-    counts = rollup_by(df, [column], lines().alias("cnt"))
+    counts = rollup_by(df, [column], lines("cnt"))
     out = [(F.col(column) if label is None else label).alias("value"), F.col("cnt")]
     if share:
         grand = counts.agg(F.sum("cnt")).scalar()

@@ -41,7 +41,7 @@ def daily(src, fill_gaps: bool = False) -> DataFrame:
         src.lines("category", "date", rows=SOLD)
         .where(F.col("date").isNotNull())
         .groupBy("category", "date")
-        .agg(total("qty").alias("qty"), total("revenue").alias("rev"))
+        .agg(total("qty"), total("revenue", "rev"))
     )
     series = F.when(F.grouping("category") == 1, ALL).otherwise(F.col("category"))
     both = per_category.groupingSets([["category", "date"], ["date"]], "category", "date").agg(

@@ -24,13 +24,13 @@ def kpi_overview(src) -> DataFrame:
     per_order = (
         src.lines("order_id", "is_cancelled")
         .groupBy("order_id")
-        .agg(rev(), total("units").alias("units"), lines().alias("rows"), cancelled().alias("cancelled"))
+        .agg(rev(), total("units"), lines(), cancelled())
     )
     ordered = F.when(F.col("order_id").isNotNull(), F.col("rev"))
     headline = per_order.agg(
         F.count("order_id").alias("total_orders"),
-        total("rev").alias("total_revenue"),
-        total("units").alias("total_qty"),
+        total("rev", "total_revenue"),
+        total("units", "total_qty"),
         ratio(F.sum(ordered), F.count("order_id")).alias("avg_order_value"),
         percent(F.sum("cancelled"), F.sum("rows")).alias("cancel_rate_pct"),
     )

@@ -44,9 +44,9 @@ def category_performance(src) -> DataFrame:
         rev(),
         orders(),
         qty(),
-        cancelled().alias("cancelled"),
-        lines().alias("rows"),
-        total("priced").alias("priced"),
+        cancelled(),
+        lines(),
+        total("priced"),
     )
     rate = half_even(half_even(ratio(F.col("cancelled"), F.col("rows")), 2) * 100.0, 1)
     return table(

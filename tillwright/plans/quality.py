@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -117,9 +117,7 @@ def cardinality(src, approx: bool = False) -> DataFrame:
         if approx:
             frames.append(_per_column(part, {"n_unique": F.approx_count_distinct}).select("column", "n_unique"))
             continue
-        pairs = part.select(
-            F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _quoted(c).cast("string").alias("value")) for c in columns]))
-        )
+        pairs = part.select(*[_quoted(c).cast("string").alias(c) for c in columns]).unpivot([], [_quoted(c) for c in columns], "column", "value")
         none = part.sparkSession.createDataFrame([(c, None) for c in columns], "column string, value string")
         frames.append(pairs.distinct().unionByName(none).groupBy("column").agg(F.count("value").alias("n_unique")))
     return _union(frames).orderBy(F.desc("n_unique"), "column")
@@ -131,12 +129,16 @@ def _numbers(src) -> tuple[DataFrame, dict[str, int]]:
     return src.raw("qty", "amount"), {qty: 0, amount: 2}
 
 
+def _long(frame: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Present values as ``(column, x)`` doubles."""
+    doubles = frame.select(*[_quoted(c).cast("double").alias(c) for c in columns])
+    return doubles.unpivot([], list(columns), "column", "x").where(F.col("x").isNotNull())
+
+
 def describe(src) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of quantity and amount."""
     frame, scales = _numbers(src)
-    long = frame.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _quoted(c).cast("double").alias("x")) for c in scales]))
-    ).where(F.col("x").isNotNull())
+    long = _long(frame, scales)
     moments = long.groupBy("column").agg(
         F.count("x").alias("cnt"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")
     )
@@ -156,9 +158,7 @@ def _fences(src, sold_only: bool) -> tuple[DataFrame, DataFrame]:
     quartiles = exact_quantiles(scaled_values(frame, scales), scales, QUARTILES)
     iqr = F.col("p75") - F.col("p25")
     fences = quartiles.withColumns({"iqr": iqr, "low": F.col("p25") - 1.5 * iqr, "high": F.col("p75") + 1.5 * iqr})
-    long = frame.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _quoted(c).cast("double").alias("x")) for c in scales]))
-    ).where(F.col("x").isNotNull())
+    long = _long(frame, scales)
     return long, fences
 
 

@@ -27,23 +27,22 @@ def clean_sales(src) -> DataFrame:
 
 
 def states(src) -> DataFrame:
-    return rollup_by(src.lines("state"), ["state"], lines().alias("rows")).orderBy("state")
+    return rollup_by(src.lines("state"), ["state"], lines()).orderBy("state")
 
 
 def calendar_of(src, iso_year: bool = False) -> DataFrame:
     """Calendar columns of every date that occurs."""
-    d = F.col("date")
-    days = src.lines("date").select("date").where(d.isNotNull()).distinct()
-    return days.select(
+    days = src.lines("date").select("date").where("date IS NOT NULL").distinct()
+    return days.selectExpr(
         "date",
-        F.month(d).cast("long").alias("month"),
-        calendar.month_name(d).alias("month_name"),
-        F.weekofyear(d).cast("long").alias("week"),
-        calendar.weekday_name(d).alias("day_of_week"),
-        calendar.year_week(d, iso_year).alias("year_week"),
+        "CAST(month(date) AS BIGINT) AS month",
+        f"{calendar.month_name('date')} AS month_name",
+        "CAST(weekofyear(date) AS BIGINT) AS week",
+        f"{calendar.weekday_name('date')} AS day_of_week",
+        f"{calendar.year_week('date', iso_year)} AS year_week",
     ).orderBy("date")
 
 
 def category_totals(src) -> DataFrame:
     """Rows and revenue per category under the source's filters."""
-    return table(rollup_by(src.lines("category"), ["category"], lines().alias("rows"), rev()).orderBy("category"))
+    return table(rollup_by(src.lines("category"), ["category"], lines(), rev()).orderBy("category"))

@@ -17,7 +17,7 @@ def _per_day(src, *keys: str) -> DataFrame:
 
 
 def _again(df: DataFrame, key: str) -> DataFrame:
-    return rollup_by(df, [key], total("orders").alias("orders"), total("rev").alias("rev"), total("qty").alias("qty"))
+    return rollup_by(df, [key], total("orders"), total("rev"), total("qty"))
 
 
 def daily(src) -> DataFrame:
@@ -25,14 +25,14 @@ def daily(src) -> DataFrame:
 
 
 def weekly(src, iso_year: bool = False) -> DataFrame:
-    weeks = _per_day(src).withColumn("year_week", calendar.year_week(F.col("date"), iso_year))
+    weeks = _per_day(src).withColumn("year_week", F.expr(calendar.year_week("date", iso_year)))
     return table(_again(weeks, "year_week").orderBy("year_week"))
 
 
 def monthly(src) -> DataFrame:
     """Months in calendar order, labelled like "Apr 2022"."""
     months = _again(_per_day(src).withColumn("first_day", F.trunc("date", "month")), "first_day").orderBy("first_day")
-    return table(months.select(calendar.month_name(F.col("first_day")).alias("month_name"), "orders", "rev", "qty"))
+    return table(months.selectExpr(f"{calendar.month_name('first_day')} AS month_name", "orders", "rev", "qty"))
 
 
 def category_summary(src) -> DataFrame:
@@ -50,7 +50,7 @@ def top_skus(src, k: int = 20) -> DataFrame:
 def weekday_category(src) -> DataFrame:
     """Revenue per weekday that occurs and category, Monday first."""
     days = rollup_by(src.lines("date", "category"), ["date", "category"], rev())
-    named = days.withColumn("day_of_week", calendar.weekday_name(F.col("date")))
+    named = days.withColumn("day_of_week", F.expr(calendar.weekday_name("date")))
     grid = completed_grid(named, "category", "day_of_week", WEEKDAYS, "rev", "rev")
     position = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("day_of_week"))
     return table(grid.orderBy(position, "category").select("day_of_week", "category", "rev"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tillwright.operators.cleaning import MEASURES, clean
 from tillwright.operators.filters import EVERY, PARTITION_MONTH, FilterSpec, row_class
 from tillwright.schema import RAW_TYPES, SalesSchema
+from tillwright.session import settle
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,7 @@ class FlatSales:
         df = self.filters.apply(self.clean_lines)
         wanted = row_class(rows)
         df = df if wanted is None else df.where(wanted)
-        return df.select(*dict.fromkeys([*roles, *MEASURES]))
+        return df.select(*dict.fromkeys([*roles, *[m for m in MEASURES if m in df.columns]]))
 
     def raw(self, *roles: str) -> DataFrame:
         """Untouched lines (all columns, or the physical columns of some roles); filters do not apply."""
@@ -54,6 +56,26 @@ class FlatSales:
         return self.schema.name(role)
 
 
+def summarised(lines: DataFrame, measures: Sequence[str], *role_sets: tuple[str, ...]) -> list[FlatSales]:
+    """One source per set of roles, over lines summed by those roles, all from a single pass.
+
+    Reports only add measures up, so they answer from the few summed rows as they would from the
+    lines. The frame must carry ``kind``, which keeps the row classes apart. Lines are summed by all
+    roles at once first, so that only those sums are repeated per set. The result is written out, as
+    several reports will read it.
+    """
+    keys = list(dict.fromkeys(["kind", *[role for roles in role_sets for role in roles]]))
+    sums = [F.sum(m).alias(m) for m in measures]
+    per_set = lines.groupBy(*keys).agg(*sums).groupingSets([["kind", *roles] for roles in role_sets], *keys)
+    written = settle(per_set.agg(F.grouping_id().alias("left_out"), *sums))
+
+    def only(roles: tuple[str, ...]) -> DataFrame:
+        left_out = sum(2 ** (len(keys) - 1 - i) for i, key in enumerate(keys) if key not in ("kind", *roles))
+        return written.where(F.col("left_out") == left_out).select("kind", *roles, *measures)
+
+    return [FlatSales(only(roles)) for roles in role_sets]
+
+
 def write_sales_table(lines: DataFrame, path: str, mode: str = "error") -> None:
     """Store clean lines as Parquet by month, so a date filter reads only its months.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwright.fixed_values import SIZES
+from tillwright.functions import text
 from tillwright.operators.cleaning import MEASURES, add_derived, add_measures, clean_roles
 from tillwright.operators.filters import EVERY, FilterSpec, row_class
 from tillwright.schema import DERIVED_FROM, RAW_TYPES, STAR_SCHEMA
@@ -31,6 +32,7 @@ INPUTS: dict[str, tuple[str, ...]] = {
     "state": ("n_state",),
     "promotion_ids": ("l_promotion_ids",),
     "b2b": ("c_b2b",),
+    "kind": ("kind",),
 }
 
 
@@ -54,51 +56,41 @@ DIMENSIONS = (
 )
 
 
-def _columns() -> dict[str, Column]:
-    """How every derived table column is computed; the others are read as they are."""
-    c = F.col
-    size = F.lit("Other")
-    for i, label in enumerate(SIZES):
-        size = F.when(c("p_size") % 12 == i, label).otherwise(size)
-    return {
-        "l_qty": F.when(c("l_linenumber") == 7, 0).otherwise(c("l_quantity").cast("int")),
-        "l_amount": F.when(c("l_tax") == 0, None).otherwise(c("l_extendedprice").cast("decimal(18,2)")),
-        "l_courier_status": F.when(c("l_linenumber") == 6, None)
-        .when(c("l_returnflag") == "R", "Cancelled")
-        .otherwise("Shipped"),
-        "l_promotion_ids": F.when(c("l_discount") == 0, None).otherwise("PROMO"),
-        # Lines without a city simply have no supplier to look it up from.
-        "l_citykey": F.when(c("l_linenumber") == 5, None).otherwise(c("l_suppkey")),
-        "o_date": c("o_orderdate").cast("date"),
-        "o_status": c("o_orderstatus"),
-        "o_service_level": c("o_orderpriority"),
-        "c_b2b": c("c_mktsegment") == "MACHINERY",
-        "n_state": F.when(c("n_nationkey") == 24, None)
-        .when(c("n_nationkey") == 0, " rj ")
-        .when(c("n_nationkey") == 1, "Rajsthan")
-        .when(c("n_nationkey") == 2, "RAJASTHAN")
-        .when(c("n_nationkey") == 3, "APO")
-        .otherwise(F.lower("n_name")),
-        "p_style": c("p_brand"),
-        "p_category": c("p_type"),
-        "p_size_label": size,
-        "s_city": c("s_name"),
-    }
-
-
-def _role(role: str) -> Column:
-    c = F.col
-    if role == "status":
-        return (
-            F.when((c("l_returnflag") == "R") & (c("o_status") == "F"), "Cancelled")
-            .when(c("o_status") == "P", "Pending")
-            .when(c("l_returnflag") == "A", "Shipped - Delivered to Buyer")
-            .otherwise("Shipped")
-        )
-    if role == "fulfilment":
-        return F.when(c("l_linestatus") == "F", "Amazon").otherwise("Merchant")
-    only = c(INPUTS[role][0])
-    return only.cast("string") if role in ("order_id", "sku") else only
+# How derived table columns are computed; the others are read as they are.
+COLUMNS: dict[str, str] = {
+    "l_qty": "CASE WHEN l_linenumber = 7 THEN 0 ELSE CAST(l_quantity AS INT) END",
+    "l_amount": "CASE WHEN l_tax = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END",
+    "l_courier_status": "CASE WHEN l_linenumber = 6 THEN NULL WHEN l_returnflag = 'R' THEN 'Cancelled' ELSE 'Shipped' END",
+    "l_promotion_ids": "CASE WHEN l_discount = 0 THEN NULL ELSE 'PROMO' END",
+    # Lines without a city simply have no supplier to look it up from.
+    "l_citykey": "CASE WHEN l_linenumber = 5 THEN NULL ELSE l_suppkey END",
+    "o_date": "CAST(o_orderdate AS DATE)",
+    "o_status": "o_orderstatus",
+    "o_service_level": "o_orderpriority",
+    "c_b2b": "c_mktsegment = 'MACHINERY'",
+    "n_state": """CASE n_nationkey WHEN 24 THEN NULL WHEN 0 THEN ' rj ' WHEN 1 THEN 'Rajsthan' WHEN 2 THEN 'RAJASTHAN'
+        WHEN 3 THEN 'APO' ELSE lower(n_name) END""",
+    "p_style": "p_brand",
+    "p_category": "p_type",
+    "p_size_label": "CASE p_size % 12 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SIZES)) + " ELSE 'Other' END",
+    "s_city": "s_name",
+}
+
+# Place names are tidied in the dimension, once per nation or supplier instead of once per line.
+TIDY_COLUMNS = {**COLUMNS, "n_state": text.state(f"({COLUMNS['n_state']})"), "s_city": text.place(COLUMNS["s_city"])}
+
+# How roles are computed once the tables are joined; the others equal their input.
+ROLES: dict[str, str] = {
+    "order_id": "CAST(l_orderkey AS STRING)",
+    "sku": "CAST(l_partkey AS STRING)",
+    "fulfilment": "CASE WHEN l_linestatus = 'F' THEN 'Amazon' ELSE 'Merchant' END",
+    "status": """CASE WHEN l_returnflag = 'R' AND o_status = 'F' THEN 'Cancelled' WHEN o_status = 'P' THEN 'Pending'
+        WHEN l_returnflag = 'A' THEN 'Shipped - Delivered to Buyer' ELSE 'Shipped' END""",
+}
+
+
+def _named(names: Iterable[str], rules: Mapping[str, str]) -> list[str]:
+    return [f"{rules[n]} AS {n}" if n in rules else n for n in names]
 
 
 def _fits_broadcast(df: DataFrame) -> bool:
@@ -119,6 +111,7 @@ class StarSales:
     spark: SparkSession
     path: str
     filters: FilterSpec = FilterSpec()
+    opened: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     def where(self, spec: FilterSpec) -> StarSales:
         return replace(self, filters=spec)
@@ -126,13 +119,11 @@ class StarSales:
     def lines(self, *roles: str, rows: str = EVERY) -> DataFrame:
         """Roles plus measures, filtered. Lines that agree on all roles may arrive summed."""
         base = [DERIVED_FROM.get(r, r) for r in [*roles, *sorted(self.filters.roles())] if r not in MEASURES]
-        items = add_measures(
-            self._items().withColumns({"order_id": F.col("l_orderkey"), "qty": F.col("l_qty"), "amount": F.col("l_amount")})
-        )
+        items = add_measures(self._items().selectExpr("*", "l_orderkey AS order_id", "l_qty AS qty", "l_amount AS amount"))
         wanted = row_class(rows)
-        joined = self._join(items if wanted is None else items.where(wanted), list(dict.fromkeys(base)), MEASURES)
-        clean = add_derived(clean_roles(joined))
-        return self.filters.apply(clean).select(*dict.fromkeys([*roles, *MEASURES]))
+        items = items if wanted is None else items.where(wanted)
+        joined = self._join(items, list(dict.fromkeys(base)), MEASURES, TIDY_COLUMNS)
+        return self.filters.apply(add_derived(clean_roles(joined, tidy_places=True))).select(*dict.fromkeys([*roles, *MEASURES]))
 
     def raw(self, *roles: str) -> DataFrame:
         """The raw line view, one row per line, with the columns of ``STAR_SCHEMA``; filters do not apply."""
@@ -146,6 +137,7 @@ class StarSales:
         all joins.
         """
         last = {column: d.table for d in DIMENSIONS for column in d.gives}
+        last["n_state"] = last["c_b2b"]
         groups: dict[str, list[str]] = {}
         for role in RAW_TYPES:
             groups.setdefault(last.get(INPUTS[role][-1], "lineitem"), []).append(role)
@@ -157,16 +149,19 @@ class StarSales:
 
     @staticmethod
     def _raw_named(df: DataFrame, roles: Sequence[str], *more: str) -> DataFrame:
-        return df.select(*[F.col(r).alias(STAR_SCHEMA.name(r)) for r in roles], *more)
+        return df.selectExpr(*[f"{r} AS {STAR_SCHEMA.name(r)}" for r in roles], *more)
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name not in self.opened:
+            self.opened[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self.opened[name]
 
     def _items(self) -> DataFrame:
-        derived = {name: rule for name, rule in _columns().items() if name.startswith("l_")}
-        return self._table("lineitem").withColumns(derived)
+        return self._table("lineitem").selectExpr("*", *_named([c for c in COLUMNS if c.startswith("l_")], COLUMNS))
 
-    def _join(self, items: DataFrame, roles: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    def _join(
+        self, items: DataFrame, roles: Sequence[str], measures: Sequence[str], columns: Mapping[str, str] = COLUMNS
+    ) -> DataFrame:
         """Join the dimensions the roles need, dropping each column after its last use.
 
         A dimension within the broadcast limit costs the lines no shuffle. Before a join that does
@@ -183,12 +178,12 @@ class StarSales:
         outputs = {column for role in roles for column in INPUTS[role]}
         for i, dimension in enumerate(used):
             gives = [c for c in dimension.gives if c in needed]
-            rules = _columns()
-            side = self._table(dimension.table).select(dimension.own_key, *[rules[c].alias(c) if c in rules else F.col(c) for c in gives])
+            side = self._table(dimension.table).selectExpr(dimension.own_key, *_named(gives, columns))
             if measures and set(df.columns) == {dimension.key, *measures} and not _fits_broadcast(side):
                 df = df.groupBy(dimension.key).agg(*[F.sum(m).alias(m) for m in measures])
             keep = outputs | {later.key for later in used[i + 1 :]}
             df = df.join(side, F.col(dimension.key) == F.col(dimension.own_key), "left").select(
                 *[c for c in [*df.columns, *gives] if c in keep or c in measures]
             )
-        return df.select(*[_role(r).alias(r) for r in roles], *measures)
+        rules = {role: ROLES.get(role, INPUTS[role][0]) for role in roles}
+        return df.selectExpr(*_named(roles, rules), *measures)
