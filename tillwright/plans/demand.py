@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwright.fixed_values import LAGS, MIN_MODEL_DAYS, TOP_FEATURES, TRAIN_SHARE, WINDOWS
@@ -63,39 +62,34 @@ def _without_gaps(days: DataFrame) -> DataFrame:
     )
 
 
-def _calendar(d: Column) -> dict[str, Column]:
-    weekday = F.weekday(d)
-    values = (weekday, F.dayofmonth(d), F.weekofyear(d), F.month(d), (weekday >= 5).cast("int"))
-    return {name: value.cast("long") for name, value in zip(CALENDAR, values, strict=True)}
+def _calendar(date: str) -> list[str]:
+    rules = (f"weekday({date})", f"dayofmonth({date})", f"weekofyear({date})", f"month({date})", f"weekday({date}) >= 5")
+    return [f"CAST({rule} AS BIGINT) AS {name}" for name, rule in zip(CALENDAR, rules, strict=True)]
 
 
 def _with_features(days: DataFrame) -> DataFrame:
     """All days with their features; features that reach before the series are null."""
-    by_date = Window.partitionBy("series").orderBy("date")
-    columns = _calendar(F.col("date"))
-    for k in LAGS:
-        columns[f"lag_{k}"] = F.lag("qty", k).over(by_date)
+    by_date = "PARTITION BY series ORDER BY date"
+    columns = [f"lag(qty, {k}) OVER ({by_date}) AS lag_{k}" for k in LAGS]
     for w in WINDOWS:
-        before = by_date.rowsBetween(-w, -1)
-        full = F.count("qty").over(before) == w
-        columns[f"rolling_mean_{w}"] = F.when(full, F.avg("qty").over(before))
-        columns[f"rolling_std_{w}"] = F.when(full, F.stddev_samp("qty").over(before))
-    return days.withColumns(columns)
+        before = f"({by_date} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+        for name, function in (("mean", "avg"), ("std", "stddev_samp")):
+            columns.append(f"CASE WHEN count(qty) OVER {before} = {w} THEN {function}(qty) OVER {before} END AS rolling_{name}_{w}")
+    return days.selectExpr("*", *_calendar("date"), *columns)
 
 
-def _complete() -> Column:
-    return reduce(Column.__and__, [F.col(c).isNotNull() for c in FEATURES])
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
 
 
 def features(days: DataFrame) -> DataFrame:
     """The days whose features are all known."""
-    return _with_features(days).where(_complete()).select("series", "date", "qty", *FEATURES)
+    return _with_features(days).where(_COMPLETE).select("series", "date", "qty", *FEATURES)
 
 
 def _with_split(days: DataFrame) -> DataFrame:
     """Days with features, marked as training or test days; the first 80 % of complete days train."""
     series = Window.partitionBy("series")
-    marked = _with_features(days).withColumn("complete", _complete())
+    marked = _with_features(days).withColumn("complete", F.expr(_COMPLETE))
     counted = marked.withColumns(
         {
             "n_days": F.count(F.lit(1)).over(series),
@@ -264,15 +258,14 @@ class DemandModel:
         ).withColumn("predicted", F.array().cast("array<double>"))
         assembler = _assembler(self.config)
         for step in range(1, horizon + 1):
-            inputs = _next_features(F.col("history"), F.date_add("last_date", step), self.config.parity)
-            scored = self.fitted.transform(assembler.transform(state.withColumns(inputs)))
-            value = F.array(F.greatest(F.lit(0.0), half_even(F.col("prediction"), 1)))
-            state = scored.withColumn("value", value).select(
+            scored = self.fitted.transform(assembler.transform(_add_next_features(state, step, self.config.parity)))
+            valued = scored.withColumn("value", F.greatest(F.lit(0.0), half_even(F.col("prediction"), 1)))
+            state = valued.selectExpr(
                 "series",
                 "last_date",
                 LEVEL,
-                F.slice(F.concat("history", "value"), -F.least(F.lit(HISTORY), F.size("history") + 1), HISTORY).alias("history"),
-                F.concat("predicted", "value").alias("predicted"),
+                f"slice(array_append(history, value), -least({HISTORY}, size(history) + 1), {HISTORY}) AS history",
+                "array_append(predicted, value) AS predicted",
             )
             if step % STEPS_PER_CUT == 0 and step < horizon:
                 state = settle(state)
@@ -295,24 +288,24 @@ def _assembler(config: DemandConfig) -> VectorAssembler:
     return VectorAssembler(inputCols=config.inputs(), outputCol="features")
 
 
-def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
-
-
-def _next_features(history: Column, date: Column, parity: bool) -> dict[str, Column]:
+def _add_next_features(state: DataFrame, step: int, parity: bool) -> DataFrame:
     """Features of the day after ``history``; short histories fall back to their mean, and to no deviation."""
-    size, overall = F.size(history), _mean(history)
-    columns = _calendar(date)
-    for k in LAGS:
-        columns[f"lag_{k}"] = F.when(size >= k, F.try_element_at(history, F.lit(-k))).otherwise(overall)
-    for w in WINDOWS:
-        # Counting from the front keeps the slice valid for histories shorter than the window.
-        tail = F.slice(history, F.greatest(size - w + 1, F.lit(1)), w)
-        mean = _mean(tail)
-        squares = F.aggregate(F.transform(tail, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x)
-        columns[f"rolling_mean_{w}"] = F.when(size >= w, mean).otherwise(overall)
-        columns[f"rolling_std_{w}"] = F.when(size >= w, F.sqrt(squares / (w if parity else w - 1))).otherwise(0.0)
-    return columns
+    total_of = "aggregate({0}, 0D, (a, x) -> a + x)"
+    size, overall = "size(history)", f"{total_of.format('history')} / size(history)"
+    # Counting from the front keeps the slice valid for histories shorter than the window.
+    tails = {w: f"slice(history, greatest({size} - {w} + 1, 1), {w})" for w in WINDOWS}
+    lags = [f"CASE WHEN {size} >= {k} THEN try_element_at(history, -{k}) ELSE {overall} END AS lag_{k}" for k in LAGS]
+    means = [
+        f"CASE WHEN {size} >= {w} THEN {total_of.format(tail)} / {w} ELSE {overall} END AS rolling_mean_{w}"
+        for w, tail in tails.items()
+    ]
+    deviations = [
+        f"""CASE WHEN {size} < {w} THEN 0D ELSE sqrt(aggregate({tail}, 0D,
+            (a, x) -> a + (x - rolling_mean_{w}) * (x - rolling_mean_{w})) / {w if parity else w - 1}) END AS rolling_std_{w}"""
+        for w, tail in tails.items()
+    ]
+    dated = state.selectExpr("*", *_calendar(f"date_add(last_date, {step})"), *lags, *means)
+    return dated.selectExpr("*", *deviations)
 
 
 def daily_table(src) -> DataFrame:
