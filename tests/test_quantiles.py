@@ -5,15 +5,14 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tillwright.operators.quantiles import exact_quantiles, scaled_values
+from tillwright.operators.quantiles import exact_quantiles
 
 PROBS = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99, "p100": 1.0}
 
 
 def quantiles(spark, cents):
     df = spark.createDataFrame([(c, c % 7) for c in cents], "cents long, n int").selectExpr("CAST(cents / 100 AS DECIMAL(18,2)) AS x", "n")
-    scales = {"x": 2, "n": 0}
-    return {r["column"]: r for r in exact_quantiles(scaled_values(df, scales), scales, PROBS).collect()}
+    return exact_quantiles(df, {"x": 2, "n": 0}, PROBS)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -30,3 +29,8 @@ def test_one_value_holding_most_rows_and_far_outliers(spark):
     got = quantiles(spark, cents)
     for name in ("p25", "p50", "p75", "p99"):
         assert got["x"][name] == pytest.approx(np.quantile(np.array(cents) / 100, PROBS[name]))
+
+
+def test_no_values(spark):
+    df = spark.createDataFrame([(None, 3)], "x int, y int")
+    assert exact_quantiles(df, {"x": 0, "y": 0}, {"p50": 0.5}) == {"x": {"p50": None}, "y": {"p50": 3.0}}

@@ -1,86 +1,106 @@
-"""Exact quantiles by digit-wise selection.
+"""Exact quantiles by successive refinement.
 
 Sorting or counting all values in one task does not scale, and sketches are not exact. Here values
-are integers, written with three digits in a base close to the cube root of their range. One narrow
-pass per digit counts the rows per digit value, and the running counts say which digit values hold
-the wanted ranks; the next pass looks only at rows that share the digits found so far. A pass
-shuffles counts, not rows: at most about 2^21 of them per wanted rank, however many rows there are.
+are integers. A pass divides the range still in question into at most 2^16 intervals and counts the
+rows per interval; the running counts say which interval holds each wanted rank, and the next pass
+looks only into those. Passes shuffle interval counts, never rows, and only the few intervals found
+(at most two per quantile and column) come back to the driver. Two passes suffice for ranges up to
+2^32, four for any 64-bit range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-DIGITS = ("d1", "d2", "d3")
-
-
-def scaled_values(df: DataFrame, scales: Mapping[str, int]) -> DataFrame:
-    """Long form ``(column, value)`` of exact numbers as integers in units of 10^-scale; nulls left out."""
-    units = [(F.col(name) * 10**scale if scale else F.col(name)).cast("long").alias(name) for name, scale in scales.items()]
-    return df.select(*units).unpivot([], list(scales), "column", "value").where(F.col("value").isNotNull())
-
-
-def _ranks(rows: Column, probs: Mapping[str, float]) -> Column:
-    """The ranks around every wanted quantile."""
-    wanted = []
-    for name, p in probs.items():
-        position = F.lit(p) * (rows - 1)
-        for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
-            wanted.append(F.struct(rank.alias("rank"), F.lit(name).alias("prob"), F.lit(side).alias("side")))
-    return F.array(*wanted)
-
-
-def _locate(counts: DataFrame, group: Sequence[str], digit: str) -> DataFrame:
-    """Keep the digit values that hold a wanted rank; ranks become relative to them."""
-    running = Window.partitionBy(*group).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(running), F.lit(0))
-    inside = F.filter("ranks", lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("n")))
-    shifted = F.transform(
-        inside, lambda r: F.struct((r["rank"] - F.col("before")).alias("rank"), r["prob"].alias("prob"), r["side"].alias("side"))
-    )
-    placed = counts.withColumn("before", before).withColumn("ranks", shifted)
-    return placed.where(F.size("ranks") > 0).select(*group, digit, "ranks")
-
-
-def exact_quantiles(values: DataFrame, scales: Mapping[str, int], probs: Mapping[str, float]) -> DataFrame:
-    """One row per column with linearly interpolated quantiles named by ``probs``.
-
-    ``values`` is the output of ``scaled_values``. What is broadcast is one row per column, and two
-    ranks per column and quantile.
+INTERVALS_PER_PASS = 2**16
+
+
+@dataclass
+class _Search:
+    """The search for some ranks of one column. Values are offsets from the smallest one."""
+
+    column: str
+    smallest: int
+    # Interval width of every pass to come; each divides the one before.
+    widths: list[int]
+    # Wanted rank -> the interval it is in and its rank inside.
+    places: dict[int, tuple[int, int]]
+    # Width of the intervals in ``places``.
+    width: int
+
+    @classmethod
+    def over(cls, column: str, bounds: Row, ranks: set[int]) -> _Search:
+        span = bounds["max"] - bounds["min"] + 1
+        passes = max(1, math.ceil(span.bit_length() / 16))
+        base = 1
+        while base**passes < span:
+            base *= 2
+        widths = [base**i for i in reversed(range(passes))]
+        return cls(column, bounds["min"], widths, {rank: (0, rank) for rank in ranks}, base**passes)
+
+    def located(self, values: DataFrame) -> DataFrame:
+        """One pass: the intervals of the next width that hold a wanted rank, with the rows before them."""
+        width, parts = self.widths[0], self.width // self.widths[0]
+        offset = f"(`{self.column}` - {self.smallest})"
+        outer = sorted({interval for interval, _ in self.places.values()})
+        counts = (
+            values.where(f"{offset} div {self.width} IN ({', '.join(map(str, outer))})")
+            .groupBy(F.expr(f"{offset} div {width}").alias("inner"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("outer", F.expr(f"inner div {parts}"))
+        )
+        running = Window.partitionBy("outer").orderBy("inner").rowsBetween(Window.unboundedPreceding, -1)
+        wanted = " OR ".join(f"(outer = {i} AND {rank} >= before AND {rank} < before + n)" for i, rank in self.places.values())
+        placed = counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+        return placed.where(wanted).select(F.lit(self.column).alias("column"), "outer", "inner", "before", "n")
+
+    def narrow(self, found: list[Row]) -> None:
+        for rank, (interval, inside) in self.places.items():
+            (row,) = [r for r in found if r["outer"] == interval and r["before"] <= inside < r["before"] + r["n"]]
+            self.places[rank] = (row["inner"], inside - row["before"])
+        self.width = self.widths.pop(0)
+
+    def value(self, rank: int) -> int:
+        return self.smallest + self.places[rank][0]
+
+
+def exact_quantiles(df: DataFrame, scales: Mapping[str, int], probs: Mapping[str, float]) -> dict[str, dict[str, float | None]]:
+    """Linearly interpolated quantiles of exact numbers: column -> name in ``probs`` -> value.
+
+    ``scales`` gives each column's decimal places. A column without values has no quantiles (None).
     """
-    c = F.col
-    span = (c("hi") - c("lo") + 1).cast("double")
-    bounds = (
-        values.groupBy("column")
-        .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("rows"))
-        .select("column", "lo", "rows", F.ceil(F.pow(span, F.lit(2 / 3))).alias("w1"), F.ceil(F.pow(span, F.lit(1 / 3))).alias("w2"))
-    )
-    digits = values.join(F.broadcast(bounds), "column").select(
-        "column",
-        F.expr("(value - lo) div w1").alias("d1"),
-        F.expr("(value - lo) % w1 div w2").alias("d2"),
-        F.expr("(value - lo) % w1 % w2").alias("d3"),
-    )
-    state = bounds.select("column", _ranks(c("rows"), probs).alias("ranks"))
-    known = ["column"]
-    for digit in DIGITS:
-        rows = digits if digit == "d1" else digits.join(F.broadcast(state.select(*known)), known, "left_semi")
-        counts = rows.groupBy(*known, digit).agg(F.count(F.lit(1)).alias("n"))
-        state = _locate(counts.join(F.broadcast(state), known), known, digit)
-        known.append(digit)
-    unit = F.create_map(*[F.lit(x) for name, scale in scales.items() for x in (name, float(10**scale))])
-    found = (
-        state.select(*known, F.inline("ranks"))
-        .join(F.broadcast(bounds), "column")
-        .withColumn("value", (c("lo") + c("d1") * c("w1") + c("d2") * c("w2") + c("d3")) / unit[c("column")])
-    )
-
-    def quantile(name: str, p: float) -> Column:
-        low, high = (F.max(F.when((c("prob") == name) & (c("side") == side), c("value"))) for side in ("low", "high"))
-        position = F.lit(p) * (F.max("rows") - 1)
-        return low + (high - low) * (position - F.floor(position))
-
-    return found.groupBy("column").agg(*[quantile(name, p).alias(name) for name, p in probs.items()])
+    units = df.selectExpr(*[f"CAST(`{c}` * {10**scale} AS BIGINT) AS `{c}`" if scale else f"CAST(`{c}` AS BIGINT) AS `{c}`" for c, scale in scales.items()])
+    bounds = units.agg(
+        *[F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("rows")).alias(c) for c in scales]
+    ).first()
+    positions = {c: {name: p * (bounds[c]["rows"] - 1) for name, p in probs.items()} for c in scales if bounds[c]["rows"]}
+    searches = {
+        c: _Search.over(c, bounds[c], {rank for at in wanted.values() for rank in (math.floor(at), math.ceil(at))})
+        for c, wanted in positions.items()
+    }
+    while open_searches := [s for s in searches.values() if s.widths]:
+        # All columns share a job per pass.
+        passes = [s.located(units.select(F.col(f"`{s.column}`"))) for s in open_searches]
+        found = _union(passes).collect()
+        for search in open_searches:
+            search.narrow([row for row in found if row["column"] == search.column])
+
+    def interpolated(column: str, at: float) -> float:
+        low, high = (searches[column].value(rank) / 10 ** scales[column] for rank in (math.floor(at), math.ceil(at)))
+        return low + (high - low) * (at - math.floor(at))
+
+    return {
+        c: {name: interpolated(c, positions[c][name]) if c in positions else None for name in probs} for c in scales
+    }
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    first, *others = frames
+    for other in others:
+        first = first.unionByName(other)
+    return first

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwright.fixed_values import AMOUNT_BINS, QTY_BINS
-from tillwright.functions.numbers import half_even, percent, ratio
+from tillwright.functions.numbers import half_even, percent
 from tillwright.operators.histograms import histogram
-from tillwright.operators.quantiles import exact_quantiles, scaled_values
+from tillwright.operators.quantiles import exact_quantiles
 from tillwright.operators.rollups import value_counts
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -31,14 +31,13 @@ def _quoted(name: str) -> Column:
 
 def shape(src) -> DataFrame:
     """Rows, columns, repeated rows and repeated order ids beyond the first of each."""
-    raw = src.raw()
-    copies = raw.groupBy(*[_quoted(c) for c in raw.columns]).agg(F.count(F.lit(1)).alias("n"))
+    whole = src.row_identity()
+    copies = whole.groupBy(*[_quoted(c) for c in whole.columns]).agg(F.count(F.lit(1)).alias("n"))
     rows = copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("distinct_rows"))
-    ids = src.raw("order_id")
-    order_ids = ids.distinct().agg(F.count(F.lit(1))).scalar()
+    order_ids = src.raw("order_id").distinct().agg(F.count(F.lit(1))).scalar()
     return rows.select(
         "n_rows",
-        F.lit(len(raw.columns)).cast("long").alias("n_cols"),
+        F.lit(len(src.raw().columns)).cast("long").alias("n_cols"),
         (F.col("n_rows") - F.col("distinct_rows")).alias("dup_rows"),
         (F.col("n_rows") - order_ids).alias("dup_order_ids"),
     )
@@ -106,95 +105,94 @@ def samples(ordered: DataFrame, order_column: str) -> DataFrame:
 
 
 def cardinality(src, approx: bool = False) -> DataFrame:
-    """Distinct present values per column, most first.
-
-    Exact counting deduplicates narrow (column, value) pairs, on the map side first, instead of
-    widening every row once per column. ``approx`` sketches all columns in a single pass.
-    """
-    frames = []
-    for part in src.raw_parts():
-        columns = _data_columns(part)
-        if approx:
-            frames.append(_per_column(part, {"n_unique": F.approx_count_distinct}).select("column", "n_unique"))
-            continue
-        pairs = part.select(*[_quoted(c).cast("string").alias(c) for c in columns]).unpivot([], [_quoted(c) for c in columns], "column", "value")
-        none = part.sparkSession.createDataFrame([(c, None) for c in columns], "column string, value string")
-        frames.append(pairs.distinct().unionByName(none).groupBy("column").agg(F.count("value").alias("n_unique")))
+    """Distinct present values per column, most first; ``approx`` sketches instead of counting."""
+    count = F.approx_count_distinct if approx else F.count_distinct
+    frames = [_per_column(part, {"n_unique": count}).select("column", "n_unique") for part in src.raw_parts()]
     return _union(frames).orderBy(F.desc("n_unique"), "column")
 
 
-def _numbers(src) -> tuple[DataFrame, dict[str, int]]:
-    """Quantity and amount, and the decimal places each is exact to."""
-    qty, amount = src.raw_name("qty"), src.raw_name("amount")
-    return src.raw("qty", "amount"), {qty: 0, amount: 2}
+# Decimal places the audited numbers are exact to.
+SCALES = {"qty": 0, "amount": 2}
 
 
-def _long(frame: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Present values as ``(column, x)`` doubles."""
-    doubles = frame.select(*[_quoted(c).cast("double").alias(c) for c in columns])
-    return doubles.unpivot([], list(columns), "column", "x").where(F.col("x").isNotNull())
+def _numbers(src, sold_only: bool = False) -> DataFrame:
+    """Quantity and amount under their role names."""
+    x = _quoted(src.raw_name("qty"))
+    return src.raw(*SCALES).select((F.when(x > 0, x) if sold_only else x).alias("qty"), _quoted(src.raw_name("amount")).alias("amount"))
 
 
-def describe(src) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles of quantity and amount."""
-    frame, scales = _numbers(src)
-    long = _long(frame, scales)
-    moments = long.groupBy("column").agg(
-        F.count("x").alias("cnt"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")
+def _per_number(src, numbers: DataFrame, rules: dict[str, dict[str, str]]) -> DataFrame:
+    """One pass over the numbers, with aggregates in SQL per role, then one row per role."""
+    one = numbers.selectExpr(*[f"CAST({role} AS DOUBLE) AS {role}" for role in SCALES]).selectExpr(
+        *[f"{rule} AS {role}_{name}" for role, named in rules.items() for name, rule in named.items()]
     )
-    quartiles = exact_quantiles(scaled_values(frame, scales), scales, QUARTILES)
-    r = lambda name: F.round(name, 4).alias(name)
-    return moments.join(F.broadcast(quartiles), "column").select(
-        "column", "cnt", r("mean"), r("std"), "min", r("p25"), r("p50"), r("p75"), "max"
-    ).orderBy("column")
+    rows = [
+        F.struct(F.lit(src.raw_name(role)).alias("column"), *[F.col(f"{role}_{name}").alias(name) for name in named])
+        for role, named in rules.items()
+    ]
+    return one.select(F.inline(F.array(*rows))).orderBy("column")
 
 
-def _fences(src, sold_only: bool) -> tuple[DataFrame, DataFrame]:
-    """Values in long form as doubles, and per column quartiles with the 1.5 IQR fences."""
-    frame, scales = _numbers(src)
-    qty = src.raw_name("qty")
-    if sold_only:
-        frame = frame.withColumn(qty, F.when(_quoted(qty) > 0, _quoted(qty)))
-    quartiles = exact_quantiles(scaled_values(frame, scales), scales, QUARTILES)
-    iqr = F.col("p75") - F.col("p25")
-    fences = quartiles.withColumns({"iqr": iqr, "low": F.col("p25") - 1.5 * iqr, "high": F.col("p75") + 1.5 * iqr})
-    long = _long(frame, scales)
-    return long, fences
+def _double(x: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if x is None else f"{x!r}D"
+
+
+def describe(src) -> DataFrame:
+    """Count, mean, sample deviation, extremes and quartiles of quantity and amount."""
+    numbers = _numbers(src)
+    quartiles = exact_quantiles(numbers, SCALES, QUARTILES)
+    rules = {
+        role: {
+            "cnt": f"count({role})",
+            "mean": f"round(avg({role}), 4)",
+            "std": f"round(stddev_samp({role}), 4)",
+            "min": f"min({role})",
+            **{name: f"round({_double(x)}, 4)" for name, x in quartiles[role].items()},
+            "max": f"max({role})",
+        }
+        for role in SCALES
+    }
+    return _per_number(src, numbers, rules)
+
+
+def _inside(role: str, q: dict[str, float | None]) -> str:
+    """Whether a value is within 1.5 IQR of the quartiles."""
+    if q["p25"] is None:
+        return "false"
+    reach = 1.5 * (q["p75"] - q["p25"])
+    return f"{role} BETWEEN {_double(q['p25'] - reach)} AND {_double(q['p75'] + reach)}"
 
 
 def box_stats(src) -> DataFrame:
     """Quartiles, whiskers (extreme values within the fences) and outliers; quantity only where positive."""
-    long, fences = _fences(src, sold_only=True)
-    inside = F.col("x").between(F.col("low"), F.col("high"))
-    return (
-        long.join(F.broadcast(fences), "column")
-        .groupBy("column")
-        .agg(
-            F.round(F.max("p25"), 4).alias("q1"),
-            F.round(F.max("p50"), 4).alias("median"),
-            F.round(F.max("p75"), 4).alias("q3"),
-            F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),
-            F.max(F.when(inside, F.col("x"))).alias("whisker_hi"),
-            F.count_if(~inside).alias("outliers"),
-        )
-        .orderBy("column")
-    )
+    numbers = _numbers(src, sold_only=True)
+    quartiles = exact_quantiles(numbers, SCALES, QUARTILES)
+    rules = {}
+    for role, q in quartiles.items():
+        inside = _inside(role, q)
+        rules[role] = {
+            **{name: f"round({_double(q[p])}, 4)" for name, p in (("q1", "p25"), ("median", "p50"), ("q3", "p75"))},
+            "whisker_lo": f"min({role}) FILTER (WHERE {inside})",
+            "whisker_hi": f"max({role}) FILTER (WHERE {inside})",
+            "outliers": f"count({role}) FILTER (WHERE NOT ({inside}))",
+        }
+    return _per_number(src, numbers, rules)
 
 
 def iqr_outliers(src) -> DataFrame:
     """Rows strictly outside the 1.5 IQR fences, as a share of present values."""
-    long, fences = _fences(src, sold_only=False)
-    outside = ~F.col("x").between(F.col("low"), F.col("high"))
-    return (
-        long.join(F.broadcast(fences), "column")
-        .groupBy("column")
-        .agg(
-            F.round(F.max("iqr"), 4).alias("iqr"),
-            F.count_if(outside).alias("n_outliers"),
-            F.round(percent(F.count_if(outside), F.count("x")), 4).alias("outlier_pct"),
-        )
-        .orderBy("column")
-    )
+    numbers = _numbers(src)
+    quartiles = exact_quantiles(numbers, SCALES, QUARTILES)
+    rules = {}
+    for role, q in quartiles.items():
+        outside = f"count({role}) FILTER (WHERE NOT ({_inside(role, q)}))"
+        iqr = None if q["p25"] is None else q["p75"] - q["p25"]
+        rules[role] = {
+            "iqr": f"round({_double(iqr)}, 4)",
+            "n_outliers": outside,
+            "outlier_pct": f"round({outside} * 100D / nullif(count({role}), 0), 4)",
+        }
+    return _per_number(src, numbers, rules)
 
 
 def amount_histogram(src, bins: int = AMOUNT_BINS) -> DataFrame:

@@ -50,6 +50,10 @@ class FlatSales:
         """The raw columns in groups to audit one by one, each row weighted by ``lines``."""
         return [self.raw().withColumn("lines", F.lit(1).cast("long"))]
 
+    def row_identity(self) -> DataFrame:
+        """The raw columns that tell two different rows apart."""
+        return self.raw()
+
     def raw_name(self, role: str) -> str:
         if self.schema is None:
             raise ValueError("this table was opened without its schema")

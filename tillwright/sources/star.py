@@ -144,6 +144,15 @@ class StarSales:
         items = self._items().withColumn("lines", F.lit(1).cast("long"))
         return [self._raw_named(self._join(items, group, ("lines",)), group, "lines") for group in groups.values()]
 
+    def row_identity(self) -> DataFrame:
+        """The raw columns that tell two different rows apart.
+
+        Lines with the same order id and SKU have the same order and part, so whatever comes from
+        those tables alone need not be joined or compared.
+        """
+        follows = {c for d in DIMENSIONS if d.table != "supplier" for c in d.gives}
+        return self.raw(*[role for role in RAW_TYPES if not set(INPUTS[role]) <= follows])
+
     def raw_name(self, role: str) -> str:
         return STAR_SCHEMA.name(role)
 
