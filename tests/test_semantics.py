@@ -141,6 +141,13 @@ def test_grids_are_complete_over_what_occurs(spark):
     ]
 
 
+def test_matrices(spark):
+    src = sales(spark, {"category": "a", "size": "XL", "qty": 3, "date": "06-06-22"}, {"category": "b", "size": "S", "date": "06-05-22"})
+    sizes = products.size_matrix(src).collect()
+    assert [(r["category"], r["S"], r["XL"], r["M"]) for r in sizes] == [("a", 0, 3, 0), ("b", 1, 0, 0)]
+    assert rows(trends.weekday_matrix(src, ["a", "b"])) == [("Monday", 10.0, 0.0), ("Sunday", 0.0, 10.0)]
+
+
 def test_value_counts_leave_out_nulls(spark):
     src = sales(spark, {"status": "x"}, {"status": "x"}, {"status": "a"}, {"status": None})
     assert rows(overview.counts_of(src, "status")) == [("x", 2, 2 / 3), ("a", 1, 1 / 3)]

@@ -191,7 +191,7 @@ class DemandConfig:
         raise ValueError(f"unknown model {self.model!r}")
 
 
-ROWS_PER_PARTITION = 50_000
+ROWS_PER_PARTITION = 5_000
 
 
 @dataclass(frozen=True)

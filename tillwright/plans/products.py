@@ -68,6 +68,12 @@ def category_sizes(src) -> DataFrame:
     return grid.orderBy("category", position)
 
 
+def size_matrix(src) -> DataFrame:
+    """``category_sizes`` as a matrix: a row per category, a column per size of the domain."""
+    cells = rollup_by(src.lines("category", "size"), ["category", "size"], qty())
+    return cells.groupBy("category").pivot("size", list(SIZES)).agg(F.sum("qty")).na.fill(0).orderBy("category")
+
+
 def top_sku_table(src, k: int = 30) -> DataFrame:
     keys = ["sku", "style", "category"]
     return table(top_k(rollup_by(src.lines(*keys, rows=EARNING), keys, rev(), qty(), orders()), "rev", k, keys))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +56,10 @@ def weekday_category(src) -> DataFrame:
     grid = completed_grid(named, "category", "day_of_week", WEEKDAYS, "rev", "rev")
     position = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("day_of_week"))
     return table(grid.orderBy(position, "category").select("day_of_week", "category", "rev"))
+
+
+def weekday_matrix(src, categories: Sequence[str]) -> DataFrame:
+    """``weekday_category`` as a matrix: a row per weekday that occurs, a column per named category."""
+    grid = weekday_category(src)
+    position = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("day_of_week"))
+    return grid.groupBy("day_of_week").pivot("category", list(categories)).agg(F.sum("rev")).na.fill(0.0).orderBy(position)
