@@ -92,3 +92,27 @@ MODELS: dict[str, Plan] = {
     "fc_combined": lambda src: demand.DemandModel.fit(src, OVERALL).combined(HORIZON),
     "fc_importance": lambda src: demand.DemandModel.fit(src, OVERALL).importance(),
 }
+
+# Which named queries make up each report page.
+PAGES: dict[str, tuple[str, ...]] = {
+    "filters": ("facet_date_bounds", "facet_category", "facet_fulfilment"),
+    "overview": ("kpi_overview", "daily_revenue", "category_revenue", "vc_status", "size_qty", "vc_fulfilment"),
+    "quality": (
+        "dq_shape", "dq_missing", "dq_types", "dq_unique", "dq_describe", "hist_amount", "hist_qty",
+        "box_stats", "dq_iqr_outliers", "dq_raw_states", "dq_status", "dq_zero_null",
+    ),
+    "sales": (
+        "trend_daily", "trend_weekly", "trend_monthly", "category_summary", "size_qty", "top20_sku", "dow_category_heatmap",
+    ),
+    "geography": ("state_summary", "state_top20", "state_share_top10", "city_top25"),
+    "orders": (
+        "vc_status", "vc_fulfilment", "vc_courier", "daily_shipped_cancelled", "vc_service_level", "vc_b2b", "cancel_rate_category",
+    ),
+    "products": ("top15_style", "bottom15_style", "category_performance", "category_size_heatmap", "top30_sku"),
+    "insights": ("ins_cards", "ins_recommendations"),
+}
+
+
+def page(name: str, src) -> dict[str, DataFrame]:
+    """All reports of a page over one source. Forecasts have settings of their own: see ``DemandModel``."""
+    return {query: REPORTS[query](src) for query in PAGES[name]}

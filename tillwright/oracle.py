@@ -360,7 +360,7 @@ SELECT count(*) FILTER (WHERE amount IS NULL) AS null_amount, count(*) FILTER (W
     "fc_daily": _sales("SELECT series, date, CAST(qty AS BIGINT) AS qty, CAST(rev AS DOUBLE) AS rev FROM days", _DAYS),
     "fc_features": _sales(f"""
 SELECT series, date, qty, isodow(date) - 1 AS day_of_week, day(date) AS day_of_month, weekofyear(date) AS week_of_year,
-  month(date) AS month, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+  month(date) AS month, CAST(isodow(date) >= 6 AS BIGINT) AS is_weekend,
   {", ".join(f"CAST(lag_{k} AS BIGINT) AS lag_{k}" for k in (1, 3, 7, 14))},
   {", ".join(f"round(rolling_{m}_{w}, 4) AS rolling_{m}_{w}" for m in ("mean", "std") for w in (3, 7, 14))}
 FROM complete""", _DAYS, _SPLIT),

@@ -37,6 +37,14 @@ def monthly(src) -> DataFrame:
     return table(months.selectExpr(f"{calendar.month_name('first_day')} AS month_name", "orders", "rev", "qty"))
 
 
+def trend(src, granularity: str = "Daily") -> DataFrame:
+    """Orders, revenue and quantity over time: Daily, Weekly or Monthly."""
+    by = {"Daily": daily, "Weekly": weekly, "Monthly": monthly}
+    if granularity not in by:
+        raise ValueError(f"granularity must be one of {sorted(by)}, not {granularity!r}")
+    return by[granularity](src)
+
+
 def category_summary(src) -> DataFrame:
     by_category = rollup_by(src.lines("category"), ["category"], rev(), orders(), qty())
     return table(by_category.orderBy(F.desc("rev"), "category"))
