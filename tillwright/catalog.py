@@ -73,6 +73,7 @@ REPORTS: dict[str, Plan] = {
     "fc_split": lambda src: demand.split_summary(demand.daily(src)),
     "fc_metrics_naive": lambda src: demand.naive_scores(demand.daily(src)),
     "ins_category_stats": insights.category_stats_table,
+    "ins_category_extremes": insights.category_extremes,
     "ins_sku_extremes": insights.sku_extremes,
     "ins_state_extremes": insights.state_extremes,
     "ins_trend": insights.trend,

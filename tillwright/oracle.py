@@ -374,6 +374,11 @@ SELECT series, round(avg(abs(qty - lag_7)), 4) AS mae, round(sqrt(avg((qty - lag
   CASE WHEN count(*) >= 2 THEN round(1 - sum((qty - lag_7)::DOUBLE ^ 2) / nullif(sum((qty - mean)::DOUBLE ^ 2), 0), 4) END AS r2
 FROM (SELECT *, avg(qty) OVER (PARTITION BY series) AS mean FROM complete WHERE pos > cut AND n_days >= 16) GROUP BY series""", _DAYS, _SPLIT),
     "ins_category_stats": _sales("SELECT * FROM stats", _EARNING, _CATEGORY_STATS),
+    "ins_category_extremes": _sales("""
+SELECT 'best' AS which, category, rev, cancel_rate_pct FROM (SELECT * FROM stats ORDER BY rev DESC, category LIMIT 1)
+UNION ALL SELECT 'worst', category, rev, cancel_rate_pct FROM (SELECT * FROM stats ORDER BY rev, category LIMIT 1)
+UNION ALL SELECT 'most_cancelled', category, rev, cancel_rate_pct
+FROM (SELECT * FROM stats ORDER BY cancel_rate_pct DESC, category LIMIT 1)""", _EARNING, _CATEGORY_STATS),
     "ins_sku_extremes": _sales("SELECT which, sku, category, CAST(rev AS DOUBLE) AS rev FROM sku_ends", _EARNING, _SKUS),
     "ins_state_extremes": _sales("SELECT which, state, CAST(rev AS DOUBLE) AS rev, orders FROM state_ends", _EARNING, _STATES),
     "ins_trend": _sales("SELECT * FROM trend", _EARNING, _TREND),

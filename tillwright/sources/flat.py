@@ -80,14 +80,17 @@ def summarised(lines: DataFrame, measures: Sequence[str], *role_sets: tuple[str,
     return [FlatSales(only(roles)) for roles in role_sets]
 
 
-def write_sales_table(lines: DataFrame, path: str, mode: str = "error") -> None:
+def write_sales_table(lines: DataFrame, path: str, mode: str = "error", rebalance: bool = True) -> None:
     """Store clean lines as Parquet by month, so a date filter reads only its months.
 
     The rebalance hint sizes the output files at run time: a month holding most of the lines is
-    split over several tasks, small months share one.
+    split over several tasks, small months share one. It shuffles the lines once; leave it out where
+    they already come in date order, so that a task writes to few months anyway.
     """
     by_month = lines.withColumn(PARTITION_MONTH, F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("undated")))
-    by_month.hint("rebalance", PARTITION_MONTH).write.mode(mode).partitionBy(PARTITION_MONTH).parquet(path)
+    if rebalance:
+        by_month = by_month.hint("rebalance", PARTITION_MONTH)
+    by_month.write.mode(mode).partitionBy(PARTITION_MONTH).parquet(path)
 
 
 def read_sales_table(spark: SparkSession, path: str) -> FlatSales:
