@@ -105,9 +105,23 @@ def samples(ordered: DataFrame, order_column: str) -> DataFrame:
 
 
 def cardinality(src, approx: bool = False) -> DataFrame:
-    """Distinct present values per column, most first; ``approx`` sketches instead of counting."""
-    count = F.approx_count_distinct if approx else F.count_distinct
-    frames = [_per_column(part, {"n_unique": count}).select("column", "n_unique") for part in src.raw_parts()]
+    """Distinct present values per column, most first; ``approx`` sketches instead of counting.
+
+    Counting shuffles narrow (column, value) pairs, deduplicated on the map side first. One distinct
+    count per column in a single aggregate would shuffle rows as wide as the table.
+    """
+    frames = []
+    for part in src.raw_parts():
+        columns = _data_columns(part)
+        if approx:
+            frames.append(_per_column(part, {"n_unique": F.approx_count_distinct}).select("column", "n_unique"))
+            continue
+        # Columns go by their position, which is shorter than their name.
+        texts = part.select(*[_quoted(c).cast("string").alias(str(i)) for i, c in enumerate(columns)])
+        pairs = texts.unpivot([], [f"`{i}`" for i in range(len(columns))], "position", "value").distinct()
+        names = F.array(*[F.lit(c) for c in columns])
+        counts = pairs.groupBy("position").agg(F.count("value").alias("n_unique"))
+        frames.append(counts.select(F.get(names, F.col("position").cast("int")).alias("column"), "n_unique"))
     return _union(frames).orderBy(F.desc("n_unique"), "column")
 
 
