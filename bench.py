@@ -60,7 +60,8 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     total = round(sum(seconds.values()), 3)
-    print(json.dumps({"metric": "headline queries, total time", "value": total, "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    report = {"metric": "headline queries, total time", "value": total, "unit": "sec", "queries": seconds}
+    print(json.dumps({**report, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 
 if __name__ == "__main__":

@@ -103,11 +103,13 @@ PAGES: dict[str, tuple[str, ...]] = {
         "box_stats", "dq_iqr_outliers", "dq_raw_states", "dq_status", "dq_zero_null",
     ),
     "sales": (
-        "trend_daily", "trend_weekly", "trend_monthly", "category_summary", "size_qty", "top20_sku", "dow_category_heatmap",
+        "trend_daily", "trend_weekly", "trend_monthly", "category_summary", "size_qty", "top20_sku",
+        "dow_category_heatmap",
     ),
     "geography": ("state_summary", "state_top20", "state_share_top10", "city_top25"),
     "orders": (
-        "vc_status", "vc_fulfilment", "vc_courier", "daily_shipped_cancelled", "vc_service_level", "vc_b2b", "cancel_rate_category",
+        "vc_status", "vc_fulfilment", "vc_courier", "daily_shipped_cancelled", "vc_service_level", "vc_b2b",
+        "cancel_rate_category",
     ),
     "products": ("top15_style", "bottom15_style", "category_performance", "category_size_heatmap", "top30_sku"),
     "insights": ("ins_cards", "ins_recommendations"),

@@ -24,9 +24,5 @@ def percent(part: Column, whole: Column) -> Column:
 
 def money_to_double(df: DataFrame) -> DataFrame:
     """Sums stay DECIMAL until here, so they do not depend on the order of addition."""
-    return df.select(
-        *[
-            F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    money = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
+    return df.withColumns({name: F.col(name).cast("double") for name in money})

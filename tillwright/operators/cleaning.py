@@ -52,7 +52,8 @@ def _with(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 def clean_roles(df: DataFrame, tidy_places: bool = False) -> DataFrame:
     """Clean the text and date roles that are present; ``tidy_places`` only need their gaps filled."""
     kinds = dict(df.dtypes)
-    by_platform = f"CASE WHEN fulfilment = '{PLATFORM_FULFILMENT}' THEN '{FULFILLED_BY_PLATFORM}' ELSE '{FULFILLED_BY_SELLER}' END"
+    is_platform = f"fulfilment = '{PLATFORM_FULFILMENT}'"
+    by_whom = f"CASE WHEN {is_platform} THEN '{FULFILLED_BY_PLATFORM}' ELSE '{FULFILLED_BY_SELLER}' END"
     rules = {
         "date": calendar.report_date("date") if kinds.get("date") == "string" else "CAST(date AS DATE)",
         "state": f"coalesce(state, '{UNKNOWN_PLACE}')" if tidy_places else text.state("state"),
@@ -60,7 +61,7 @@ def clean_roles(df: DataFrame, tidy_places: bool = False) -> DataFrame:
         "courier_status": f"coalesce(courier_status, '{UNKNOWN_COURIER}')",
         "promotion_ids": f"coalesce(promotion_ids, '{NO_PROMOTION}')",
         "currency": f"coalesce(currency, '{DEFAULT_CURRENCY}')",
-        "fulfilled_by": f"coalesce(fulfilled_by, {by_platform})",
+        "fulfilled_by": f"coalesce(fulfilled_by, {by_whom})",
     }
     return _with(df, {role: rule for role, rule in rules.items() if role in kinds})
 
@@ -95,7 +96,8 @@ def add_measures(df: DataFrame) -> DataFrame:
         "earning_lines": "CASE WHEN revenue > 0 THEN 1L ELSE 0L END",
         "earning_orders": "CASE WHEN revenue > 0 AND order_id IS NOT NULL THEN 1L ELSE 0L END",
         "earning_qty": "CASE WHEN revenue > 0 THEN qty END",
-        "kind": "CASE WHEN revenue > 0 THEN 'earning' WHEN revenue IS NOT NULL THEN 'priced' WHEN qty > 0 THEN 'sold' ELSE 'unsold' END",
+        "kind": """CASE WHEN revenue > 0 THEN 'earning' WHEN revenue IS NOT NULL THEN 'priced'
+            WHEN qty > 0 THEN 'sold' ELSE 'unsold' END""",
     }
     return _with(priced, measures)
 

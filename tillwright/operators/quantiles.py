@@ -55,7 +55,9 @@ class _Search:
             .withColumn("outer", F.expr(f"inner div {parts}"))
         )
         running = Window.partitionBy("outer").orderBy("inner").rowsBetween(Window.unboundedPreceding, -1)
-        wanted = " OR ".join(f"(outer = {i} AND {rank} >= before AND {rank} < before + n)" for i, rank in self.places.values())
+        wanted = " OR ".join(
+            f"(outer = {interval} AND {rank} >= before AND {rank} < before + n)" for interval, rank in self.places.values()
+        )
         placed = counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
         return placed.where(wanted).select(F.lit(self.column).alias("column"), "outer", "inner", "before", "n")
 
@@ -69,12 +71,15 @@ class _Search:
         return self.smallest + self.places[rank][0]
 
 
-def exact_quantiles(df: DataFrame, scales: Mapping[str, int], probs: Mapping[str, float]) -> dict[str, dict[str, float | None]]:
+def exact_quantiles(
+    df: DataFrame, scales: Mapping[str, int], probs: Mapping[str, float]
+) -> dict[str, dict[str, float | None]]:
     """Linearly interpolated quantiles of exact numbers: column -> name in ``probs`` -> value.
 
     ``scales`` gives each column's decimal places. A column without values has no quantiles (None).
     """
-    units = df.selectExpr(*[f"CAST(`{c}` * {10**scale} AS BIGINT) AS `{c}`" if scale else f"CAST(`{c}` AS BIGINT) AS `{c}`" for c, scale in scales.items()])
+    scaled = {c: f"`{c}` * {10**scale}" if scale else f"`{c}`" for c, scale in scales.items()}
+    units = df.selectExpr(*[f"CAST({rule} AS BIGINT) AS `{c}`" for c, rule in scaled.items()])
     bounds = units.agg(
         *[F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("rows")).alias(c) for c in scales]
     ).first()

@@ -61,23 +61,24 @@ def best_and_worst(df: DataFrame, by: str, keys: Sequence[str]) -> DataFrame:
     """Both ends by a measure in one aggregate; ties go to the first key in ascending order."""
     columns = [*keys, *[c for c in df.columns if c not in keys]]
 
-    def pick(sign: int) -> Column:
-        return F.min(F.struct((F.col(by) * sign).alias("rank_by"), *columns))
+    def first(rank: Column) -> Column:
+        return F.min(F.struct(rank.alias("rank_by"), *columns))
 
-    ends = df.where(F.col(by).isNotNull()).agg(pick(-1).alias("best"), pick(1).alias("worst"))
-    rows = F.array(
-        *[F.struct(F.lit(end).alias("which"), *[F.col(f"{end}.{c}").alias(c) for c in columns]) for end in ("best", "worst")]
-    )
-    return ends.where(F.col("best").isNotNull()).select(F.inline(rows))
+    ends = df.where(f"{by} IS NOT NULL").agg(first(-F.col(by)).alias("best"), first(F.col(by)).alias("worst"))
+    rows = [F.struct(F.lit(end).alias("which"), *[F.col(end)[c].alias(c) for c in columns]) for end in ends.columns]
+    return ends.where("best IS NOT NULL").select(F.inline(F.array(*rows)))
 
 
 def domain_totals(df: DataFrame, key: str, domain: Sequence[str], value: str, out: str) -> DataFrame:
     """Total per value of a fixed domain, zero where absent; values outside it are left out."""
-    sums = df.agg(*[F.coalesce(F.sum(F.when(F.col(key) == v, F.col(value))), F.lit(0)).alias(f"v{i}") for i, v in enumerate(domain)])
-    rows = F.array(
-        *[F.struct(F.lit(v).alias(key), F.lit(i).cast("long").alias("ordinal"), F.col(f"v{i}").alias(out)) for i, v in enumerate(domain)]
+    sums = df.selectExpr(
+        *[f"coalesce(sum({value}) FILTER (WHERE {key} = '{v}'), 0) AS v{i}" for i, v in enumerate(domain)]
     )
-    return sums.select(F.inline(rows))
+    rows = [
+        F.struct(F.lit(v).alias(key), F.lit(i).cast("long").alias("ordinal"), F.col(f"v{i}").alias(out))
+        for i, v in enumerate(domain)
+    ]
+    return sums.select(F.inline(F.array(*rows)))
 
 
 def completed_grid(df: DataFrame, row: str, col: str, domain: Sequence[str], value: str, out: str) -> DataFrame:
@@ -88,14 +89,15 @@ def completed_grid(df: DataFrame, row: str, col: str, domain: Sequence[str], val
     """
     cells = rollup_by(df, [row, col], F.sum(value).alias("cell"), F.count(F.lit(1)).alias("hits"))
     wide = cells.groupBy(row).pivot(col, list(domain)).agg(F.sum("cell").alias("cell"), F.sum("hits").alias("hits"))
-    long = wide.select(
-        row,
-        F.inline(F.array(*[F.struct(F.lit(v).alias(col), F.col(f"`{v}_cell`").alias("cell"), F.col(f"`{v}_hits`").alias("hits")) for v in domain])),
-    )
+    pairs = [
+        F.struct(F.lit(v).alias(col), F.col(f"`{v}_cell`").alias("cell"), F.col(f"`{v}_hits`").alias("hits"))
+        for v in domain
+    ]
     present = F.max("hits").over(Window.partitionBy(col))
     return (
-        long.withColumn("present", present)
-        .where(F.col("present").isNotNull())
+        wide.select(row, F.inline(F.array(*pairs)))
+        .withColumn("present", present)
+        .where("present IS NOT NULL")
         .select(row, col, F.coalesce("cell", F.lit(0)).alias(out))
     )
 

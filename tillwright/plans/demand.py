@@ -63,8 +63,8 @@ def _without_gaps(days: DataFrame) -> DataFrame:
 
 
 def _calendar(date: str) -> list[str]:
-    rules = (f"weekday({date})", f"dayofmonth({date})", f"weekofyear({date})", f"month({date})", f"weekday({date}) >= 5")
-    return [f"CAST({rule} AS BIGINT) AS {name}" for name, rule in zip(CALENDAR, rules, strict=True)]
+    rules = ("weekday({0})", "dayofmonth({0})", "weekofyear({0})", "month({0})", "weekday({0}) >= 5")
+    return [f"CAST({rule.format(date)} AS BIGINT) AS {name}" for name, rule in zip(CALENDAR, rules, strict=True)]
 
 
 def _with_features(days: DataFrame) -> DataFrame:
@@ -73,8 +73,9 @@ def _with_features(days: DataFrame) -> DataFrame:
     columns = [f"lag(qty, {k}) OVER ({by_date}) AS lag_{k}" for k in LAGS]
     for w in WINDOWS:
         before = f"({by_date} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
-        for name, function in (("mean", "avg"), ("std", "stddev_samp")):
-            columns.append(f"CASE WHEN count(qty) OVER {before} = {w} THEN {function}(qty) OVER {before} END AS rolling_{name}_{w}")
+        full = f"count(qty) OVER {before} = {w}"
+        columns.append(f"CASE WHEN {full} THEN avg(qty) OVER {before} END AS rolling_mean_{w}")
+        columns.append(f"CASE WHEN {full} THEN stddev_samp(qty) OVER {before} END AS rolling_std_{w}")
     return days.selectExpr("*", *_calendar("date"), *columns)
 
 
@@ -153,7 +154,7 @@ def scores(predicted: DataFrame) -> DataFrame:
 def naive_scores(days: DataFrame) -> DataFrame:
     """Scores of "same as seven observed days ago" on the test days."""
     test = model_rows(days).where(~F.col("is_train"))
-    return scores(test.select("series", F.col("qty").alias("actual"), F.col("lag_7").cast("double").alias("prediction")))
+    return scores(test.selectExpr("series", "qty AS actual", "CAST(lag_7 AS DOUBLE) AS prediction"))
 
 
 # -- models -------------------------------------------------------------------------------------
@@ -219,8 +220,8 @@ class DemandModel:
             raise ValueError(f"no series has the {MIN_MODEL_DAYS} days of sales a model needs")
         vectors = _assembler(config).transform(train)
         # A fixed order of rows makes the bootstrap, and so the model, repeatable.
-        spread = vectors.repartition(-(-count // ROWS_PER_PARTITION), "series", "date").sortWithinPartitions("series", "date")
-        return config.estimator().fit(spread.select("features", "qty"))
+        spread = vectors.repartition(-(-count // ROWS_PER_PARTITION), "series", "date")
+        return config.estimator().fit(spread.sortWithinPartitions("series", "date").select("features", "qty"))
 
     def _tested(self) -> DataFrame:
         test = _assembler(self.config).transform(self.rows.where(~F.col("is_train")))
@@ -275,8 +276,8 @@ class DemandModel:
 
     def combined(self, horizon: int = 7) -> DataFrame:
         """History and forecast in one frame."""
-        past = self.rows.select("series", "date", F.lit("history").alias("kind"), "qty")
-        future = self.forecast(horizon).select("series", "date", F.lit("forecast").alias("kind"), F.col("forecast_qty").alias("qty"))
+        past = self.rows.selectExpr("series", "date", "'history' AS kind", "qty")
+        future = self.forecast(horizon).selectExpr("series", "date", "'forecast' AS kind", "forecast_qty AS qty")
         return past.unionByName(future)
 
 
@@ -299,9 +300,9 @@ def _add_next_features(state: DataFrame, step: int, parity: bool) -> DataFrame:
         f"CASE WHEN {size} >= {w} THEN {total_of.format(tail)} / {w} ELSE {overall} END AS rolling_mean_{w}"
         for w, tail in tails.items()
     ]
+    squares = "aggregate({0}, 0D, (a, x) -> a + (x - rolling_mean_{1}) * (x - rolling_mean_{1}))"
     deviations = [
-        f"""CASE WHEN {size} < {w} THEN 0D ELSE sqrt(aggregate({tail}, 0D,
-            (a, x) -> a + (x - rolling_mean_{w}) * (x - rolling_mean_{w})) / {w if parity else w - 1}) END AS rolling_std_{w}"""
+        f"CASE WHEN {size} < {w} THEN 0D ELSE sqrt({squares.format(tail, w)} / {w if parity else w - 1}) END AS rolling_std_{w}"
         for w, tail in tails.items()
     ]
     dated = state.selectExpr("*", *_calendar(f"date_add(last_date, {step})"), *lags, *means)

@@ -67,7 +67,10 @@ def missing(src) -> DataFrame:
     absent = F.col("rows") - F.col("present")
     return (
         counted.select(
-            "column", absent.alias("missing"), half_even(percent(absent, F.col("rows")), 2).alias("missing_pct"), "present"
+            "column",
+            absent.alias("missing"),
+            half_even(percent(absent, F.col("rows")), 2).alias("missing_pct"),
+            "present",
         )
         .where(F.col("missing") > 0)
         .orderBy(F.desc("missing_pct"), "column")
@@ -91,15 +94,12 @@ def samples(ordered: DataFrame, order_column: str) -> DataFrame:
     ``ordered`` is a raw frame with a sortable position column, see ``with_file_order``.
     """
     columns = [c for c in ordered.columns if c != order_column]
-    firsts = ordered.agg(
-        *[
-            F.coalesce(
-                F.min(F.when(_quoted(c).isNotNull(), F.struct(F.col(order_column), _quoted(c).cast("string").alias("value"))))["value"],
-                F.lit("N/A"),
-            ).alias(f"s{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
+
+    def first_present(c: str) -> Column:
+        placed = F.struct(F.col(order_column), _quoted(c).cast("string").alias("value"))
+        return F.coalesce(F.min(F.when(_quoted(c).isNotNull(), placed))["value"], F.lit("N/A"))
+
+    firsts = ordered.agg(*[first_present(c).alias(f"s{i}") for i, c in enumerate(columns)])
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("sample")) for i, c in enumerate(columns)]
     return firsts.select(F.inline(F.array(*rows)))
 
@@ -131,8 +131,9 @@ SCALES = {"qty": 0, "amount": 2}
 
 def _numbers(src, sold_only: bool = False) -> DataFrame:
     """Quantity and amount under their role names."""
-    x = _quoted(src.raw_name("qty"))
-    return src.raw(*SCALES).select((F.when(x > 0, x) if sold_only else x).alias("qty"), _quoted(src.raw_name("amount")).alias("amount"))
+    qty, amount = (_quoted(src.raw_name(role)) for role in ("qty", "amount"))
+    audited = F.when(qty > 0, qty) if sold_only else qty
+    return src.raw("qty", "amount").select(audited.alias("qty"), amount.alias("amount"))
 
 
 def _per_number(src, numbers: DataFrame, rules: dict[str, dict[str, str]]) -> DataFrame:
@@ -228,7 +229,8 @@ def raw_states(src) -> DataFrame:
 
 
 def status_counts(src) -> DataFrame:
-    weighted = src.raw("status").select(_quoted(src.raw_name("status")).alias("status"), F.lit(1).cast("long").alias("lines"))
+    status = _quoted(src.raw_name("status")).alias("status")
+    weighted = src.raw("status").select(status, F.lit(1).cast("long").alias("lines"))
     return value_counts(weighted, "status", share=False).withColumnRenamed("value", "status")
 
 

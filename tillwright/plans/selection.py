@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwright.functions import calendar
-from tillwright.operators.rollups import lines, qty, rev, rollup_by, table
+from tillwright.operators.rollups import lines, rev, rollup_by, table
 
 
 def facet(src, role: str) -> DataFrame:

@@ -70,4 +70,5 @@ def weekday_matrix(src, categories: Sequence[str]) -> DataFrame:
     """``weekday_category`` as a matrix: a row per weekday that occurs, a column per named category."""
     grid = weekday_category(src)
     position = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("day_of_week"))
-    return grid.groupBy("day_of_week").pivot("category", list(categories)).agg(F.sum("rev")).na.fill(0.0).orderBy(position)
+    cells = grid.groupBy("day_of_week").pivot("category", list(categories)).agg(F.sum("rev"))
+    return cells.na.fill(0.0).orderBy(position)

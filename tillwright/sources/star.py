@@ -60,7 +60,8 @@ DIMENSIONS = (
 COLUMNS: dict[str, str] = {
     "l_qty": "CASE WHEN l_linenumber = 7 THEN 0 ELSE CAST(l_quantity AS INT) END",
     "l_amount": "CASE WHEN l_tax = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END",
-    "l_courier_status": "CASE WHEN l_linenumber = 6 THEN NULL WHEN l_returnflag = 'R' THEN 'Cancelled' ELSE 'Shipped' END",
+    "l_courier_status": """CASE WHEN l_linenumber = 6 THEN NULL WHEN l_returnflag = 'R' THEN 'Cancelled'
+        ELSE 'Shipped' END""",
     "l_promotion_ids": "CASE WHEN l_discount = 0 THEN NULL ELSE 'PROMO' END",
     # Lines without a city simply have no supplier to look it up from.
     "l_citykey": "CASE WHEN l_linenumber = 5 THEN NULL ELSE l_suppkey END",
@@ -72,7 +73,7 @@ COLUMNS: dict[str, str] = {
         WHEN 3 THEN 'APO' ELSE lower(n_name) END""",
     "p_style": "p_brand",
     "p_category": "p_type",
-    "p_size_label": "CASE p_size % 12 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SIZES)) + " ELSE 'Other' END",
+    "p_size_label": f"CASE p_size % 12 {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SIZES))} ELSE 'Other' END",
     "s_city": "s_name",
 }
 
@@ -119,11 +120,13 @@ class StarSales:
     def lines(self, *roles: str, rows: str = EVERY) -> DataFrame:
         """Roles plus measures, filtered. Lines that agree on all roles may arrive summed."""
         base = [DERIVED_FROM.get(r, r) for r in [*roles, *sorted(self.filters.roles())] if r not in MEASURES]
-        items = add_measures(self._items().selectExpr("*", "l_orderkey AS order_id", "l_qty AS qty", "l_amount AS amount"))
+        inputs = ("l_orderkey AS order_id", "l_qty AS qty", "l_amount AS amount")
+        items = add_measures(self._items().selectExpr("*", *inputs))
         wanted = row_class(rows)
         items = items if wanted is None else items.where(wanted)
         joined = self._join(items, list(dict.fromkeys(base)), MEASURES, TIDY_COLUMNS)
-        return self.filters.apply(add_derived(clean_roles(joined, tidy_places=True))).select(*dict.fromkeys([*roles, *MEASURES]))
+        clean = add_derived(clean_roles(joined, tidy_places=True))
+        return self.filters.apply(clean).select(*dict.fromkeys([*roles, *MEASURES]))
 
     def raw(self, *roles: str) -> DataFrame:
         """The raw line view, one row per line, with the columns of ``STAR_SCHEMA``; filters do not apply."""
