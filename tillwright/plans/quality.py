@@ -224,14 +224,14 @@ def _rounded_edges(bins: DataFrame) -> DataFrame:
 
 
 def raw_states(src) -> DataFrame:
-    found = src.raw("state").select(_quoted(src.raw_name("state")).alias("state"))
+    found = src.weighted_raw("state").select(_quoted(src.raw_name("state")).alias("state"))
     return found.where(F.col("state").isNotNull()).distinct().orderBy("state")
 
 
 def status_counts(src) -> DataFrame:
     status = _quoted(src.raw_name("status")).alias("status")
-    weighted = src.raw("status").select(status, F.lit(1).cast("long").alias("lines"))
-    return value_counts(weighted, "status", share=False).withColumnRenamed("value", "status")
+    counts = value_counts(src.weighted_raw("status").select(status, "lines"), "status", share=False)
+    return counts.withColumnRenamed("value", "status")
 
 
 def zero_and_null(src) -> DataFrame:

@@ -46,9 +46,13 @@ class FlatSales:
         by_trimmed = {c.strip(): c for c in self.raw_lines.columns}
         return self.raw_lines.select(*[F.col(f"`{by_trimmed[self.schema.name(r)]}`") for r in roles])
 
+    def weighted_raw(self, *roles: str) -> DataFrame:
+        """``raw`` with the number of ``lines`` each row stands for."""
+        return self.raw(*roles).withColumn("lines", F.lit(1).cast("long"))
+
     def raw_parts(self) -> list[DataFrame]:
-        """The raw columns in groups to audit one by one, each row weighted by ``lines``."""
-        return [self.raw().withColumn("lines", F.lit(1).cast("long"))]
+        """The raw columns in groups to audit one by one, weighted."""
+        return [self.weighted_raw()]
 
     def row_identity(self) -> DataFrame:
         """The raw columns that tell two different rows apart."""

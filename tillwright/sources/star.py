@@ -133,6 +133,11 @@ class StarSales:
         wanted = list(roles or RAW_TYPES)
         return self._raw_named(self._join(self._items(), wanted, ()), wanted)
 
+    def weighted_raw(self, *roles: str) -> DataFrame:
+        """Raw columns of some roles with the number of ``lines`` each row stands for."""
+        items = self._items().withColumn("lines", F.lit(1).cast("long"))
+        return self._raw_named(self._join(items, roles, ("lines",)), roles, "lines")
+
     def raw_parts(self) -> list[DataFrame]:
         """The raw columns grouped by the table that is joined last to get them, weighted by ``lines``.
 
@@ -144,8 +149,7 @@ class StarSales:
         groups: dict[str, list[str]] = {}
         for role in RAW_TYPES:
             groups.setdefault(last.get(INPUTS[role][-1], "lineitem"), []).append(role)
-        items = self._items().withColumn("lines", F.lit(1).cast("long"))
-        return [self._raw_named(self._join(items, group, ("lines",)), group, "lines") for group in groups.values()]
+        return [self.weighted_raw(*group) for group in groups.values()]
 
     def row_identity(self) -> DataFrame:
         """The raw columns that tell two different rows apart.
