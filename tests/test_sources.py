@@ -42,6 +42,13 @@ def test_stored_table_gives_the_same(flat, stored, name):
     assert rows_of(a.columns, a.collect()) == rows_of(b.columns, b.collect())
 
 
+def test_storing_without_rebalancing(spark, flat, stored, tmp_path):
+    path = str(tmp_path / "plain")
+    write_sales_table(flat.clean_lines, path, rebalance=False)
+    again = read_sales_table(spark, path)
+    assert again.clean_lines.count() == stored.clean_lines.count() == flat.clean_lines.count()
+
+
 def test_date_filter_prunes_stored_months(stored):
     spec = FilterSpec(dt.date(1996, 1, 10), dt.date(1996, 2, 20))
     plan = stored.where(spec).lines("category")._jdf.queryExecution().executedPlan().toString()

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tillwright.operators.rollups import union_all
+
 INTERVALS_PER_PASS = 2**16
 
 
@@ -91,7 +93,7 @@ def exact_quantiles(
     while open_searches := [s for s in searches.values() if s.widths]:
         # All columns share a job per pass.
         passes = [s.located(units.select(F.col(f"`{s.column}`"))) for s in open_searches]
-        found = _union(passes).collect()
+        found = union_all(passes).collect()
         for search in open_searches:
             search.narrow([row for row in found if row["column"] == search.column])
 
@@ -102,10 +104,3 @@ def exact_quantiles(
     return {
         c: {name: interpolated(c, positions[c][name]) if c in positions else None for name in probs} for c in scales
     }
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    first, *others = frames
-    for other in others:
-        first = first.unionByName(other)
-    return first

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,6 +103,10 @@ def completed_grid(df: DataFrame, row: str, col: str, domain: Sequence[str], val
     )
 
 
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Report table: money leaves as DOUBLE."""
     return money_to_double(df)

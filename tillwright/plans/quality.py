@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,15 +11,11 @@ from tillwright.fixed_values import AMOUNT_BINS, QTY_BINS
 from tillwright.functions.numbers import half_even, percent
 from tillwright.operators.histograms import histogram
 from tillwright.operators.quantiles import exact_quantiles
-from tillwright.operators.rollups import value_counts
+from tillwright.operators.rollups import union_all, value_counts
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def _data_columns(part: DataFrame) -> list[str]:
     return [c for c in part.columns if c != "lines"]
 
@@ -63,7 +58,7 @@ def _present(c: Column) -> Column:
 
 def missing(src) -> DataFrame:
     """Columns with missing values: how many, percent of rows (two decimals), and how many present."""
-    counted = _union([_per_column(part, {"present": _present}) for part in src.raw_parts()])
+    counted = union_all([_per_column(part, {"present": _present}) for part in src.raw_parts()])
     absent = F.col("rows") - F.col("present")
     return (
         counted.select(
@@ -85,7 +80,7 @@ def types(src) -> DataFrame:
         name_of = F.create_map(*[F.lit(x) for c in _data_columns(part) for x in (c, names[c])])
         counted = _per_column(part, {"non_null": _present})
         frames.append(counted.select("column", name_of[F.col("column")].alias("type"), "non_null"))
-    return _union(frames).orderBy("column")
+    return union_all(frames).orderBy("column")
 
 
 def samples(ordered: DataFrame, order_column: str) -> DataFrame:
@@ -122,7 +117,7 @@ def cardinality(src, approx: bool = False) -> DataFrame:
         names = F.array(*[F.lit(c) for c in columns])
         counts = pairs.groupBy("position").agg(F.count("value").alias("n_unique"))
         frames.append(counts.select(F.get(names, F.col("position").cast("int")).alias("column"), "n_unique"))
-    return _union(frames).orderBy(F.desc("n_unique"), "column")
+    return union_all(frames).orderBy(F.desc("n_unique"), "column")
 
 
 # Decimal places the audited numbers are exact to.
