@@ -1,0 +1,54 @@
+"""Star tables with hot keys, missing keys and lines whose order, part or supplier does not exist."""
+
+import duckdb
+import pytest
+from conftest import SF_DIR
+
+from check import TABLES, oracle_connection, rows_of
+from tillwright.catalog import REPORTS
+from tillwright.oracle import ORACLE
+from tillwright.sources.star import StarSales
+
+SPOILED = {
+    "lineitem": """SELECT * EXCLUDE (n) REPLACE (
+        CASE WHEN n % 3 = 0 THEN 7 WHEN n % 50 = 1 THEN NULL ELSE l_orderkey END AS l_orderkey,
+        CASE WHEN n % 3 = 1 THEN 11 WHEN n % 50 = 2 THEN NULL ELSE l_partkey END AS l_partkey,
+        CASE WHEN n % 3 = 2 THEN 3 WHEN n % 50 = 3 THEN NULL ELSE l_suppkey END AS l_suppkey)
+        FROM (SELECT *, row_number() OVER () AS n FROM {0})""",
+    "orders": "SELECT * FROM {0} WHERE o_orderkey % 10 <> 3",
+    "customer": "SELECT * FROM {0} WHERE c_custkey % 10 <> 4",
+    "part": "SELECT * FROM {0} WHERE p_partkey % 10 <> 5",
+    "supplier": "SELECT * FROM {0} WHERE s_suppkey % 5 <> 2",
+}
+
+
+@pytest.fixture(scope="module")
+def spoiled(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("spoiled")
+    for name in TABLES:
+        source = f"read_parquet('{SF_DIR}/{name}.parquet')"
+        sql = SPOILED.get(name, "SELECT * FROM {0}").format(source)
+        duckdb.connect().execute(f"COPY ({sql}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def con(spoiled):
+    return oracle_connection(spoiled)
+
+
+def agree(spark, con, folder, name):
+    df = REPORTS[name](StarSales(spark, folder))
+    cursor = con.execute(ORACLE[name])
+    want = rows_of([d[0] for d in cursor.description], cursor.fetchall())
+    assert rows_of(df.columns, df.collect()) == want
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_nothing_is_lost(spark, shuffle_joins, con, spoiled, name):
+    agree(spark, con, spoiled, name)
+
+
+@pytest.mark.parametrize("name", ["clean_sales", "kpi_overview", "state_summary", "city_top25", "dq_missing", "ins_cards"])
+def test_nothing_is_lost_with_broadcasts(spark, con, spoiled, name):
+    agree(spark, con, spoiled, name)

@@ -24,7 +24,7 @@ INPUTS: dict[str, tuple[str, ...]] = {
     "style": ("p_style",),
     "sku": ("l_partkey",),
     "category": ("p_category",),
-    "size": ("p_size_label",),
+    "size": ("p_size",),
     "courier_status": ("l_courier_status",),
     "qty": ("l_qty",),
     "amount": ("l_amount",),
@@ -51,7 +51,7 @@ DIMENSIONS = (
     Dimension("orders", "l_orderkey", "o_orderkey", ("o_date", "o_status", "o_service_level", "o_custkey")),
     Dimension("customer", "o_custkey", "c_custkey", ("c_b2b", "c_nationkey")),
     Dimension("nation", "c_nationkey", "n_nationkey", ("n_state",)),
-    Dimension("part", "l_partkey", "p_partkey", ("p_style", "p_category", "p_size_label")),
+    Dimension("part", "l_partkey", "p_partkey", ("p_style", "p_category", "p_size")),
     Dimension("supplier", "l_citykey", "s_suppkey", ("s_city",)),
 )
 
@@ -73,7 +73,6 @@ COLUMNS: dict[str, str] = {
         WHEN 3 THEN 'APO' ELSE lower(n_name) END""",
     "p_style": "p_brand",
     "p_category": "p_type",
-    "p_size_label": f"CASE p_size % 12 {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SIZES))} ELSE 'Other' END",
     "s_city": "s_name",
 }
 
@@ -84,6 +83,7 @@ TIDY_COLUMNS = {**COLUMNS, "n_state": text.state(f"({COLUMNS['n_state']})"), "s_
 ROLES: dict[str, str] = {
     "order_id": "CAST(l_orderkey AS STRING)",
     "sku": "CAST(l_partkey AS STRING)",
+    "size": f"CASE p_size % 12 {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SIZES))} ELSE 'Other' END",
     "fulfilment": "CASE WHEN l_linestatus = 'F' THEN 'Amazon' ELSE 'Merchant' END",
     "status": """CASE WHEN l_returnflag = 'R' AND o_status = 'F' THEN 'Cancelled' WHEN o_status = 'P' THEN 'Pending'
         WHEN l_returnflag = 'A' THEN 'Shipped - Delivered to Buyer' ELSE 'Shipped' END""",
