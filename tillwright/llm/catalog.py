@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwright.llm import rule_quality, simhash
+from tillwright.llm import bpe_trie, decontaminate, rule_quality, simhash
 from tillwright.llm.common import read_table
 
+VOCABULARY = "byte_bpe_50k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,12 +20,22 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_quality.score_documents(docs, rule_quality.fit(docs, labels))
 
 
+def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_trie.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
+    "op5_bpe": bpe,
     "op7_simhash_near_dedup": near_duplicates,
+    "op8_benchmark_decontamination": decontamination,
     "op10_quality_classifier": quality_classifier,
 }
 
