@@ -6,9 +6,11 @@ import os
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwright.llm import rule_quality, simhash
+from tillwright.llm import bpe_trie, decontaminate, rule_quality, secret_scan, simhash
+from tillwright.llm.catalog import VOCABULARY
 from tillwright.llm.common import read_table, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,9 +27,27 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.keep_one(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text; the documents stay."""
+    return secret_scan.redact(docs, secret_scan.train(docs))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document and its round trip."""
+    return bpe_trie.token_digests(docs, public_tokenizers.path(VOCABULARY))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_classifier),
     ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("bpe", bpe),
 ]
 
 #: Trained models and fingerprints have no SQL form; tests compare the stages with brute force.

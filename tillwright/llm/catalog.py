@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwright.llm import bpe_trie, decontaminate, rule_quality, simhash
+from tillwright.llm import bpe_trie, decontaminate, pii, rule_quality, secret_scan, simhash
 from tillwright.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -32,7 +32,18 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secret_scan.findings(docs, secret_scan.train(docs))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_pii": personal_data,
+    "op4_secret_scans": secrets,
     "op5_bpe": bpe,
     "op7_simhash_near_dedup": near_duplicates,
     "op8_benchmark_decontamination": decontamination,
