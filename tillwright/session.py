@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,15 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers that share this machine's folders import the package; others get it as py-files."""
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if folder not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, folder])
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder, so lost executors cost no recomputation."""
     _ensure_checkpoint_dir(df.sparkSession)
