@@ -1,0 +1,76 @@
+"""The kernel against counted subsequences, the machine by held-out accuracy."""
+
+import itertools
+from collections import Counter
+
+import numpy as np
+import pytest
+from corpus_fixtures import make_docs, table  # noqa: F401
+from pyspark.sql import functions as F
+
+from tillwright.llm import toxic_kernel as tk
+
+
+def plain_kernel(s, t):
+    def weights(x):
+        found = Counter()
+        for places in itertools.combinations(range(len(x)), tk.LENGTH):
+            found["".join(x[i] for i in places)] += float(tk.DECAY) ** (places[-1] - places[0] + 1)
+        return found
+
+    a, b = weights(s), weights(t)
+    return sum(a[k] * b[k] for k in a)
+
+
+WORDS = ["stupid", "stpid", "stuupid", "s.t.u.p.i.d", "idiot", "the", "ab", "aaaa", "ñoño", "stupidest"]
+
+
+def test_kernel_of_pairs():
+    pairs = list(itertools.product(WORDS, ["stupid", "aaa", "idiots", "ñoñ"]))
+    got = tk.kernel_of_pairs([a for a, _ in pairs], [b for _, b in pairs])
+    assert got == pytest.approx([plain_kernel(a, b) for a, b in pairs], rel=1e-4, abs=1e-7)
+
+
+def test_likeness():
+    landmarks = ["stupid", "idiot"]
+    got = tk.likeness(WORDS, landmarks)
+    for word, row in zip(WORDS, got, strict=True):
+        for mark, value in zip(landmarks, row, strict=True):
+            if sum((Counter(word) & Counter(mark)).values()) < max(3, 0.6 * len(mark)):
+                assert value == 0
+            else:
+                exact = plain_kernel(word, mark) / (plain_kernel(word, word) * plain_kernel(mark, mark)) ** 0.5
+                assert value == pytest.approx(exact**tk.POWER, rel=1e-3)
+
+
+def test_bags_hold_the_closest_words(monkeypatch):
+    texts = ["", "You are stupid. The idiot!\nnothing", "s t u p i d it is", "x" * 500 + " stupid" + "y" * 60, "the " * 9_000 + "idiot"] * 2
+    want = [bag.max(0) for bag in tk.Comparer(["stupid", "idiot"]).bags(texts)]
+    assert [bag.shape[0] for bag in tk.Comparer(["stupid", "idiot"]).bags(texts)][:3] == [1, 3, 1]
+    assert want[1] == pytest.approx([1, 1], abs=1e-5) and want[2] == pytest.approx([1, 0], abs=1e-5) and want[4][1] == pytest.approx(1, abs=1e-5)
+    monkeypatch.setattr(tk, "REMEMBERED", 2)
+    again = [bag.max(0) for text in texts for bag in tk.Comparer(["stupid", "idiot"]).bags([text])]
+    assert np.allclose(want, again)
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    model = tk.fit(labelled, labels)
+    scored = tk.score_documents(labelled, model).join(labels, "doc_id").where("held_out")
+    right, n, caught, toxic = scored.agg(
+        F.sum((F.col("predicted") == F.col("toxic")).cast("int")), F.count("*"), F.sum(F.col("predicted") * F.col("toxic")), F.sum("toxic")
+    ).first()
+    assert right / n > 0.95 and caught / toxic > 0.8
+    gapped, plain = model.scorer()(["Here are stuupid s t u p i d people", "Here are the people"])
+    assert gapped > 0.5 > plain
+
+
+def test_odd_rows(spark, make_docs):
+    docs = make_docs([(1, None), (1, ""), (None, "idiot"), (2, "x" * 100_000), (3, "idiot " * 30_000), (4, "\n\n . ! ")])
+    labels = spark.createDataFrame([(1, 0, 0), (None, 1, 1), (9, None, None), (3, 0, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    for some in (labels, labels.limit(0)):
+        rows = tk.score_documents(docs, tk.fit(docs, some)).collect()
+        assert len(rows) == 6 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+    empty = make_docs([])
+    assert tk.score_documents(empty, tk.fit(empty, labels)).collect() == []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwright.llm import bpe_trie, decontaminate, pii, rule_quality, secret_scan, simhash
+from tillwright.llm import bpe_trie, decontaminate, html_consensus, link_trust, pii, rule_quality, secret_scan, simhash, toxic_kernel
 from tillwright.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,12 +41,28 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(docs, secret_scan.train(docs))
 
 
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.main_texts(read_table(spark, sf_dir, "pages"))
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxic_kernel.score_documents(docs, toxic_kernel.fit(docs, labels))
+
+
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": personal_data,
+    "op2_html_extraction": main_texts,
+    "op3_toxicity": toxicity,
     "op4_secret_scans": secrets,
     "op5_bpe": bpe,
     "op7_simhash_near_dedup": near_duplicates,
     "op8_benchmark_decontamination": decontamination,
+    "op9_url_filters": url_verdicts,
     "op10_quality_classifier": quality_classifier,
 }
 

@@ -23,6 +23,10 @@ from tillwright.llm.link_trust import host_of
 PATHS_PER_HOST = 8
 #: Hosts whose paths are sent to all executors; beyond, pages are joined with them by host.
 SENT_HOSTS = 20_000
+#: What a container's text counts for those around it, each further out.
+FURTHER = 0.75
+#: What text in elements made for articles counts.
+MARKED = {"article": 2.0, "main": 1.5}
 #: Votes a task sums up before it passes them on.
 HELD_VOTES = 50_000
 
@@ -72,11 +76,11 @@ def _is_aside(tag: str, names: list[str]) -> bool:
 
 
 class Element:
-    __slots__ = ("aside", "depth", "path", "tag", "text", "total")
+    __slots__ = ("aside", "path", "tag", "text")
 
-    def __init__(self, tag: str, path: str, aside: bool, depth: int):
-        self.tag, self.path, self.aside, self.depth = tag, path, aside, depth
-        self.total, self.text = 0, 0  # characters of running text, with and without links
+    def __init__(self, tag: str, path: str, aside: bool):
+        self.tag, self.path, self.aside = tag, path, aside
+        self.text = 0.0  # characters of running text without links, by how directly it is held
 
 
 class Page:
@@ -84,7 +88,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, tuple[Element, ...], bool]] = []
-        self._stack: list[Element] = [Element("", "", False, 0)]
+        self._stack: list[Element] = [Element("", "", False)]
         self._chunks: list[str] = []
         self._link_chars = self._links = 0
         self._read(source)
@@ -127,10 +131,11 @@ class Page:
             aside = any(e.aside for e in around)
             self.blocks.append((text, around, aside))
             if not aside:
-                plain = max(len(text) - self._link_chars, 0)
-                for element in around:
-                    element.total += len(text)
-                    element.text += plain
+                weight = max(len(text) - self._link_chars, 0)
+                for element in reversed(around):
+                    element.text += weight
+                    if element.tag in CONTAINERS:
+                        weight *= FURTHER
         self._chunks, self._link_chars = [], 0
 
     def _open(self, tag: str, attributes: str, closed: bool) -> None:
@@ -157,7 +162,7 @@ class Page:
         label = ".".join([tag, *sorted({re.sub(r"\d+", "", c.lower()) for c in classes})])
         above, kept = self._stack[-1], tag in ("html", "body", "main", "article")
         aside = _is_comment(names) if kept else _is_aside(tag, names) or _is_comment(names)
-        self._stack.append(Element(tag, f"{above.path}/{label}", aside, above.depth + 1))
+        self._stack.append(Element(tag, f"{above.path}/{label}", aside))
 
     def _end(self, tags: set[str], within: set[str] | frozenset[str]) -> None:
         """Close the nearest of some tags, unless an element that limits the search comes first."""
@@ -185,13 +190,12 @@ class Page:
         return list(seen.values())
 
     def scores(self) -> dict[str, float]:
-        """Votes of the page: per path, the share of its running text, more for articles and for depth."""
+        """Votes of the page: per path, the share of its running text, more for what is marked as an article."""
         page = max(self._page_text(), 1)
         votes: dict[str, float] = defaultdict(float)
         for e in self.containers():
-            last = set(re.split(r"[^a-z]+", e.path.rsplit("/", 1)[-1]))
-            bonus = 1.3 if e.tag in ("article", "main") or last & ARTICLE else 1.0
-            votes[e.path] += e.text / page * (e.text / max(e.total, 1)) * bonus * (1 + 0.02 * min(e.depth, 10))
+            named = set(re.split(r"[^a-z]+", e.path.rsplit("/", 1)[-1])[1:]) & ARTICLE
+            votes[e.path] += e.text / page * (MARKED.get(e.tag) or (1.3 if named else 1.0))
         return dict(votes)
 
     def _page_text(self) -> int:
