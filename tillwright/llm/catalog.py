@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillwright.llm import bpe_trie, decontaminate, html_consensus, link_trust, pii, rule_quality, secret_scan, simhash, toxic_kernel
+from tillwright.llm import bm25, bpe_trie, decontaminate, html_consensus, link_trust, pii, rule_quality, secret_scan, simhash, toxic_kernel
 from tillwright.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -54,16 +55,24 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_trust.judge(read_table(spark, sf_dir, "pages"))
 
 
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20, as a query against all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    queries = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.search(docs, queries)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": personal_data,
     "op2_html_extraction": main_texts,
     "op3_toxicity": toxicity,
     "op4_secret_scans": secrets,
     "op5_bpe": bpe,
+    "op6_top_k_search": top_k,
     "op7_simhash_near_dedup": near_duplicates,
     "op8_benchmark_decontamination": decontamination,
     "op9_url_filters": url_verdicts,
     "op10_quality_classifier": quality_classifier,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_top_k_search": bm25.ORACLE}
