@@ -9,6 +9,7 @@ from conftest import SF_DIR
 from tillwright.catalog import REPORTS
 from tillwright.operators.filters import FilterSpec
 from tillwright.plans import overview, trends
+from tillwright.sources import FlatSales
 from tillwright.sources.star import StarSales
 
 
@@ -47,10 +48,35 @@ def test_lines_are_summed_before_a_join_that_shuffles(spark, shuffle_joins):
 
 
 def test_lines_are_not_shuffled_for_small_dimensions(spark):
-    plan = plan_of(trends.daily(StarSales(spark, SF_DIR)))
+    plan = plan_of(StarSales(spark, SF_DIR).lines("date"))
     assert "SortMergeJoin" not in plan and "hashpartitioning(l_" not in plan
 
 
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+@pytest.mark.parametrize("role", ["state", "city", "category", "date", "order_key"])
+def test_lines_are_lines_whatever_is_broadcast(spark, role, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    star = StarSales(spark, SF_DIR)
+    try:
+        assert star.lines(role).count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+        totals = plan_of(star.totals(role))
+        assert ("partial_sum" in totals) == (role != "order_key")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_flat_sources_have_a_row_per_line_too(spark):
+    star = StarSales(spark, SF_DIR)
+    flat = FlatSales(star.lines("state", "order_id", "date"))
+    assert flat.lines("state").count() == flat.totals("order_key").count() == star.lines("state").count()
+
+
+def test_orders_are_summed_where_the_join_left_them(spark, shuffle_joins):
+    plan = plan_of(overview.kpi_overview(StarSales(spark, SF_DIR)))
+    assert plan.count("hashpartitioning(l_orderkey") == 1 and "CAST(l_orderkey AS STRING)" not in plan
+
+
 def test_top_k_does_not_sort_everything(spark):
     plan = plan_of(trends.top_skus(StarSales(spark, SF_DIR)))
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan

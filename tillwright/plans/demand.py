@@ -37,7 +37,7 @@ def daily(src, fill_gaps: bool = False) -> DataFrame:
     those few rows. A category that is itself called "All" has no series of its own.
     """
     per_category = (
-        src.lines("category", "date", rows=SOLD)
+        src.totals("category", "date", rows=SOLD)
         .where(F.col("date").isNotNull())
         .groupBy("category", "date")
         .agg(total("qty"), total("revenue", "rev"))

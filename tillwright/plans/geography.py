@@ -11,7 +11,7 @@ from tillwright.operators.rollups import orders, qty, rev, rollup_by, table, top
 
 
 def _states(src) -> DataFrame:
-    known = src.lines("state").where(F.col("state") != UNKNOWN_PLACE)
+    known = src.totals("state").where(F.col("state") != UNKNOWN_PLACE)
     return rollup_by(known, ["state"], rev(), orders(), qty())
 
 
@@ -40,5 +40,5 @@ def state_shares(src, k: int = 10) -> DataFrame:
 
 
 def top_cities(src, k: int = 25) -> DataFrame:
-    known = src.lines("city").where(F.col("city") != UNKNOWN_PLACE)
+    known = src.totals("city").where(F.col("city") != UNKNOWN_PLACE)
     return table(top_k(rollup_by(known, ["city"], rev(), orders()), "rev", k, ["city"]))

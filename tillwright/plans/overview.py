@@ -22,19 +22,19 @@ from tillwright.operators.rollups import (
 def kpi_overview(src) -> DataFrame:
     """One row of headline figures. Average order value is per distinct order."""
     per_order = (
-        src.lines("order_id", "is_cancelled")
-        .groupBy("order_id")
+        src.lines("order_key", "is_cancelled")
+        .groupBy("order_key")
         .agg(rev(), total("units"), lines(), cancelled())
     )
-    ordered = F.when(F.col("order_id").isNotNull(), F.col("rev"))
+    ordered = F.when(F.col("order_key").isNotNull(), F.col("rev"))
     headline = per_order.agg(
-        F.count("order_id").alias("total_orders"),
+        F.count("order_key").alias("total_orders"),
         total("rev", "total_revenue"),
         total("units", "total_qty"),
-        ratio(F.sum(ordered), F.count("order_id")).alias("avg_order_value"),
+        ratio(F.sum(ordered), F.count("order_key")).alias("avg_order_value"),
         percent(F.sum("cancelled"), F.sum("rows")).alias("cancel_rate_pct"),
     )
-    by_category = rollup_by(src.lines("category"), ["category"], rev())
+    by_category = rollup_by(src.totals("category"), ["category"], rev())
     leader = by_category.agg(F.min(F.struct(-F.col("rev"), "category"))["category"]).scalar()
     return table(
         headline.select(
@@ -50,20 +50,20 @@ def kpi_overview(src) -> DataFrame:
 
 
 def daily_revenue(src) -> DataFrame:
-    return table(rollup_by(src.lines("date"), ["date"], rev()).orderBy("date"))
+    return table(rollup_by(src.totals("date"), ["date"], rev()).orderBy("date"))
 
 
 def category_revenue(src) -> DataFrame:
-    return table(rollup_by(src.lines("category"), ["category"], rev()).orderBy("rev", "category"))
+    return table(rollup_by(src.totals("category"), ["category"], rev()).orderBy("rev", "category"))
 
 
 def counts_of(src, role: str) -> DataFrame:
-    return value_counts(src.lines(role), role)
+    return value_counts(src.totals(role), role)
 
 
 def order_type_counts(src) -> DataFrame:
-    return value_counts(src.lines("b2b"), "b2b", F.when(F.col("b2b"), "B2B").otherwise("B2C"))
+    return value_counts(src.totals("b2b"), "b2b", F.when(F.col("b2b"), "B2B").otherwise("B2C"))
 
 
 def size_quantities(src) -> DataFrame:
-    return domain_totals(src.lines("size"), "size", SIZES, "qty", "qty").orderBy("ordinal")
+    return domain_totals(src.totals("size"), "size", SIZES, "qty", "qty").orderBy("ordinal")

@@ -24,12 +24,12 @@ from tillwright.operators.rollups import (
 
 def best_styles(src, k: int = 15) -> DataFrame:
     keys = ["style", "category"]
-    return table(top_k(rollup_by(src.lines(*keys, rows=EARNING), keys, rev(), qty(), orders()), "rev", k, keys))
+    return table(top_k(rollup_by(src.totals(*keys, rows=EARNING), keys, rev(), qty(), orders()), "rev", k, keys))
 
 
 def worst_styles(src, k: int = 15) -> DataFrame:
     keys = ["style", "category"]
-    return table(top_k(rollup_by(src.lines(*keys, rows=EARNING), keys, rev(), qty()), "rev", k, keys, ascending=True))
+    return table(top_k(rollup_by(src.totals(*keys, rows=EARNING), keys, rev(), qty()), "rev", k, keys, ascending=True))
 
 
 def category_performance(src) -> DataFrame:
@@ -39,7 +39,7 @@ def category_performance(src) -> DataFrame:
     ``cancel_rate_by_category`` has the finer figure.
     """
     totals = rollup_by(
-        src.lines("category", "is_cancelled"),
+        src.totals("category", "is_cancelled"),
         ["category"],
         rev(),
         orders(),
@@ -63,17 +63,17 @@ def category_performance(src) -> DataFrame:
 
 def category_sizes(src) -> DataFrame:
     """Quantity per category and size that occurs, in size order."""
-    grid = completed_grid(src.lines("category", "size"), "category", "size", SIZES, "qty", "qty")
+    grid = completed_grid(src.totals("category", "size"), "category", "size", SIZES, "qty", "qty")
     position = F.array_position(F.array(*[F.lit(s) for s in SIZES]), F.col("size"))
     return grid.orderBy("category", position)
 
 
 def size_matrix(src) -> DataFrame:
     """``category_sizes`` as a matrix: a row per category, a column per size of the domain."""
-    cells = rollup_by(src.lines("category", "size"), ["category", "size"], qty())
+    cells = rollup_by(src.totals("category", "size"), ["category", "size"], qty())
     return cells.groupBy("category").pivot("size", list(SIZES)).agg(F.sum("qty")).na.fill(0).orderBy("category")
 
 
 def top_sku_table(src, k: int = 30) -> DataFrame:
     keys = ["sku", "style", "category"]
-    return table(top_k(rollup_by(src.lines(*keys, rows=EARNING), keys, rev(), qty(), orders()), "rev", k, keys))
+    return table(top_k(rollup_by(src.totals(*keys, rows=EARNING), keys, rev(), qty(), orders()), "rev", k, keys))

@@ -11,12 +11,12 @@ from tillwright.operators.rollups import lines, rev, rollup_by, table
 
 def facet(src, role: str) -> DataFrame:
     """Distinct non-missing values of a role, sorted; callers offer "All" on top."""
-    found = src.lines(role).select(F.col(role).alias("value"))
+    found = src.totals(role).select(F.col(role).alias("value"))
     return found.where(F.col("value").isNotNull()).distinct().orderBy("value")
 
 
 def date_bounds(src) -> DataFrame:
-    return src.lines("date").agg(F.min("date").alias("min_date"), F.max("date").alias("max_date"))
+    return src.totals("date").agg(F.min("date").alias("min_date"), F.max("date").alias("max_date"))
 
 
 def clean_sales(src) -> DataFrame:
@@ -27,12 +27,12 @@ def clean_sales(src) -> DataFrame:
 
 
 def states(src) -> DataFrame:
-    return rollup_by(src.lines("state"), ["state"], lines()).orderBy("state")
+    return rollup_by(src.totals("state"), ["state"], lines()).orderBy("state")
 
 
 def calendar_of(src, iso_year: bool = False) -> DataFrame:
     """Calendar columns of every date that occurs."""
-    days = src.lines("date").select("date").where("date IS NOT NULL").distinct()
+    days = src.totals("date").select("date").where("date IS NOT NULL").distinct()
     return days.selectExpr(
         "date",
         "CAST(month(date) AS BIGINT) AS month",
@@ -45,4 +45,4 @@ def calendar_of(src, iso_year: bool = False) -> DataFrame:
 
 def category_totals(src) -> DataFrame:
     """Rows and revenue per category under the source's filters."""
-    return table(rollup_by(src.lines("category"), ["category"], lines(), rev()).orderBy("category"))
+    return table(rollup_by(src.totals("category"), ["category"], lines(), rev()).orderBy("category"))

@@ -15,7 +15,7 @@ from tillwright.operators.rollups import completed_grid, orders, qty, rev, rollu
 
 def _per_day(src, *keys: str) -> DataFrame:
     """Totals per day: the text of weeks, months and weekdays is then made per day, not per line."""
-    return rollup_by(src.lines("date", *keys), ["date", *keys], orders(), rev(), qty())
+    return rollup_by(src.totals("date", *keys), ["date", *keys], orders(), rev(), qty())
 
 
 def _again(df: DataFrame, key: str) -> DataFrame:
@@ -46,20 +46,20 @@ def trend(src, granularity: str = "Daily") -> DataFrame:
 
 
 def category_summary(src) -> DataFrame:
-    by_category = rollup_by(src.lines("category"), ["category"], rev(), orders(), qty())
+    by_category = rollup_by(src.totals("category"), ["category"], rev(), orders(), qty())
     return table(by_category.orderBy(F.desc("rev"), "category"))
 
 
 def top_skus(src, k: int = 20) -> DataFrame:
     """Best SKUs by revenue; lines with a revenue of zero take part."""
     keys = ["sku", "category"]
-    totals = rollup_by(src.lines(*keys, rows=PRICED), keys, rev(), qty(), orders())
+    totals = rollup_by(src.totals(*keys, rows=PRICED), keys, rev(), qty(), orders())
     return table(top_k(totals, "rev", k, keys))
 
 
 def weekday_category(src) -> DataFrame:
     """Revenue per weekday that occurs and category, Monday first."""
-    days = rollup_by(src.lines("date", "category"), ["date", "category"], rev())
+    days = rollup_by(src.totals("date", "category"), ["date", "category"], rev())
     named = days.withColumn("day_of_week", F.expr(calendar.weekday_name("date")))
     grid = completed_grid(named, "category", "day_of_week", WEEKDAYS, "rev", "rev")
     position = F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("day_of_week"))

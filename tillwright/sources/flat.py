@@ -31,12 +31,17 @@ class FlatSales:
         return replace(self, filters=spec)
 
     def lines(self, *roles: str, rows: str = EVERY) -> DataFrame:
-        """The asked-for roles plus the measures; the scan reads nothing else."""
+        """The asked-for roles plus the measures, one row per line; the scan reads nothing else."""
         df = self.filters.apply(self.clean_lines)
         wanted = row_class(rows)
         df = df if wanted is None else df.where(wanted)
+        df = df.withColumn("order_key", F.col("order_id")) if "order_key" in roles else df
         return df.select(*dict.fromkeys([*roles, *[m for m in MEASURES if m in df.columns]]))
 
+    def totals(self, *roles: str, rows: str = EVERY) -> DataFrame:
+        """Like ``lines``, for plans that only add measures up; there is no join to sum before."""
+        return self.lines(*roles, rows=rows)
+
     def raw(self, *roles: str) -> DataFrame:
         """Untouched lines (all columns, or the physical columns of some roles); filters do not apply."""
         if self.raw_lines is None or self.schema is None:

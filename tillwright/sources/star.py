@@ -17,6 +17,7 @@ from tillwright.schema import DERIVED_FROM, RAW_TYPES, STAR_SCHEMA
 # Table columns each role is computed from.
 INPUTS: dict[str, tuple[str, ...]] = {
     "order_id": ("l_orderkey",),
+    "order_key": ("l_orderkey",),
     "date": ("o_date",),
     "status": ("l_returnflag", "o_status"),
     "fulfilment": ("l_linestatus",),
@@ -94,13 +95,6 @@ def _named(names: Iterable[str], rules: Mapping[str, str]) -> list[str]:
     return [f"{rules[n]} AS {n}" if n in rules else n for n in names]
 
 
-def _fits_broadcast(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate lets it broadcast this side."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return size <= limit
-
-
 @dataclass(frozen=True)
 class StarSales:
     """Reads only the tables and columns the asked-for roles come from.
@@ -118,13 +112,24 @@ class StarSales:
         return replace(self, filters=spec)
 
     def lines(self, *roles: str, rows: str = EVERY) -> DataFrame:
-        """Roles plus measures, filtered. Lines that agree on all roles may arrive summed."""
+        """Roles plus measures, filtered: one row per line."""
+        return self._clean(roles, rows, summed=False)
+
+    def totals(self, *roles: str, rows: str = EVERY) -> DataFrame:
+        """Roles plus measures, filtered, summed by the join key before every join that allows it.
+
+        Several rows may agree on all roles and a row may stand for many lines, so measures can be
+        added up and nothing else. No key, however hot, is more than one row in such a join.
+        """
+        return self._clean(roles, rows, summed=True)
+
+    def _clean(self, roles: Sequence[str], rows: str, summed: bool) -> DataFrame:
         base = [DERIVED_FROM.get(r, r) for r in [*roles, *sorted(self.filters.roles())] if r not in MEASURES]
         inputs = ("l_orderkey AS order_id", "l_qty AS qty", "l_amount AS amount")
         items = add_measures(self._items().selectExpr("*", *inputs))
         wanted = row_class(rows)
         items = items if wanted is None else items.where(wanted)
-        joined = self._join(items, list(dict.fromkeys(base)), MEASURES, TIDY_COLUMNS)
+        joined = self._join(items, list(dict.fromkeys(base)), MEASURES, TIDY_COLUMNS, summed)
         clean = add_derived(clean_roles(joined, tidy_places=True))
         return self.filters.apply(clean).select(*dict.fromkeys([*roles, *MEASURES]))
 
@@ -176,13 +181,17 @@ class StarSales:
         return self._table("lineitem").selectExpr("*", *_named([c for c in COLUMNS if c.startswith("l_")], COLUMNS))
 
     def _join(
-        self, items: DataFrame, roles: Sequence[str], measures: Sequence[str], columns: Mapping[str, str] = COLUMNS
+        self,
+        items: DataFrame,
+        roles: Sequence[str],
+        measures: Sequence[str],
+        columns: Mapping[str, str] = COLUMNS,
+        summed: bool = False,
     ) -> DataFrame:
         """Join the dimensions the roles need, dropping each column after its last use.
 
-        A dimension within the broadcast limit costs the lines no shuffle. Before a join that does
-        shuffle, lines left with nothing but their key and additive measures are summed by that key:
-        less is shuffled, and no key is hot in the join any more.
+        With ``summed``, rows left with nothing but their key and additive measures are summed by
+        that key before the join.
         """
         needed = {column for role in roles for column in INPUTS[role]}
         used: list[Dimension] = []
@@ -195,7 +204,7 @@ class StarSales:
         for i, dimension in enumerate(used):
             gives = [c for c in dimension.gives if c in needed]
             side = self._table(dimension.table).selectExpr(dimension.own_key, *_named(gives, columns))
-            if measures and set(df.columns) == {dimension.key, *measures} and not _fits_broadcast(side):
+            if summed and set(df.columns) == {dimension.key, *measures}:
                 df = df.groupBy(dimension.key).agg(*[F.sum(m).alias(m) for m in measures])
             keep = outputs | {later.key for later in used[i + 1 :]}
             df = df.join(side, F.col(dimension.key) == F.col(dimension.own_key), "left").select(
