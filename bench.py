@@ -14,38 +14,8 @@ from tillwright.catalog import MODELS, REPORTS
 from tillwright.session import local_session
 from tillwright.sources.star import StarSales
 
-HEADLINES = (
-    "kpi_overview",
-    "category_revenue",
-    "filtered_sales",
-    "vc_status",
-    "size_qty",
-    "trend_daily",
-    "trend_weekly",
-    "trend_monthly",
-    "category_summary",
-    "top20_sku",
-    "dow_category_heatmap",
-    "state_summary",
-    "city_top25",
-    "cancel_rate_category",
-    "top15_style",
-    "category_performance",
-    "category_size_heatmap",
-    "dq_shape",
-    "dq_missing",
-    "dq_unique",
-    "dq_describe",
-    "dq_iqr_outliers",
-    "hist_amount",
-    "fc_daily",
-    "fc_features",
-    "fc_metrics",
-    "fc_forecast",
-    "ins_category_stats",
-    "ins_trend",
-    "ins_cards",
-)
+# Every report, and of the fitted models those that another query does not fit again.
+HEADLINES = (*REPORTS, "fc_metrics", "fc_metrics_category", "fc_importance")
 
 
 def main() -> None:

@@ -15,10 +15,11 @@ Plan = Callable[..., DataFrame]
 ALL_FOUR = FilterSpec(dt.date(1996, 1, 1), dt.date(1997, 12, 31), "ECONOMY", "Amazon", "B2B")
 B2C_RANGE = FilterSpec(dt.date(1995, 3, 1), dt.date(1998, 8, 31), order_type="B2C")
 
-# Fewer trees than the default, so that the named queries answer quickly.
-POOLED = demand.DemandConfig(series=None, trees=50)
-OVERALL = demand.DemandConfig(trees=50)
-BOOSTED = demand.DemandConfig(model="gradient_boosting", trees=20)
+POOLED = demand.DemandConfig(series=None)
+OVERALL = demand.DemandConfig()
+CATEGORY = demand.DemandConfig(series="ECONOMY")
+BOOSTED = demand.DemandConfig(model="gradient_boosting")
+NAIVE = demand.DemandConfig(model="naive", series=None)
 HORIZON = 14
 
 REPORTS: dict[str, Plan] = {
@@ -72,6 +73,8 @@ REPORTS: dict[str, Plan] = {
     "fc_features": demand.features_table,
     "fc_split": lambda src: demand.split_summary(demand.daily(src)),
     "fc_metrics_naive": lambda src: demand.naive_scores(demand.daily(src)),
+    "fc_forecast_naive": lambda src: demand.DemandModel.fit(src, NAIVE)._forecast(HORIZON),
+    "fc_combined_naive": lambda src: demand.DemandModel.fit(src, NAIVE).combined(HORIZON),
     "ins_category_stats": insights.category_stats_table,
     "ins_category_extremes": insights.category_extremes,
     "ins_sku_extremes": insights.sku_extremes,
@@ -89,6 +92,9 @@ MODELS: dict[str, Plan] = {
     "fc_backtest": lambda src: demand.DemandModel.fit(src, POOLED).backtest(),
     "fc_metrics": lambda src: demand.DemandModel.fit(src, POOLED).metrics(),
     "fc_metrics_boosted": lambda src: demand.DemandModel.fit(src, BOOSTED).metrics(),
+    "fc_metrics_category": lambda src: demand.DemandModel.fit(src, CATEGORY).metrics(),
+    "fc_backtest_boosted": lambda src: demand.DemandModel.fit(src, BOOSTED).backtest(),
+    "fc_forecast_boosted": lambda src: demand.DemandModel.fit(src, BOOSTED).forecast(HORIZON),
     "fc_forecast": lambda src: demand.DemandModel.fit(src, POOLED).forecast(HORIZON),
     "fc_combined": lambda src: demand.DemandModel.fit(src, OVERALL).combined(HORIZON),
     "fc_importance": lambda src: demand.DemandModel.fit(src, OVERALL).importance(),

@@ -40,6 +40,10 @@ TREND_MIN_DAYS = 14
 AMOUNT_BINS = 80
 QTY_BINS = 20
 
+# Limits of our own for the findings.
+MAX_TOP_STATES_PCT = 50
+MAX_DECLINE_PCT = 10
+
 # Demand model features and split.
 LAGS = (1, 3, 7, 14)
 WINDOWS = (3, 7, 14)

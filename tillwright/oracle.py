@@ -5,7 +5,6 @@ Every statement starts from the same two views: ``raw`` lines and cleaned ``sale
 
 from __future__ import annotations
 
-from tillwright.fixed_values import SIZES, STATE_ALIASES, WEEKDAYS
 
 _RAW = """
 raw AS (
@@ -40,7 +39,13 @@ raw AS (
   LEFT JOIN supplier ON l_suppkey = s_suppkey
 )"""
 
-_ALIASES = " ".join(f"WHEN '{alias}' THEN '{target}'" for alias, target in STATE_ALIASES.items())
+# Written out here, so that a wrong entry in the engine's own lists shows.
+_ALIASES = """WHEN 'RJ' THEN 'RAJASTHAN' WHEN 'PB' THEN 'PUNJAB' WHEN 'NL' THEN 'NAGALAND' WHEN 'AR' THEN 'ARUNACHAL PRADESH'
+  WHEN 'RAJSHTHAN' THEN 'RAJASTHAN' WHEN 'RAJSTHAN' THEN 'RAJASTHAN' WHEN 'ORISSA' THEN 'ODISHA' WHEN 'PONDICHERRY' THEN 'PUDUCHERRY'
+  WHEN 'NEW DELHI' THEN 'DELHI' WHEN 'PUNJAB/MOHALI/ZIRAKPUR' THEN 'PUNJAB' WHEN 'APO' THEN 'UNKNOWN'"""
+_SIZE_ORDER = "('XS', 0), ('S', 1), ('M', 2), ('L', 3), ('XL', 4), ('XXL', 5), ('3XL', 6), ('4XL', 7), ('5XL', 8), ('6XL', 9), ('Free', 10)"
+_SIZE_LIST = "'XS', 'S', 'M', 'L', 'XL', 'XXL', '3XL', '4XL', '5XL', '6XL', 'Free'"
+_WEEK = "'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'"
 
 _SALES = f"""
 sales AS (
@@ -82,10 +87,6 @@ SELECT {label or role} AS value, count(*) AS cnt, count(*)::DOUBLE / sum(count(*
 FROM sales WHERE {role} IS NOT NULL GROUP BY {role}""")
 
 
-def _values(words: tuple[str, ...]) -> str:
-    return ", ".join(f"('{w}', {i})" for i, w in enumerate(words))
-
-
 def _numbers(sold_only: bool) -> str:
     qty = "CASE WHEN qty > 0 THEN qty END" if sold_only else "qty"
     return f"""
@@ -120,7 +121,8 @@ by_category AS (
   SELECT category, date, sum(qty) AS qty, coalesce(sum(revenue), 0) AS rev
   FROM sales WHERE qty > 0 AND date IS NOT NULL GROUP BY category, date),
 days AS (
-  SELECT category AS series, date, qty, rev FROM by_category WHERE category IS NOT NULL AND category <> 'All'
+  SELECT CASE WHEN regexp_full_match(category, '(category )*All') THEN 'category ' || category ELSE category END AS series, date, qty, rev
+  FROM by_category WHERE category IS NOT NULL
   UNION ALL SELECT 'All', date, sum(qty), sum(rev) FROM by_category GROUP BY date)"""
 
 
@@ -214,7 +216,7 @@ facts AS (
     upper(worst_state.state[1]) || lower(worst_state.state[2:]) AS worst_state,
     best_day.day_of_week AS best_day, worst_day.day_of_week AS worst_day,
     direction, trend_pct, format('{{:,.1f}}%', {_even("trend_pct", 1)}) AS trend_text,
-    cancel_rate_pct AS cancel, b2b_revenue_pct AS b2b, promotion_pct AS promo,
+    cancel_rate_pct AS cancel, b2b_revenue_pct AS b2b, promotion_pct AS promo, top3_share_pct AS top3,
     format('{{:,.1f}}%', {_even("rates.cancel_rate_pct", 1)}) AS cancel_text, format('{{:,.1f}}%', {_even("b2b_revenue_pct", 1)}) AS b2b_text,
     format('{{:,.1f}}%', {_even("amazon_fulfilled_pct", 1)}) AS platform_text, format('{{:,.1f}}%', {_even("promotion_pct", 1)}) AS promo_text,
     format('{{:,.1f}}%', {_even("top3_share_pct", 1)}) AS share_text
@@ -225,6 +227,13 @@ facts AS (
     (SELECT * FROM weekday_ends WHERE which = 'best') best_day, (SELECT * FROM weekday_ends WHERE which = 'worst') worst_day,
     trend, rates, state_share)""".replace("cancel_rate_pct AS cancel,", "rates.cancel_rate_pct AS cancel,"))
 
+# "Same as seven observed days ago", day by day: the last seven quantities over and over.
+_NAIVE_FORECAST = """
+SELECT series, last_date + CAST(ahead AS INTEGER) AS date, greatest(0.0::DOUBLE, qty::DOUBLE) AS forecast_qty
+FROM (SELECT series, qty, max(date) OVER (PARTITION BY series) AS last_date,
+        row_number() OVER (PARTITION BY series ORDER BY date DESC) AS back FROM complete WHERE n_days >= 16) h
+JOIN range(1, 15) AS r(ahead) ON h.back = 7 - (r.ahead - 1) % 7 WHERE h.back <= 7"""
+
 _AUDITED = (
     ("order_id", "string"), ("date", "date"), ("status", "string"), ("fulfilment", "string"),
     ("service_level", "string"), ("style", "string"), ("sku", "string"), ("category", "string"),
@@ -276,7 +285,7 @@ FROM (SELECT sum(is_cancelled)::DOUBLE / count(*) * 100 AS rate FROM sales)"""),
     "vc_b2b": _value_counts("b2b", "CASE WHEN b2b THEN 'B2B' ELSE 'B2C' END"),
     "size_qty": _sales(f"""
 SELECT d.size, CAST(d.ordinal AS BIGINT) AS ordinal, CAST(coalesce(sum(qty), 0) AS BIGINT) AS qty
-FROM (VALUES {_values(SIZES)}) AS d(size, ordinal) LEFT JOIN sales s ON s.size = d.size GROUP BY d.size, d.ordinal"""),
+FROM (VALUES {_SIZE_ORDER}) AS d(size, ordinal) LEFT JOIN sales s ON s.size = d.size GROUP BY d.size, d.ordinal"""),
     "trend_daily": _sales(f"SELECT date, {ORDERS}, {REV}, {QTY} FROM sales WHERE date IS NOT NULL GROUP BY date"),
     "trend_weekly": _sales(f"""
 SELECT year(date) || '-W' || lpad(weekofyear(date)::VARCHAR, 2, '0') AS year_week, {ORDERS}, {REV}, {QTY}
@@ -290,7 +299,7 @@ WHERE revenue IS NOT NULL AND sku IS NOT NULL AND category IS NOT NULL
 GROUP BY sku, category ORDER BY sum(revenue) DESC, sku, category LIMIT 20"""),
     "dow_category_heatmap": _sales(f"""
 SELECT d.day_of_week, c.category, CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS rev
-FROM (SELECT DISTINCT day_of_week FROM sales WHERE category IS NOT NULL AND day_of_week IN ({", ".join(f"'{d}'" for d in WEEKDAYS)})) d
+FROM (SELECT DISTINCT day_of_week FROM sales WHERE category IS NOT NULL AND day_of_week IN ({_WEEK})) d
 CROSS JOIN (SELECT DISTINCT category FROM sales WHERE category IS NOT NULL AND date IS NOT NULL) c
 LEFT JOIN sales s ON s.day_of_week = d.day_of_week AND s.category = c.category GROUP BY 1, 2"""),
     "state_summary": _sales("SELECT * FROM known", _SHARE_OF),
@@ -321,7 +330,7 @@ FROM sales WHERE category IS NOT NULL GROUP BY category"""),
     "category_size_heatmap": _sales(f"""
 SELECT c.category, d.size, CAST(coalesce(sum(qty), 0) AS BIGINT) AS qty
 FROM (SELECT DISTINCT category FROM sales WHERE category IS NOT NULL AND size IS NOT NULL) c
-CROSS JOIN (SELECT DISTINCT size FROM sales WHERE category IS NOT NULL AND size IN ({", ".join(f"'{s}'" for s in SIZES)})) d
+CROSS JOIN (SELECT DISTINCT size FROM sales WHERE category IS NOT NULL AND size IN ({_SIZE_LIST})) d
 LEFT JOIN sales s ON s.category = c.category AND s.size = d.size GROUP BY 1, 2"""),
     "top30_sku": _sales(f"""
 SELECT sku, style, category, {REV}, {QTY}, {ORDERS} FROM earning
@@ -411,12 +420,18 @@ UNION ALL SELECT 11, 'info', 'Promotions: ' || promo_text,
 UNION ALL SELECT 12, 'info', 'Regional concentration', 'The top three states bring in ' || share_text || ' of revenue; ' || worst_state
   || ' brings in the least. Spread campaigns to lower the risk.' FROM facts""", *_FACTS),
     "ins_recommendations": _sales("""
-SELECT 1::BIGINT AS rec_id, 'High' AS priority, 'Cancellations' AS area,
-  'Bring down cancellations of ' || bad_cat || ' (' || bad_cat_pct || ')' AS action FROM facts
-UNION ALL SELECT 2, 'High', 'Top SKU stock', 'Keep SKU ' || best_sku || ' in stock' FROM facts
-UNION ALL SELECT 3, 'Medium', 'Geography', 'Run campaigns in states that buy little'
-UNION ALL SELECT 4, 'Medium', 'Day of week', 'Spend on advertising on ' || best_day FROM facts
-UNION ALL SELECT 5, 'Medium', 'B2B growth', 'Offer business buyers bulk prices'
-UNION ALL SELECT 6, 'Low', 'Low SKUs', 'Discount or drop SKU ' || worst_sku FROM facts
-UNION ALL SELECT 7, 'Low', 'Promotions', 'Target promotions so that margins hold'""", *_FACTS),
+SELECT row_number() OVER (ORDER BY call, place) AS rec_id, CASE call WHEN 0 THEN 'act' WHEN 1 THEN 'watch' ELSE 'fine' END AS priority,
+  area, action
+FROM (SELECT *, CASE WHEN figure > bound THEN 0 WHEN figure > bound / 2 THEN 1 ELSE 2 END AS call FROM (
+  SELECT 1 AS place, 'cancelled lines' AS area, cancel AS figure, 15.0::DOUBLE AS bound,
+    cancel_text || ' of all lines are cancelled, ' || bad_cat_pct || ' of those in ' || bad_cat AS action FROM facts
+  UNION ALL SELECT 2, 'promoted lines', promo, 50.0, promo_text || ' of earning lines sold on a promotion' FROM facts
+  UNION ALL SELECT 3, 'reliance on states', top3, 50.0, share_text || ' of revenue depends on three states' FROM facts
+  UNION ALL SELECT 4, 'revenue decline', -trend_pct, 10.0, 'daily revenue changed by ' || CASE WHEN trend_pct >= 0 THEN '+' ELSE '' END
+    || trend_text || ' from one half of the days to the other' FROM facts
+  UNION ALL SELECT 5, 'reliance on consumers', 100.0 - b2b, 95.0, 'business buyers account for ' || b2b_text || ' of revenue' FROM facts))""", *_FACTS),
+    "fc_forecast_naive": _sales(_NAIVE_FORECAST, _DAYS, _SPLIT),
+    "fc_combined_naive": _sales(f"""
+SELECT series, date, 'history' AS kind, CAST(qty AS DOUBLE) AS qty FROM complete WHERE n_days >= 16
+UNION ALL SELECT series, date, 'forecast', forecast_qty FROM ({_NAIVE_FORECAST})""", _DAYS, _SPLIT),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml import Model
@@ -25,32 +26,36 @@ FEATURES = (
 )
 HISTORY = max(LAGS)
 LEVEL = "series_level"
+OVERALL_NAMES = re.compile(f"(category )*{ALL}")
 
 
 # -- series and features ------------------------------------------------------------------------
 
 
-def daily(src, fill_gaps: bool = False) -> DataFrame:
+def daily(src, fill_gaps: bool = False, series: str | None = None) -> DataFrame:
     """Daily quantity and revenue of sold lines, per category and for all categories together.
 
     The lines are scanned and grouped once, by category and date; the overall series is summed from
-    those few rows. A category that is itself called "All" has no series of its own.
+    those few rows. Asked for one ``series``, only its lines are read: the overall one needs no
+    category, and a category goes down to its scan. Categories named like the overall series have
+    "category" put before their name, once more than they bring along.
     """
-    per_category = (
-        src.totals("category", "date", rows=SOLD)
-        .where(F.col("date").isNotNull())
-        .groupBy("category", "date")
-        .agg(total("qty"), total("revenue", "rev"))
-    )
-    series = F.when(F.grouping("category") == 1, ALL).otherwise(F.col("category"))
+    if series == ALL:
+        sold = src.totals("date", rows=SOLD).where(F.col("date").isNotNull())
+        days = sold.groupBy("date").agg(total("qty"), total("revenue", "rev")).select(F.lit(ALL).alias("series"), "date", "qty", "rev")
+        return _without_gaps(days) if fill_gaps else days
+    sold = src.totals("category", "date", rows=SOLD).where(F.col("date").isNotNull())
+    if series is not None:
+        sold = sold.where(F.col("category") == (series.removeprefix("category ") if OVERALL_NAMES.fullmatch(series) else series))
+    per_category = sold.groupBy("category", "date").agg(total("qty"), total("revenue", "rev"))
+    named = F.when(F.col("category").rlike(f"^{OVERALL_NAMES.pattern}$"), F.concat(F.lit("category "), "category")).otherwise(F.col("category"))
+    if series is not None:
+        days = per_category.select(named.alias("series"), "date", "qty", "rev")
+        return _without_gaps(days) if fill_gaps else days
     both = per_category.groupingSets([["category", "date"], ["date"]], "category", "date").agg(
-        series.alias("series"),
-        F.grouping("category").alias("overall"),
-        F.sum("qty").alias("qty"),
-        F.sum("rev").alias("rev"),
+        F.when(F.grouping("category") == 1, ALL).otherwise(named).alias("series"), F.sum("qty").alias("qty"), F.sum("rev").alias("rev")
     )
-    named = F.col("series").isNotNull() & ((F.col("series") != ALL) | (F.col("overall") == 1))
-    days = both.where(named).select("series", "date", "qty", "rev")
+    days = both.where(F.col("series").isNotNull()).select("series", "date", "qty", "rev")
     return _without_gaps(days) if fill_gaps else days
 
 
@@ -160,6 +165,16 @@ def naive_scores(days: DataFrame) -> DataFrame:
 # -- models -------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Repeat:
+    """Predicts a feature, such as the quantity of seven observed days ago; needs no fitting."""
+
+    feature: str = "lag_7"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", F.col(self.feature).cast("double"))
+
+
 @dataclass(frozen=True)
 class DemandConfig:
     """What to fit.
@@ -167,13 +182,18 @@ class DemandConfig:
     ``series`` names one series to model by itself; without it one pooled model learns from all
     series at once, told apart by their mean training quantity. ``refit`` trains on the test days
     too before forecasting. ``parity`` forecasts with population deviations although training used
-    sample deviations.
+    sample deviations. Forest trees grow as deep as the library allows unless ``depth`` says less;
+    boosted ones have four levels. The bootstrap follows ``partitions``, so it is a fixed number.
+    The model "naive" repeats the quantity of seven observed days ago.
     """
 
     model: str = "random_forest"
     series: str | None = ALL
     trees: int = 200
     depth: int | None = None
+    bins: int = 256
+    memory_mb: int = 256
+    partitions: int = 8
     seed: int = 42
     refit: bool = False
     parity: bool = False
@@ -182,62 +202,70 @@ class DemandConfig:
         return [*FEATURES] if self.series is not None else [*FEATURES, LEVEL]
 
     def estimator(self):
-        common = {"featuresCol": "features", "labelCol": "qty", "seed": self.seed, "maxMemoryInMB": 64}
+        common = {"featuresCol": "features", "labelCol": "qty", "seed": self.seed, "maxMemoryInMB": self.memory_mb, "maxBins": self.bins}
         if self.model == "random_forest":
-            return RandomForestRegressor(
-                numTrees=self.trees, maxDepth=self.depth or 5, featureSubsetStrategy="all", **common
-            )
+            deepest = 30 if self.depth is None else self.depth
+            return RandomForestRegressor(numTrees=self.trees, maxDepth=deepest, minInstancesPerNode=1, featureSubsetStrategy="all", **common)
         if self.model == "gradient_boosting":
             return GBTRegressor(maxIter=self.trees, maxDepth=self.depth or 4, stepSize=0.1, **common)
         raise ValueError(f"unknown model {self.model!r}")
 
 
-ROWS_PER_PARTITION = 5_000
-
-
 @dataclass(frozen=True)
 class DemandModel:
-    """A fitted model with the rows it was fitted and tested on."""
+    """A fitted model with the rows it was fitted and tested on, and every series with its status.
+
+    Without a series that has enough days nothing is fitted, and results hold the statuses alone.
+    """
 
     config: DemandConfig
-    fitted: Model
+    fitted: Model | Repeat | None
     rows: DataFrame
+    status: DataFrame
 
     @classmethod
     def fit(cls, src, config: DemandConfig = DemandConfig(), fill_gaps: bool = False) -> DemandModel:
         """Fit on the training days. Tree fitting passes over its input many times, so the daily
         rows are written out first; they number days times series, however many lines there are."""
-        rows = model_rows(daily(src, fill_gaps))
-        if config.series is not None:
-            rows = rows.where(F.col("series") == config.series)
-        rows = settle(rows)
-        return cls(config, cls._fit_on(rows if config.refit else rows.where("is_train"), config), rows)
+        days = settle(daily(src, fill_gaps, config.series))
+        rows = settle(model_rows(days))
+        status = split_summary(days).select("series", "status")
+        return cls(config, cls._fit_on(rows if config.refit else rows.where("is_train"), config), rows, status)
 
     @staticmethod
-    def _fit_on(train: DataFrame, config: DemandConfig) -> Model:
-        count = train.count()
-        if count == 0:
-            raise ValueError(f"no series has the {MIN_MODEL_DAYS} days of sales a model needs")
+    def _fit_on(train: DataFrame, config: DemandConfig) -> Model | Repeat | None:
+        if train.isEmpty():
+            return None
+        if config.model == "naive":
+            return Repeat()
         vectors = _assembler(config).transform(train)
         # A fixed order of rows makes the bootstrap, and so the model, repeatable.
-        spread = vectors.repartition(-(-count // ROWS_PER_PARTITION), "series", "date")
+        spread = vectors.repartition(config.partitions, "series", "date")
         return config.estimator().fit(spread.sortWithinPartitions("series", "date").select("features", "qty"))
 
     def _tested(self) -> DataFrame:
+        if self.fitted is None:
+            return self.rows.selectExpr("series", "date", "qty AS actual", "CAST(NULL AS DOUBLE) AS prediction").limit(0)
         test = _assembler(self.config).transform(self.rows.where(~F.col("is_train")))
         return self.fitted.transform(test).select("series", "date", F.col("qty").alias("actual"), "prediction")
 
+    def _every_series(self, results: DataFrame) -> DataFrame:
+        """Results with the status of their series, and a row without results for the other series."""
+        return self.status.join(results, "series", "left").select(*results.columns, "status")
+
     def backtest(self) -> DataFrame:
         """Actual and predicted quantity of the test days; predictions to one decimal."""
-        return self._tested().select("series", "date", "actual", half_even(F.col("prediction"), 1).alias("predicted"))
+        tested = self._tested().select("series", "date", "actual", half_even(F.col("prediction"), 1).alias("predicted"))
+        return self._every_series(tested)
 
     def metrics(self) -> DataFrame:
-        return scores(self._tested())
+        return self._every_series(scores(self._tested()))
 
     def importance(self, top: int = TOP_FEATURES) -> DataFrame:
-        """Most important features first."""
+        """Most important features first; none without a fitted tree model."""
         label = self.config.series or "(pooled)"
-        weights = zip(self.config.inputs(), self.fitted.featureImportances.toArray().tolist(), strict=True)
+        known = getattr(self.fitted, "featureImportances", None)
+        weights = zip(self.config.inputs(), known.toArray().tolist() if known is not None else [], strict=known is not None)
         ranked = self.rows.sparkSession.createDataFrame(
             [(label, name, weight) for name, weight in weights], "series string, feature string, importance double"
         )
@@ -249,6 +277,11 @@ class DemandModel:
         The state is one row per series with its last 14 quantities. A step is a projection over
         that row, so the steps need no shuffle. Quantities are to one decimal and not below zero.
         """
+        return self._every_series(self._forecast(horizon)).orderBy("series", "date")
+
+    def _forecast(self, horizon: int) -> DataFrame:
+        if self.fitted is None:
+            return self.rows.selectExpr("series", "date", "qty AS forecast_qty").limit(0)
         recent = Window.partitionBy("series").orderBy(F.desc("date"))
         last = self.rows.withColumn("back", F.row_number().over(recent)).where(F.col("back") <= HISTORY)
         pairs = F.array_sort(F.collect_list(F.struct("date", "qty")))
@@ -272,12 +305,12 @@ class DemandModel:
                 state = settle(state)
         return state.select("series", "last_date", F.posexplode("predicted").alias("ahead", "forecast_qty")).select(
             "series", F.date_add("last_date", F.col("ahead") + 1).alias("date"), "forecast_qty"
-        ).orderBy("series", "date")
+        )
 
     def combined(self, horizon: int = 7) -> DataFrame:
         """History and forecast in one frame."""
         past = self.rows.selectExpr("series", "date", "'history' AS kind", "qty")
-        future = self.forecast(horizon).selectExpr("series", "date", "'forecast' AS kind", "forecast_qty AS qty")
+        future = self._forecast(horizon).selectExpr("series", "date", "'forecast' AS kind", "forecast_qty AS qty")
         return past.unionByName(future)
 
 

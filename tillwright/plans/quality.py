@@ -120,8 +120,8 @@ def cardinality(src, approx: bool = False) -> DataFrame:
     return union_all(frames).orderBy(F.desc("n_unique"), "column")
 
 
-# Decimal places the audited numbers are exact to.
-SCALES = {"qty": 0, "amount": 2}
+# The audited numbers.
+NUMBERS = ("qty", "amount")
 
 
 def _numbers(src, sold_only: bool = False) -> DataFrame:
@@ -133,7 +133,7 @@ def _numbers(src, sold_only: bool = False) -> DataFrame:
 
 def _per_number(src, numbers: DataFrame, rules: dict[str, dict[str, str]]) -> DataFrame:
     """One pass over the numbers, with aggregates in SQL per role, then one row per role."""
-    one = numbers.selectExpr(*[f"CAST({role} AS DOUBLE) AS {role}" for role in SCALES]).selectExpr(
+    one = numbers.selectExpr(*[f"CAST({role} AS DOUBLE) AS {role}" for role in NUMBERS]).selectExpr(
         *[f"{rule} AS {role}_{name}" for role, named in rules.items() for name, rule in named.items()]
     )
     rows = [
@@ -150,7 +150,7 @@ def _double(x: float | None) -> str:
 def describe(src) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of quantity and amount."""
     numbers = _numbers(src)
-    quartiles = exact_quantiles(numbers, SCALES, QUARTILES)
+    quartiles = exact_quantiles(numbers, NUMBERS, QUARTILES)
     rules = {
         role: {
             "cnt": f"count({role})",
@@ -160,7 +160,7 @@ def describe(src) -> DataFrame:
             **{name: f"round({_double(x)}, 4)" for name, x in quartiles[role].items()},
             "max": f"max({role})",
         }
-        for role in SCALES
+        for role in NUMBERS
     }
     return _per_number(src, numbers, rules)
 
@@ -176,7 +176,7 @@ def _inside(role: str, q: dict[str, float | None]) -> str:
 def box_stats(src) -> DataFrame:
     """Quartiles, whiskers (extreme values within the fences) and outliers; quantity only where positive."""
     numbers = _numbers(src, sold_only=True)
-    quartiles = exact_quantiles(numbers, SCALES, QUARTILES)
+    quartiles = exact_quantiles(numbers, NUMBERS, QUARTILES)
     rules = {}
     for role, q in quartiles.items():
         inside = _inside(role, q)
@@ -192,7 +192,7 @@ def box_stats(src) -> DataFrame:
 def iqr_outliers(src) -> DataFrame:
     """Rows strictly outside the 1.5 IQR fences, as a share of present values."""
     numbers = _numbers(src)
-    quartiles = exact_quantiles(numbers, SCALES, QUARTILES)
+    quartiles = exact_quantiles(numbers, NUMBERS, QUARTILES)
     rules = {}
     for role, q in quartiles.items():
         outside = f"count({role}) FILTER (WHERE NOT ({_inside(role, q)}))"

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.operators.cleaning import MEASURES, clean
+from tillwright.operators.cleaning import MEASURES, clean, nan_to_null
 from tillwright.operators.filters import EVERY, PARTITION_MONTH, FilterSpec, row_class
 from tillwright.schema import RAW_TYPES, SalesSchema
 from tillwright.session import settle
@@ -25,7 +25,7 @@ class FlatSales:
 
     @classmethod
     def from_raw(cls, raw: DataFrame, schema: SalesSchema) -> FlatSales:
-        return cls(clean(raw, schema), raw, schema)
+        return cls(clean(raw, schema), nan_to_null(raw), schema)
 
     def where(self, spec: FilterSpec) -> FlatSales:
         return replace(self, filters=spec)
