@@ -1,0 +1,28 @@
+"""The driver contract with and without the corpus operators."""
+
+import os
+import shutil
+import subprocess
+import sys
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+REPORT = """
+import __spark_entry__ as e
+print(len(e.queries()), len(e.oracle_sql()), sum(n.startswith("op") for n in e.queries()), "pipeline" in e.queries())
+"""
+
+
+def test_the_rest_works_without_the_corpus_operators(tmp_path):
+    shutil.copytree(os.path.join(ROOT, "tillwright"), tmp_path / "tillwright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", REPORT], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > int(out[1]) > 60 and out[2:] == ["0", "False"]
+
+
+def test_errors_inside_the_corpus_operators_are_not_hidden(tmp_path):
+    shutil.copytree(os.path.join(ROOT, "tillwright"), tmp_path / "tillwright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
+    run = subprocess.run([sys.executable, "-c", REPORT], cwd=tmp_path, capture_output=True, text=True)
+    assert run.returncode != 0 and "no_such_module" in run.stderr
