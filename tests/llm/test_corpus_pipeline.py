@@ -1,0 +1,47 @@
+"""The stages one after the other, each against the plain meaning of its step."""
+
+import hashlib
+import re
+import struct
+
+import public_tokenizers
+import pytest
+from corpus_fixtures import SF, make_docs, table  # noqa: F401
+from test_bpe_trie import theirs
+from test_simhash import plain_components, plain_fingerprint
+
+import corpus_pipeline
+from tillwright.llm import decontaminate, rule_quality
+
+
+def test_run_is_the_stages_in_order(spark, table):
+    docs = table("documents")
+    model = rule_quality.fit(docs, table("labels"))
+    good = {r.doc_id for r in rule_quality.score_documents(docs, model).collect() if r.score >= 0.3}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
+    groups = plain_components({i: plain_fingerprint(t) for i, t in texts.items()})
+    texts = {i: t for i, t in texts.items() if groups[i] == i}
+    flat = lambda t: f" {' '.join(decontaminate.words_of(t))} "
+    items = [flat(r.text) for r in table("benchmark").collect()]
+    texts = {i: t for i, t in texts.items() if not any(item in flat(t) for item in items)}
+    secret = re.compile(r'(?i)(token = ")[0-9a-f]{40}(?=")')
+    texts = {i: secret.sub(r"\1[SECRET]", t) for i, t in texts.items()}
+    want = {i: (len(ids := theirs(t)), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want and 0 < len(want) < docs.count()
+
+
+@pytest.mark.parametrize("pairs", [[], [(1, None), (None, None), (2, ""), (2, ""), (None, "a b c")]])
+def test_odd_documents(spark, make_docs, pairs):
+    docs = make_docs(pairs)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        if name != "bpe":
+            assert docs.columns == columns
+    assert docs.count() <= len(pairs)
+
+
+def test_names_and_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "bpe"]
+    assert public_tokenizers.path(corpus_pipeline.VOCABULARY)
