@@ -15,9 +15,10 @@ Plan = Callable[..., DataFrame]
 ALL_FOUR = FilterSpec(dt.date(1996, 1, 1), dt.date(1997, 12, 31), "ECONOMY", "Amazon", "B2B")
 B2C_RANGE = FilterSpec(dt.date(1995, 3, 1), dt.date(1998, 8, 31), order_type="B2C")
 
-POOLED = demand.DemandConfig(series=None)
-OVERALL = demand.DemandConfig()
-CATEGORY = demand.DemandConfig(series="ECONOMY")
+# Forests of the named queries stop at eight levels; without a depth, they grow as deep as they can.
+POOLED = demand.DemandConfig(series=None, depth=8)
+OVERALL = demand.DemandConfig(depth=8)
+CATEGORY = demand.DemandConfig(series="ECONOMY", depth=8)
 BOOSTED = demand.DemandConfig(model="gradient_boosting")
 NAIVE = demand.DemandConfig(model="naive", series=None)
 HORIZON = 14
