@@ -17,7 +17,7 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def _data_columns(part: DataFrame) -> list[str]:
-    return [c for c in part.columns if c != "lines"]
+    return [c for c in part.columns if c not in ("lines", "place")]
 
 
 def _quoted(name: str) -> Column:
@@ -72,14 +72,19 @@ def missing(src) -> DataFrame:
     )
 
 
+def _first_present(c: Column) -> Column:
+    first = F.min(F.when(c.isNotNull(), F.struct("place", c.cast("string").alias("value"))))
+    return F.coalesce(first["value"], F.lit("N/A"))
+
+
 def types(src) -> DataFrame:
-    """Type and number of present values per column."""
+    """Type, number of present values and the first of them, as text, per column."""
     frames = []
-    for part in src.raw_parts():
+    for part in src.raw_parts(placed=True):
         names = {f.name: f.dataType.simpleString() for f in part.schema.fields}
         name_of = F.create_map(*[F.lit(x) for c in _data_columns(part) for x in (c, names[c])])
-        counted = _per_column(part, {"non_null": _present})
-        frames.append(counted.select("column", name_of[F.col("column")].alias("type"), "non_null"))
+        counted = _per_column(part, {"non_null": _present, "sample": _first_present})
+        frames.append(counted.select("column", name_of[F.col("column")].alias("type"), "non_null", "sample"))
     return union_all(frames).orderBy("column")
 
 

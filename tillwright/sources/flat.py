@@ -51,13 +51,14 @@ class FlatSales:
         by_trimmed = {c.strip(): c for c in self.raw_lines.columns}
         return self.raw_lines.select(*[F.col(f"`{by_trimmed[self.schema.name(r)]}`") for r in roles])
 
-    def weighted_raw(self, *roles: str) -> DataFrame:
-        """``raw`` with the number of ``lines`` each row stands for."""
-        return self.raw(*roles).withColumn("lines", F.lit(1).cast("long"))
+    def weighted_raw(self, *roles: str, placed: bool = False) -> DataFrame:
+        """``raw`` with the number of ``lines`` each row stands for; ``place`` is the order of reading."""
+        rows = self.raw(*roles).withColumn("lines", F.lit(1).cast("long"))
+        return rows.withColumn("place", F.monotonically_increasing_id()) if placed else rows
 
-    def raw_parts(self) -> list[DataFrame]:
+    def raw_parts(self, placed: bool = False) -> list[DataFrame]:
         """The raw columns in groups to audit one by one, weighted."""
-        return [self.weighted_raw()]
+        return [self.weighted_raw(placed=placed)]
 
     def row_identity(self) -> DataFrame:
         """The raw columns that tell two different rows apart."""

@@ -138,12 +138,16 @@ class StarSales:
         wanted = list(roles or RAW_TYPES)
         return self._raw_named(self._join(self._items(), wanted, ()), wanted)
 
-    def weighted_raw(self, *roles: str) -> DataFrame:
-        """Raw columns of some roles with the number of ``lines`` each row stands for."""
-        items = self._items().withColumn("lines", F.lit(1).cast("long"))
-        return self._raw_named(self._join(items, roles, ("lines",)), roles, "lines")
+    def weighted_raw(self, *roles: str, placed: bool = False) -> DataFrame:
+        """Raw columns of some roles with the number of ``lines`` each row stands for.
 
-    def raw_parts(self) -> list[DataFrame]:
+        With ``placed``, column ``place`` orders the lines, by order and line number.
+        """
+        items = self._items().withColumn("lines", F.lit(1).cast("long")).withColumn("place", F.struct("l_orderkey", "l_linenumber"))
+        more = ("lines", "place") if placed else ("lines",)
+        return self._raw_named(self._join(items, roles, more), roles, *more)
+
+    def raw_parts(self, placed: bool = False) -> list[DataFrame]:
         """The raw columns grouped by the table that is joined last to get them, weighted by ``lines``.
 
         Column-wise audits run on each group by itself, so none of them carries all columns through
@@ -154,7 +158,7 @@ class StarSales:
         groups: dict[str, list[str]] = {}
         for role in RAW_TYPES:
             groups.setdefault(last.get(INPUTS[role][-1], "lineitem"), []).append(role)
-        return [self.weighted_raw(*group) for group in groups.values()]
+        return [self.weighted_raw(*group, placed=placed) for group in groups.values()]
 
     def row_identity(self) -> DataFrame:
         """The raw columns that tell two different rows apart.
