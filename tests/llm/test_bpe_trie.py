@@ -1,6 +1,7 @@
 """Ids and texts against the tokenizers library, and exact round trips."""
 
 import hashlib
+import random
 import struct
 
 import public_tokenizers
@@ -26,7 +27,7 @@ def ours(texts):
 
 
 TRICKY = ["", " ", "\n\n  x\t", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "aaaaaaaaaaaaaaaaaa" * 40, "　  x", "I'll we've don't 'S",
-          "1234567890 12 3", "日本語テキスト😀👩‍👩‍👧", "é \u0000 \x1f", "ſt ǅ ª²½Ⅷ٣", " " * 300 + "x", "-" * 500, "\r\n\r\n a"]
+          "1234567890 12 3", "日本語テキスト😀👩‍👩‍👧", "é \u0000 \x1f", "ſt ǅ ª²½Ⅷ٣", " " * 300 + "x", "ÀÖØöøÿ×÷ ñandú'll it's  \t\r\n  \x0b x\x85y\xa0 z", "don't'd 'sé", "-" * 500, "\r\n\r\n a"]
 
 
 def test_tricky_texts():
@@ -50,6 +51,12 @@ def test_documents(table):
         assert got[row.doc_id] == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_decoding_what_was_encoded(table):
+    docs = table("documents")
+    back = bpe_trie.decode_documents(bpe_trie.encode_documents(docs, PATH), PATH)
+    assert back.exceptAll(docs.select("doc_id", "text")).count() == 0 and back.count() == docs.count()
+
+
 def test_odd_rows(make_docs):
     docs = make_docs([(1, None), (2, ""), (None, "a"), (3, "ab" * 100_000), (3, "ab" * 100_000)])
     rows = bpe_trie.token_digests(docs, PATH).collect()
@@ -64,7 +71,19 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe_trie, "REMEMBERED_WORDS", 3)
     monkeypatch.setattr(bpe_trie, "SLICE_CHARS", 10)
     texts = [f"word{i} other{i % 3}" for i in range(40)]
-    assert ours(texts) == [theirs(t) for t in texts]
+    known = {}
+    for part in bpe_trie._slices(texts):
+        assert len(part) == 1
+        (packed,) = bpe_trie.encode_texts(OURS, part, known)
+        assert packed == struct.pack(f"<{len(packed) // 4}I", *theirs(part[0]))
+
+
+def test_neighbours_stay_apart_as_merging_says():
+    rng = random.Random(2)
+    common = [t for t in range(256, 4000) if OURS.bytes_of[t] in OURS.standing] + [OURS.id_of[b"a"], OURS.id_of[b"aa"]]
+    for _ in range(20_000):
+        left, right = rng.choice(common), rng.choice(common)
+        assert OURS.fits(left, right) == (OURS.merged(OURS.bytes_of[left] + OURS.bytes_of[right]) == [left, right])
 
 
 def test_other_models_are_refused():

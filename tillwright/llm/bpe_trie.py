@@ -10,25 +10,29 @@ trie's paths in depth-first order, so the path to the current node is all of the
 from __future__ import annotations
 
 import json
-import os
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tillwright.llm.common import text_or_empty
 
 #: Characters handled at a time and words remembered by a task, so that memory is bounded.
-SLICE_CHARS = 2_000_000
-REMEMBERED_WORDS = 300_000
+SLICE_CHARS = 4_000_000
+REMEMBERED_WORDS = 250_000
 #: Pairs of tokens whose neighbourhood is remembered.
-REMEMBERED_PAIRS = 2_000_000
+REMEMBERED_PAIRS = 300_000
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for texts of these characters only, with their letters, digits and white space spelled out.
+LATIN = re.compile(r"[\t-\r !-~À-ÖØ-öø-ÿ]*+")
+LATIN_WORDS = re.compile(
+    r"""'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]++| ?[0-9]++| ?[^\t-\r A-Za-zÀ-ÖØ-öø-ÿ0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]++"""
+)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -60,14 +64,19 @@ class Vocabulary:
         self.id_of = {b: i for i, b in spelled.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(names[a], names[b]): (rank, names[a + b]) for rank, (a, b) in enumerate(pairs)}
-        lengths = sorted({len(b) for b in self.id_of}, reverse=True)
-        #: Lengths of tokens that may end at each depth, longest first; the last entry holds beyond.
-        self.lengths = [[n for n in lengths if n <= depth] for depth in range(lengths[0] + 1)]
+        self.longest = max(map(len, self.id_of))
+        #: The merge that makes each token, and its rank.
+        self.parts = {token: (*pair, rank) for pair, (rank, token) in self.merges.items()}
+        if len(self.parts) < len(self.merges):
+            raise ValueError("a token must have one merge")
+        #: Tokens whose bytes encode to themselves; no other token ever occurs.
+        self.standing = {b: i for b, i in self.id_of.items() if self.merged(b) == [i]}
+        self.packed = {i: np.array([i], "<u4").tobytes() for i in self.bytes_of}
+        self.sizes = {i: len(b) for i, b in self.bytes_of.items()}
         self.words = regex.compile(WORDS)
         by_length = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._stands: dict[int, bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens of a short piece by merging pairs in order of rank."""
@@ -80,58 +89,77 @@ class Vocabulary:
             ids[i : i + 2] = [self.merges[ids[i], ids[i + 1]][1]]
         return ids
 
-    def stands(self, token: int) -> bool:
-        """Whether the token's bytes encode to itself."""
-        known = self._stands.get(token)
-        if known is None:
-            known = self._stands[token] = self.merged(self.bytes_of[token]) == [token]
-        return known
-
     def fits(self, left: int, right: int) -> bool:
-        """Whether the two stay side by side when their bytes are encoded together."""
-        known = self._fits.get((left, right))
-        if known is None:
-            if len(self._fits) >= REMEMBERED_PAIRS:
-                self._fits.clear()
-            together = self.merged(self.bytes_of[left] + self.bytes_of[right])
-            known = self._fits[left, right] = together == [left, right]
-        return known
+        """Whether two standing tokens stay side by side when their bytes are encoded together.
+
+        The merges at the border are undone from the last to the first. They keep the tokens apart
+        unless, before one of them, the two pieces that then meet would have merged; of equal merges
+        the one further left is first.
+        """
+        limit = len(self.merges)
+        while True:
+            across = self.merges.get((left, right))
+            if across and across[0] < limit:
+                return False
+            a, b = self.parts.get(left), self.parts.get(right)
+            if not a and not b:
+                return True
+            if a and (not b or a[2] > b[2]):
+                left, limit = a[1], a[2]
+            else:
+                right, limit = b[0], b[2] + 1
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Token ids of distinct words, as little-endian unsigned 32-bit integers."""
         found: dict[str, bytes] = {}
-        path, states = b"", [(0, 0)]  # per byte of the path: last token, its length
+        token_of, packed, sizes, fits, longest = self.standing.get, self.packed, self.sizes, self._fits, self.longest
+        path, last = b"", [0]  # per byte of the path: the last token
         for spelled, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
-            shared = len(os.path.commonprefix((path, spelled)))
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(spelled) + 1):
-                states.append(self._last_token(spelled, end, states))
-            ids, end = [], len(spelled)
+            shared, size = 0, len(spelled)
+            for a, b in zip(path, spelled, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1 :]
+            for end in range(shared + 1, size + 1):
+                token = token_of(spelled[:end])
+                if token is not None:
+                    last.append(token)
+                    continue
+                for start in range(end - 1, max(0, end - longest) - 1, -1):  # one token fits; short ones are likelier
+                    token = token_of(spelled[start:end])
+                    if token is None:
+                        continue
+                    pair = last[start] << 32 | token
+                    fit = fits.get(pair)
+                    if fit is None:
+                        if len(fits) >= REMEMBERED_PAIRS:
+                            fits.clear()
+                        fit = fits[pair] = self.fits(last[start], token)
+                    if fit:
+                        last.append(token)
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks single bytes")
+            ids, end = [], size
             while end:
-                token, length = states[end]
-                ids.append(token)
-                end -= length
-            found[word], path = np.array(ids[::-1], "<u4").tobytes(), spelled
+                ids.append(packed[last[end]])
+                end -= sizes[last[end]]
+            found[word], path = b"".join(ids[::-1]), spelled
         return found
 
-    def _last_token(self, spelled: bytes, end: int, states: list[tuple[int, int]]) -> tuple[int, int]:
-        for length in self.lengths[min(end, len(self.lengths) - 1)]:
-            token = self.id_of.get(spelled[end - length : end])
-            if token is None or not self.stands(token):
-                continue
-            if length == end or self.fits(states[end - length][0], token):
-                return token, length
-        raise ValueError("the vocabulary lacks single bytes")
-
     def split(self, text: str) -> list[str]:
         """The words and added tokens of a text, in order."""
-        if not self.cut:
-            return self.words.findall(text)
+        if not any(token in text for token in self.added):
+            return self._plain_words(text)
         parts: list[str] = []
         for part in self.cut.split(text):
-            parts += [part] if part in self.added else self.words.findall(part)
+            parts += [part] if part in self.added else self._plain_words(part)
         return parts
 
+    def _plain_words(self, text: str) -> list[str]:
+        return (LATIN_WORDS if LATIN.fullmatch(text) else self.words).findall(text)
+
     def decode(self, packed: bytes) -> str:
         spell = self.bytes_of
         return b"".join([spell[i] for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
@@ -143,70 +171,72 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_texts(vocab: Vocabulary, texts: Iterable[str], known: dict[str, bytes]) -> Iterator[bytes]:
-    """Packed ids of each text; ``known`` holds words met before and is filled and emptied here."""
-    waiting: list[list[str]] = []
-    size = 0
+def encode_texts(vocab: Vocabulary, texts: Iterable[str], known: dict[str, bytes]) -> list[bytes]:
+    """Packed ids of each text; ``known`` holds words met before, or only these texts' if it is full."""
+    split = [vocab.split(text) for text in texts]
+    distinct = set().union(*split)
+    new = distinct - known.keys()
+    if len(known) + len(new) > REMEMBERED_WORDS:
+        kept = {word: known[word] for word in distinct - new}
+        known.clear()
+        known |= kept
+    known |= {word: vocab.packed[vocab.added[word]] for word in new & vocab.added.keys()}
+    known |= vocab.encode_words(new - vocab.added.keys())
+    return [b"".join([known[w] for w in words]) for words in split]
 
-    def ready() -> Iterator[bytes]:
-        new = {w for words in waiting for w in words if w not in known}
-        if len(known) + len(new) > REMEMBERED_WORDS:
-            known.clear()
-            known.update((a, np.array([i], "<u4").tobytes()) for a, i in vocab.added.items())
-            new = {w for words in waiting for w in words if w not in known}
-        known.update(vocab.encode_words(new))
-        for words in waiting:
-            yield b"".join([known[w] for w in words])
-        waiting.clear()
 
-    known.update((a, np.array([i], "<u4").tobytes()) for a, i in vocab.added.items())
+def _slices(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Consecutive texts of about ``SLICE_CHARS`` in all; a longer text is alone or last."""
+    part, size = [], 0
     for text in texts:
-        waiting.append(vocab.split(text))
+        part.append(text)
         size += len(text)
         if size >= SLICE_CHARS:
-            yield from ready()
-            size = 0
-    yield from ready()
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
 
+def encode_documents(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """Columns doc_id and ids, a row per document; null and empty texts have no ids.
 
-def encoded(text: Column, path: str) -> Column:
-    """The text's token ids, packed as little-endian unsigned 32-bit integers."""
+    Ids are packed as little-endian unsigned 32-bit integers. With ``decoded``, a column of that name
+    holds the text decoded from them again.
+    """
 
-    @pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, known = vocabulary(path), {}
         for batch in batches:
-            yield pd.Series(list(encode_texts(vocab, batch, known)), dtype=object)
+            at = 0
+            for texts in _slices(batch["text"]):
+                ids = encode_texts(vocab, texts, known)
+                out = {"doc_id": batch["doc_id"].iloc[at : at + len(ids)], "ids": ids}
+                if decoded:
+                    out["decoded"] = [vocab.decode(packed) for packed in ids]
+                at += len(ids)
+                yield pd.DataFrame(out)
 
-    return encode(text)
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_or_empty().alias("text"))
+    found = rows.mapInPandas(encode, "doc_id string, ids binary" + ", decoded string" * decoded)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """The text that packed token ids stand for."""
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """Columns doc_id and text, from doc_id and packed ids."""
 
-    @pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = vocabulary(path)
         for batch in batches:
-            yield pd.Series([vocab.decode(packed) for packed in batch], dtype=object)
-
-    return decode(ids)
-
-
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Columns doc_id and ids (packed), a row per document; null and empty texts have no ids."""
-    return docs.select("doc_id", encoded(text_or_empty(), path).alias("ids"))
-
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [vocab.decode(packed) for packed in batch["ids"]]})
 
-def decode_documents(encoded_docs: DataFrame, path: str) -> DataFrame:
-    """Columns doc_id, ids and decoded."""
-    return encoded_docs.select("doc_id", "ids", decoded(F.col("ids"), path).alias("decoded"))
+    rows = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
+    return rows.mapInPandas(decode, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
-    both = decode_documents(encode_documents(docs, path), path)
-    return both.select(
+    return encode_documents(docs, path, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
