@@ -28,6 +28,7 @@ REPORTS: dict[str, Plan] = {
     "facet_fulfilment": lambda src: selection.facet(src, "fulfilment"),
     "facet_date_bounds": selection.date_bounds,
     "clean_sales": selection.clean_sales,
+    "clean_report": selection.clean_report,
     "state_normalised": selection.states,
     "derived_calendar": selection.calendar_of,
     "filtered_sales": lambda src: selection.category_totals(src.where(ALL_FOUR)),

@@ -252,6 +252,11 @@ ORACLE: dict[str, str] = {
     "clean_sales": _sales("""
 SELECT order_id, sku, date, status, state, city, courier_status, promotion_ids, CAST(qty AS BIGINT) AS qty,
   CAST(revenue AS DOUBLE) AS revenue, is_cancelled, is_shipped, is_b2b FROM sales"""),
+    "clean_report": _sales("""
+SELECT order_id, date, status, fulfilment, sku, category, size, courier_status, state, city, promotion_ids,
+  CASE WHEN qty % 2 = 1 THEN 'USD' ELSE 'INR' END AS currency,
+  CASE WHEN promotion_ids <> 'None' THEN 'Courier' WHEN fulfilment = 'Amazon' THEN 'Amazon FBA' ELSE 'Easy Ship' END AS fulfilled_by,
+  is_b2b, CAST(qty AS BIGINT) AS qty, CAST(revenue AS DOUBLE) AS revenue FROM sales"""),
     "state_normalised": _sales("SELECT state, count(*) AS rows FROM sales GROUP BY state"),
     "derived_calendar": _sales("""
 SELECT DISTINCT date, month(date) AS month, strftime(date, '%b %Y') AS month_name, weekofyear(date) AS week, day_of_week,
