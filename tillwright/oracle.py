@@ -349,9 +349,9 @@ SELECT (SELECT count(*) FROM raw) AS n_rows, CAST(16 AS BIGINT) AS n_cols,
         f"""SELECT '{c}' AS "column", count(*) - count({c}) AS missing,
   {_even(f"(count(*) - count({c}))::DOUBLE / count(*)::DOUBLE * 100.0::DOUBLE", 2)} AS missing_pct, count({c}) AS present FROM raw"""
         for c, _ in _AUDITED) + ") WHERE missing > 0"),
-    "dq_types": "WITH " + _RAW.strip().replace("SELECT", "SELECT l_orderkey * 10 + l_linenumber AS place,", 1) + "\n" + " UNION ALL ".join(
+    "dq_types": "WITH " + _RAW.strip().replace("SELECT", "SELECT struct_pack(a := l_orderkey IS NULL, k := coalesce(l_orderkey, 0), n := l_linenumber) AS place,", 1) + "\n" + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", '{t}' AS type, count({c}) AS non_null,
-  coalesce(arg_min(CAST({c} AS VARCHAR), place) FILTER (WHERE {c} IS NOT NULL), 'N/A') AS sample FROM raw""" for c, t in _AUDITED),
+  coalesce((min(struct_pack(p := place, v := CAST({c} AS VARCHAR))) FILTER (WHERE {c} IS NOT NULL)).v, 'N/A') AS sample FROM raw""" for c, t in _AUDITED),
     "dq_unique": _raw(" UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique FROM raw""" for c, _ in _AUDITED)),
     "dq_describe": f"""WITH {_RAW.strip()},{_numbers(False)}

@@ -78,7 +78,10 @@ def _first_present(c: Column) -> Column:
 
 
 def types(src) -> DataFrame:
-    """Type, number of present values and the first of them, as text, per column."""
+    """Type, number of present values and the first of them, as text, per column.
+
+    Of values in the same place the one that sorts first counts.
+    """
     frames = []
     for part in src.raw_parts(placed=True):
         names = {f.name: f.dataType.simpleString() for f in part.schema.fields}

@@ -141,9 +141,11 @@ class StarSales:
     def weighted_raw(self, *roles: str, placed: bool = False) -> DataFrame:
         """Raw columns of some roles with the number of ``lines`` each row stands for.
 
-        With ``placed``, column ``place`` orders the lines, by order and line number.
+        With ``placed``, column ``place`` orders the lines, by order and line number, those without an
+        order last.
         """
-        items = self._items().withColumn("lines", F.lit(1).cast("long")).withColumn("place", F.struct("l_orderkey", "l_linenumber"))
+        items = self._items().withColumn("lines", F.lit(1).cast("long"))
+        items = items.withColumn("place", F.struct(F.col("l_orderkey").isNull(), F.coalesce("l_orderkey", F.lit(0)), "l_linenumber"))
         more = ("lines", "place") if placed else ("lines",)
         return self._raw_named(self._join(items, roles, more), roles, *more)
 
