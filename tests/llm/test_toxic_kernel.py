@@ -27,7 +27,7 @@ WORDS = ["stupid", "stpid", "stuupid", "s.t.u.p.i.d", "idiot", "the", "ab", "aaa
 
 def test_kernel_of_pairs():
     pairs = list(itertools.product(WORDS, ["stupid", "aaa", "idiots", "ñoñ"]))
-    got = tk.kernel_of_pairs([a for a, _ in pairs], [b for _, b in pairs])
+    got = tk.kernel_of_pairs(tk._codes([a for a, _ in pairs]), tk._codes([b for _, b in pairs]))
     assert got == pytest.approx([plain_kernel(a, b) for a, b in pairs], rel=1e-4, abs=1e-7)
 
 

@@ -55,45 +55,48 @@ def _decays(width: int) -> np.ndarray:
     return np.where(gaps >= 0, DECAY ** np.maximum(gaps, 0), 0).astype(np.float32)
 
 
-def kernel_of_pairs(words: list[str], others: list[str]) -> np.ndarray:
-    """Subsequence kernel of each word with the other at its place, not normalised."""
-    codes, marks = _codes(words), _codes(others)
-    spread, square = _decays(marks.shape[1]), DECAY * DECAY
+def kernel_of_pairs(words: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Subsequence kernel of each word with the other at its place, not normalised; both as codes."""
+    codes, marks = _trimmed(words).T.copy(), _trimmed(others).T.copy()  # a row per letter, a column per pair
+    spread, square = _decays(len(marks)).T.copy(), DECAY * DECAY
     marks = np.where(marks == 0, np.uint32(0xFFFFFFFF), marks)
     sums = [np.zeros(marks.shape, np.float32) for _ in range(LENGTH - 1)]
-    total = np.zeros(len(words), np.float32)
-    for at in range(codes.shape[1]):
-        same = (marks == codes[:, at, None]) * square
+    total = np.zeros(codes.shape[1], np.float32)
+    for letters in codes:
+        same = (marks == letters).astype(np.float32)
+        same *= square
         found = same
         for level in range(LENGTH - 1):  # subsequences that end here, by what ended before here
-            longer = np.zeros_like(same)
-            longer[:, 1:] = same[:, 1:] * sums[level][:, :-1]
-            sums[level] = sums[level] * DECAY + found @ spread
+            longer = same.copy()
+            longer[0] = 0
+            longer[1:] *= sums[level][:-1]
+            sums[level] *= DECAY
+            sums[level] += spread @ found
             found = longer
-        total += found.sum(1)
+        total += found.sum(0)
     return total
 
 
-def kernel_self(words: list[str]) -> np.ndarray:
-    return kernel_of_pairs(words, words)
+def _trimmed(codes: np.ndarray) -> np.ndarray:
+    """Codes without columns that are padding throughout."""
+    return codes[:, : max(1, int(np.count_nonzero(codes, axis=1).max(initial=0)))]
 
 
-def _letter_counts(words: list[str]) -> np.ndarray:
+def _letter_counts(codes: np.ndarray) -> np.ndarray:
     """How often a word has letters of each of 64 classes."""
-    codes = _codes(words)
     rows, places = np.nonzero(codes)
-    flat = np.bincount(rows * 64 + codes[rows, places] % 64, minlength=len(words) * 64)
+    flat = np.bincount(rows * 64 + codes[rows, places] % 64, minlength=len(codes) * 64)
     return np.minimum(flat, 255).astype(np.uint8).reshape(-1, 64)
 
 
-def comparable(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def comparable(words: np.ndarray, landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of words and landmarks where the word has enough of the landmark's letters."""
     counts = _letter_counts(words)
     pairs = []
-    for k, (landmark, letters) in enumerate(zip(landmarks, _letter_counts(landmarks), strict=True)):
+    for k, letters in enumerate(_letter_counts(landmarks)):
         used = np.flatnonzero(letters)
         common = np.minimum(counts[:, used], letters[used]).sum(1, dtype=np.int64)
-        rows = np.flatnonzero(common >= max(LENGTH, SHARED_LETTERS * len(landmark)))
+        rows = np.flatnonzero(common >= max(LENGTH, SHARED_LETTERS * letters.sum(dtype=np.int64)))
         pairs.append((rows, np.full(len(rows), k)))
     return np.concatenate([r for r, _ in pairs]), np.concatenate([k for _, k in pairs])
 
@@ -106,17 +109,15 @@ def likeness(words: list[str], landmarks: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(landmarks)), np.float32)
     if not words:
         return out
-    of_landmark = np.sqrt(kernel_self(landmarks))
-    rows, marks = comparable([w or "\1" for w in words], landmarks)
-    sizes = np.array([len(words[r]) for r in rows.tolist()], np.int64)
-    order = np.argsort(sizes, kind="stable")  # so that few letters are padding
+    codes, marks = _codes([w or "\1" for w in words]), _codes(landmarks)
+    of_landmark = np.sqrt(kernel_of_pairs(marks, marks))
+    rows, columns = comparable(codes, marks)
+    order = np.argsort(np.count_nonzero(codes, axis=1)[rows], kind="stable")  # so that few letters are padding
     for k in range(0, len(order), 8192):
-        part = order[k : k + 8192]
-        r, m = rows[part], marks[part]
+        r, m = rows[order[k : k + 8192]], columns[order[k : k + 8192]]
         distinct, place = np.unique(r, return_inverse=True)
-        own = np.sqrt(kernel_self([words[i] for i in distinct.tolist()]))[place]
-        both = kernel_of_pairs([words[i] for i in r.tolist()], [landmarks[i] for i in m.tolist()])
-        out[r, m] = (both / (own * of_landmark[m])) ** POWER
+        own = np.sqrt(kernel_of_pairs(codes[distinct], codes[distinct]))[place]
+        out[r, m] = (kernel_of_pairs(codes[r], marks[m]) / (own * of_landmark[m])) ** POWER
     return out
 
 
@@ -154,14 +155,17 @@ class Comparer:
         found = likeness(distinct, self.landmarks)
         some = np.flatnonzero(found.any(1))
         at = dict(zip([distinct[i] for i in some.tolist()], range(len(some)), strict=True))
-        found, new = found[some], []
+        found, base, more = found[some], len(self.rows), []
         for word, fs in forms.items():
+            if len(fs) == 1:
+                place = at.get(fs[0], -1)
+                self.row[word] = base + place if place >= 0 else 0
+                continue
             rows = [at[f] for f in fs if f in at]
-            self.row[word] = len(self.rows) + len(new) if rows else 0
+            self.row[word] = base + len(found) + len(more) if rows else 0
             if rows:
-                new.append(found[rows].max(0))
-        if new:
-            self.rows = np.concatenate([self.rows, np.array(new)])
+                more.append(found[rows].max(0))
+        self.rows = np.concatenate([self.rows, found, *([np.array(more)] if more else [])])
 
     def bags(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Per text, an array with a row per sentence: the likeness of its closest word to each landmark."""
