@@ -72,3 +72,46 @@ def test_empty_tables(spark, make_docs):
     assert dc.contaminated(make_docs([]), items).count() == 0
     assert dc.contaminated(make_docs([(1, ITEM)]), items.limit(0)).count() == 0
     assert dc.keep_clean(make_docs([(1, ITEM)]), items.limit(0)).count() == 1
+
+
+def plainly_held(item, text):
+    a, b = dc.words_of(item), dc.words_of(text)
+    score = plain_score(a, b)
+    return score >= 2 * dc.MIN_WORDS or score / (2 * len(a)) >= dc.MIN_SHARE
+
+
+@pytest.mark.parametrize("copies", [0, 1, 3])
+def test_edits_every_few_words_against_all_pairs(spark, make_docs, copies):
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(12)]
+    items = [" ".join(rng.choice(common) if rng.random() < 0.4 else f"i{n}x{k}" for k in range(size)) for n, size in enumerate((15, 20, 27, 40, 60))]
+    change = {
+        "replaced": lambda w, k, step: "zz" if k % step == step - 1 else w,
+        "left out": lambda w, k, step: None if k % step == step - 1 else w,
+        "put in": lambda w, k, step: f"{w} zz" if k % step == step - 1 else w,
+    }
+    texts = [t for t in items for _ in range(copies)]
+    for item in items:
+        for step in (2, 3, 4, 5, 6):
+            for edit in change.values():
+                words = [edit(w, k, step) for k, w in enumerate(item.split())]
+                noise = [rng.choice(common) for _ in range(30)]
+                texts.append(" ".join([*noise, *filter(None, words), *noise[::-1]]))
+    texts += [" ".join(rng.choice(common) for _ in range(100)) for _ in range(5)]
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if plainly_held(item, t)}
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = dc.contaminated(make_docs(list(enumerate(texts))), table).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(want) > 50
+
+
+def test_pairs_that_are_left_out_lose_nothing():
+    rng = random.Random(4)
+    for _ in range(60):
+        items = [" ".join(f"v{rng.randint(1, 9)}" for _ in range(rng.randint(14, 30))) for _ in range(3)]
+        texts = [" ".join(f"v{rng.randint(1, 12)}" for _ in range(40)) for _ in range(6)]
+        texts += [" ".join(w for w in items[0].split() if rng.random() < 0.8) for _ in range(2)]
+        block = dc.Items(list(enumerate(items)))
+        pairs = [dc.np.unique(block.codes(block.numbered(dc.words_of(t)))) for t in texts]
+        seeds = dc.Seeds(block, {c: n for c in block.known.tolist() if (n := sum(c in p for p in pairs))})
+        for text in texts:
+            assert {i for i, *_ in seeds.find(text)} == {i for i, item in enumerate(items) if plainly_held(item, text)}

@@ -1,13 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment.
 
 Test items are a small table, handled in blocks of bounded size; documents are only ever scanned. One
-scan counts in how many documents each n-gram of a block occurs. In each run of consecutive n-grams of
-an item the rarest becomes a seed, so every stretch of an item has seeds however often it leaked. A
-second scan aligns items with the neighbourhood of their seeds in the document, word by word.
+scan counts in how many documents each word pair of a block occurs. A pair is two neighbouring words, or
+two with any one word between them: wherever an alignment scores three or more, two of its matches are
+that close. More than that, neighbours counted twice and the others once, its pairs add up to its score
+less two. So an item leaves out its commonest pairs only as far as the rest still meet every text that
+holds it, and no alignment is computed where a stretch of text has too few of the item's pairs.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,7 +23,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tillwright.llm.common import text_or_empty
 
-GRAM, RUN = 3, 4
+GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Share of the best possible score from which a document holds an item.
 MIN_SHARE = 0.5
@@ -52,8 +55,13 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def least_score(length: int) -> int:
+    """The score from which an item of so many words is held."""
+    return min(MATCH * MIN_WORDS, math.ceil(MATCH * MIN_SHARE * length))
+
+
 class Items:
-    """A block of test items as numbered words, with their n-grams."""
+    """A block of test items as numbered words, with their word pairs."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         split = [(i, words_of(t)) for i, t in items]
@@ -61,8 +69,9 @@ class Items:
         self.ids = [i for i, _ in split]
         self.number = {w: n for n, w in enumerate(sorted({w for _, ws in split for w in ws}), 1)}
         self.words = [np.array([self.number[w] for w in ws], np.int64) for _, ws in split]
-        self.grams = [self.codes(ws) for ws in self.words]
-        self.known = np.unique(np.concatenate(self.grams)) if split else np.zeros(0, np.int64)
+        self.pairs = [self.codes(ws) for ws in self.words]
+        self.own = [np.unique(p[p >= 0]) for p in self.pairs]
+        self.known = np.unique(np.concatenate(self.own)) if split else np.zeros(0, np.int64)
 
     def numbered(self, words: list[str]) -> np.ndarray:
         """Numbers of a document's words; 0 for words that no item has."""
@@ -70,63 +79,76 @@ class Items:
         return np.array([get(w, 0) for w in words], np.int64)
 
     def codes(self, words: np.ndarray) -> np.ndarray:
-        """A number for each n-gram, positions with a foreign word have -1."""
-        if len(words) < GRAM:
-            return np.zeros(0, np.int64)
-        size, n = len(self.number) + 1, len(words) - GRAM + 1
-        out, whole = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(GRAM):
-            part = words[k : k + n]
-            out = out * size + part
-            whole &= part > 0
-        return np.where(whole, out, -1)
+        """Two rows: a number for each word with the next one, and with the one after; -1 for foreign words."""
+        size = len(self.number) + 1
+        out = np.full((2, len(words)), -1, np.int64)
+        for row in range(min(2, len(words) - 1)):
+            left, right = words[: -1 - row], words[1 + row :]
+            out[row, : len(left)] = np.where((left > 0) & (right > 0), (left * size + right) * 2 + row, -1)
+        return out
 
 
 class Seeds:
-    """The rare n-grams of a block of items, and what they lead to."""
+    """The pairs of a block of items by which texts that may hold them are found, and what they lead to."""
 
     def __init__(self, items: Items, documents_with: dict[int, int]):
         self.items = items
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, grams in enumerate(items.grams):
-            ranked = [(documents_with.get(g, 0), k) for k, g in enumerate(grams.tolist())]
-            rare = {min(ranked[k : k + RUN])[1] for k in range(max(1, len(ranked) - RUN + 1))}
-            for k in sorted(rare):
-                places[int(grams[k])].append((n, k))
-        self.places = dict(places)
-        self.codes = np.array(sorted(places), np.int64)
+        leads: dict[int, list[int]] = defaultdict(list)
+        for n, pairs in enumerate(items.pairs):
+            for code in _kept(pairs, documents_with, least_score(len(items.words[n])) - 3):
+                leads[code].append(n)
+        self.leads = dict(leads)
+        self.codes = np.array(sorted(leads), np.int64)
 
     def find(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
         """Per item that the text holds: id, share of the best score, first and last character + 1."""
-        words = words_of(text)
-        numbers = self.items.numbered(words)
+        numbers = self.items.numbered(words_of(text))
         codes = self.items.codes(numbers)
-        hits = np.flatnonzero(_among(codes, self.codes))
-        starts: dict[int, set[int]] = defaultdict(set)
-        for at in hits.tolist():
-            for n, k in self.places[int(codes[at])]:
-                starts[n].add(at - k)
+        spots = np.flatnonzero(codes.max(axis=0) >= 0)
+        codes = codes[:, spots]
+        seen = codes[_among(codes, self.codes)]
+        if not len(seen):
+            return []
         found = []
-        for n, diagonals in starts.items():
+        for n in sorted({n for code in np.unique(seen).tolist() for n in self.leads[code]}):
             item = self.items.words[n]
-            best = max((self._aligned(item, numbers, lo, hi) for lo, hi in _stretches(sorted(diagonals), len(item), len(numbers))))
-            share = best[0] / (MATCH * len(item))
-            if share >= MIN_SHARE or best[0] >= MATCH * MIN_WORDS:
-                found.append((self.items.ids[n], share, best[1], best[2]))
+            least = least_score(len(item))
+            tops = [(*align(item, numbers[lo:hi]), lo) for lo, hi in _stretches(codes, spots, self.items.own[n], len(item), least)]
+            tops = [top for top in tops if top[0] >= least]
+            if tops:
+                score, start, end = max(self._placed(item, numbers, *top) for top in tops)
+                found.append((self.items.ids[n], score / (MATCH * len(item)), start, end))
         if not found:
             return []
         spans = [m.span() for m in WORD.finditer(text.lower())]
         return [(i, share, spans[a][0], spans[b - 1][1]) for i, share, a, b in found]
 
     @staticmethod
-    def _aligned(item: np.ndarray, numbers: np.ndarray, lo: int, hi: int) -> tuple[int, int, int]:
-        """Best score in a stretch of words, its first word and the word after its last."""
-        score, end = align(item, numbers[lo:hi])
+    def _placed(item: np.ndarray, numbers: np.ndarray, score: int, end: int, lo: int) -> tuple[int, int, int]:
+        """The score of an alignment in a stretch of words, its first word and the word after its last."""
         # The best alignment of the reversed words, from its end on, ends where the alignment begins.
         _, length = align(item[::-1], numbers[lo : lo + end][::-1])
         return score, lo + end - length, lo + end
 
 
+def _kept(pairs: np.ndarray, documents_with: dict[int, int], spare: int) -> list[int]:
+    """An item's pairs that occur, without the commonest that together can add no more than ``spare``."""
+    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for row in range(2):
+        for at, code in enumerate(pairs[row].tolist()):
+            if code in documents_with:
+                places[code].append((at, 2 - row))
+    ordered = sorted(places, key=lambda code: (-documents_with[code], code))
+    # From one word on, an alignment goes by one pair at most.
+    lost: dict[int, int] = {}
+    for dropped, code in enumerate(ordered):
+        spare -= sum(max(weight - lost.get(at, 0), 0) for at, weight in places[code])
+        if spare < 0:
+            return ordered[dropped:]
+        lost |= {at: max(weight, lost.get(at, 0)) for at, weight in places[code]}
+    return []
+
+
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(values), bool)
@@ -134,20 +156,28 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(at, len(ordered) - 1)] == values
 
 
-def _stretches(starts: list[int], length: int, total: int) -> list[tuple[int, int]]:
-    """Word ranges around places where an item may begin, overlapping ones made one."""
-    slack, out = length // 2 + 2, []
-    for start in starts:
-        lo, hi = max(0, start - slack), min(total, start + length + slack)
+def _stretches(codes: np.ndarray, spots: np.ndarray, own: np.ndarray, length: int, least: int) -> list[tuple[int, int]]:
+    """Word ranges with enough of an item's pairs to hold it, overlapping ones made one."""
+    weights = np.where(_among(codes[0], own), 2, _among(codes[1], own))
+    at = spots[weights > 0]
+    sums = np.concatenate([[0], np.cumsum(weights[weights > 0])])
+    if sums[-1] < least - 2:
+        return []
+    # Words that an alignment takes up: those of the item, and others at the cost of a gap each.
+    reach = 2 * length - least // 2
+    lasts = at[sums[1:] - sums[np.searchsorted(at, at - reach, "right")] >= least - 2]
+    out: list[tuple[int, int]] = []
+    for last in lasts.tolist():
+        lo, hi = max(0, last - reach), last + reach
         if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            out[-1] = (out[-1][0], hi)
         else:
             out.append((lo, hi))
     return out
 
 
 def _seeds(docs: DataFrame, items: Items) -> Seeds:
-    """Seeds by how many documents hold each n-gram; the counts are no more than the block's n-grams."""
+    """Seeds by how many documents hold each pair; the counts are no more than the block's pairs."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = np.zeros(len(items.known), np.int64)
@@ -156,10 +186,10 @@ def _seeds(docs: DataFrame, items: Items) -> Seeds:
                 codes = items.codes(items.numbered(words_of(text)))
                 totals[np.searchsorted(items.known, np.unique(codes[_among(codes, items.known)]))] += 1
         seen = np.flatnonzero(totals)
-        yield pd.DataFrame({"gram": items.known[seen], "documents": totals[seen]})
+        yield pd.DataFrame({"pair": items.known[seen], "documents": totals[seen]})
 
-    counts = docs.select(text_or_empty().alias("text")).mapInPandas(count, "gram long, documents long")
-    return Seeds(items, {r[0]: r[1] for r in counts.groupBy("gram").agg(F.sum("documents")).collect()})
+    counts = docs.select(text_or_empty().alias("text")).mapInPandas(count, "pair long, documents long")
+    return Seeds(items, {r[0]: r[1] for r in counts.groupBy("pair").agg(F.sum("documents")).collect()})
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Seeds]:
