@@ -115,3 +115,29 @@ def test_pairs_that_are_left_out_lose_nothing():
         seeds = dc.Seeds(block, {c: n for c in block.known.tolist() if (n := sum(c in p for p in pairs))})
         for text in texts:
             assert {i for i, *_ in seeds.find(text)} == {i for i, item in enumerate(items) if plainly_held(item, text)}
+
+
+def test_short_items_must_be_there_whole(spark, make_docs):
+    items = [(1, "What is the capital of France"), (2, "one two three four five six seven eight nine ten"), (3, "Lake Baikal"), (4, "Yes"), (5, "red green blue")]
+    docs = make_docs([
+        (1, "tell me what is the time"), (2, "he asked: what is the capital of France?"), (3, "what is the capital of Spain"),
+        (4, "one two three four five six"), (5, "so one two three four five six seven then"), (6, "one two three zz four five six seven eight"),
+        (7, "seen at lake baikal in may. yes, and cold"), (8, "Answer:\nLake  Baikal\nmore"), (9, "so? YES!"), (10, "red green"), (11, "a red, green, blue flag"),
+    ])
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = dc.contaminated(docs, table).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(2, 1), (5, 2), (6, 2), (8, 3), (9, 4), (11, 5)}
+    assert {r.doc_id: (r.start, r.end) for r in rows}[8] == (8, 20)
+    assert sorted(r.doc_id for r in dc.keep_clean(docs, table).collect()) == [1, 3, 4, 7, 10]
+
+
+def test_scripts_without_spaces_are_cut_into_characters(spark, make_docs):
+    chinese, japanese = "水在标准大气压下的沸点是一百摄氏度", "日本で一番高い山は富士山です"
+    docs = make_docs([
+        (1, f"问题：{chinese}。答案"), (2, chinese.replace("标准", "通常")), (3, "水在山上的时候很冷"), (4, f"昔々、{japanese}よ"), (5, "富士山は高い"), (6, "plain words"),
+    ])
+    table = spark.createDataFrame([(1, chinese), (2, japanese)], "item_id long, text string")
+    rows = dc.contaminated(docs, table).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (2, 1), (4, 2)}
+    assert {r.doc_id: (r.start, r.end) for r in rows}[1] == (3, 3 + len(chinese))
+    assert dc.words_of("東京tower 42、ﾄｳ") == ["東", "京", "tower", "42", "ﾄ", "ｳ"]

@@ -29,13 +29,25 @@ MATCH, MISMATCH, GAP = 2, -1, -2
 MIN_SHARE = 0.5
 #: Or so many words in a row, net of edits, of a longer item.
 MIN_WORDS = 13
+#: So many words, net of edits, are the least that holds an item; one that has no more must be there whole.
+LEAST_WORDS = 7
 #: Words of test items handled at a time.
 BLOCK_WORDS = 1_000_000
-WORD = re.compile(r"\w+")
+#: Scripts without spaces, whose characters count as words: Thai, Lao, Burmese, Khmer, Chinese, Japanese.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3105-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+CHARACTER = re.compile(f"[{UNSPACED}]")
+WORD, MIXED = re.compile(r"\w+"), re.compile(rf"(?=\w)[{UNSPACED}]|[^\W{UNSPACED}]+")
+#: A line, or a sentence of one.
+PART = re.compile(r"[^\n\r.!?;:\u2026\u3002\uff01\uff1f\uff1b\uff1a]+")
+
+
+def _pattern(text: str) -> re.Pattern[str]:
+    return WORD if text.isascii() or not CHARACTER.search(text) else MIXED
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return _pattern(text).findall(text)
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -57,7 +69,7 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 
 def least_score(length: int) -> int:
     """The score from which an item of so many words is held."""
-    return min(MATCH * MIN_WORDS, math.ceil(MATCH * MIN_SHARE * length))
+    return min(MATCH * MIN_WORDS, max(math.ceil(MATCH * MIN_SHARE * length), MATCH * min(LEAST_WORDS, length)))
 
 
 class Items:
@@ -65,6 +77,11 @@ class Items:
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         split = [(i, words_of(t)) for i, t in items]
+        #: Items too short to be aligned, by their words.
+        self.short: dict[tuple[str, ...], list[int | None]] = defaultdict(list)
+        for i, w in split:
+            if 0 < len(w) < GRAM:
+                self.short[tuple(w)].append(i)
         split = [(i, w) for i, w in split if len(w) >= GRAM]
         self.ids = [i for i, _ in split]
         self.number = {w: n for n, w in enumerate(sorted({w for _, ws in split for w in ws}), 1)}
@@ -102,6 +119,19 @@ class Seeds:
 
     def find(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
         """Per item that the text holds: id, share of the best score, first and last character + 1."""
+        return [*self._short(text), *self._long(text)]
+
+    def _short(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
+        """Items of one or two words, which a text holds where one is all of a line or sentence."""
+        found: dict[tuple[str, ...], tuple[int, int]] = {}
+        for part in PART.finditer((text or "").lower()) if self.items.short else ():
+            words = tuple(words_of(part.group()))
+            if words in self.items.short and words not in found:
+                spans = [m.span() for m in _pattern(part.group()).finditer(part.group())]
+                found[words] = part.start() + spans[0][0], part.start() + spans[-1][1]
+        return [(i, 1.0, *span) for words, span in found.items() for i in self.items.short[words]]
+
+    def _long(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
         numbers = self.items.numbered(words_of(text))
         codes = self.items.codes(numbers)
         spots = np.flatnonzero(codes.max(axis=0) >= 0)
@@ -120,7 +150,8 @@ class Seeds:
                 found.append((self.items.ids[n], score / (MATCH * len(item)), start, end))
         if not found:
             return []
-        spans = [m.span() for m in WORD.finditer(text.lower())]
+        text = text.lower()
+        spans = [m.span() for m in _pattern(text).finditer(text)]
         return [(i, share, spans[a][0], spans[b - 1][1]) for i, share, a, b in found]
 
     @staticmethod
@@ -195,7 +226,8 @@ def _seeds(docs: DataFrame, items: Items) -> Seeds:
 def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Seeds]:
     """Seeds for a bounded part of the test items at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
+    words = F.size(F.split("text", r"\s+")) + F.regexp_count("text", F.lit(f"[{UNSPACED}]"))
+    size = rows.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
     blocks = -(-size // BLOCK_WORDS)
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -207,7 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``share`` is the alignment's score over the item's best possible one; ``start`` and ``end`` count
     characters of the lower-cased text. Rows repeat where documents or items do. Null and empty texts
-    hold nothing, and items of fewer than three words are held by nothing.
+    hold nothing, and an item of one or two words is held only by a text with a line or sentence that is it.
     """
 
     def search(seeds: Seeds):
