@@ -81,3 +81,22 @@ def test_trust_and_distrust_spread(spark):
 
 def test_empty_table(spark):
     assert lt.judge(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_ranks_do_not_depend_on_unlinked_seeds(spark):
+    """A chain behind one blocked host and a circle that feeds it, beside thousands of hosts without links."""
+    chain = [("bad.com", "h0")] + [(f"h{i}", f"h{i + 1}") for i in range(48)]
+    links = {**dict.fromkeys(chain, 1), ("h3", "round1"): 2, ("round1", "round2"): 1, ("round2", "h3"): 1}
+    want = plain_ranks({"bad.com": 1.0}, links, rounds=400)
+    frame = spark.createDataFrame([(a, b, n) for (a, b), n in links.items()], "source string, target string, n long")
+    seeds = [("bad.com", 1.0), *((f"alone{i}", 1.0) for i in range(5_000))]
+    ranks = {r.host: r["rank"] for r in lt.spread(spark.createDataFrame(seeds, "host string, weight double"), frame).collect()}
+    assert len(ranks) == len(want) + 5_000
+    assert {h: ranks[h] for h in want} == pytest.approx(want, rel=1e-3)
+
+
+def test_verdicts_beside_unlinked_seeds(spark):
+    linked = [(1, "http://a.net/", '<a href="http://b.net/">x</a>'), (2, "http://b.net/", '<a href="http://c.net/">x</a>'), (3, "http://c.net/", '<a href="http://z.com/de/1">x</a>')]
+    seeds = [(4, "http://z.com/de/1", "")] + [(10 + i, f"http://s{i}.com/de/{i}", "") for i in range(3_000)]
+    pages = spark.createDataFrame([(i, u, h, "x", 0.0) for i, u, h in linked + seeds], PAGES)
+    assert {r.verdict for r in lt.judge(pages).collect()} == {"block"}

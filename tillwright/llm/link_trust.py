@@ -17,7 +17,9 @@ from tillwright.llm.common import settle
 
 #: (verdict, host and path); a rule fits the host and its subdomains, the longest that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DAMPING, ROUNDS, STILL = 0.85, 40, 1e-4
+DAMPING = 0.85
+#: Ranks are final once a round adds to no host more than this share of its own rank.
+STILL = 1e-4
 #: How much more distrust than trust blocks a host.
 MARGIN = 1e-9
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
@@ -56,29 +58,28 @@ def spread(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """Personalised PageRank: columns host and rank, from seeds (host, weight) over links.
 
     Weight follows a host's links in proportion to their number; what a host without links has is not
-    passed on. The rounds stop once ranks change by less than ``STILL`` of the seeds' weight in all.
-    Ranks are written to the checkpoint folder each round; a host with very many links is split by
-    adaptive execution, since it joins with one row of its own.
+    passed on. Each round passes on what hosts were given by the one before. The rounds stop once one adds
+    to no host more than ``STILL`` of the host's own rank, which also means that it reached no new host, or
+    once all that is still to come is far below what tells a verdict. So a host's rank does not depend on
+    what else the table holds. Ranks are written to the checkpoint folder each round; a host with very many
+    links is split by adaptive execution, since it joins with one row of its own.
     """
-    total = seeds.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
     sums = links.groupBy("source").agg(F.sum("n").alias("all"))
     shares = settle(links.join(sums, "source").select("source", "target", (F.col("n") / F.col("all")).alias("share")))
-    base = seeds.select("host", (F.col("weight") * (1 - DAMPING)).alias("rank"))
-    ranks = settle(base)
-    if total == 0 or shares.isEmpty():
-        return ranks
-    for _ in range(ROUNDS):
-        passed = ranks.join(shares, ranks.host == shares.source)
-        passed = passed.groupBy("target").agg((F.sum(F.col("rank") * F.col("share")) * DAMPING).alias("rank"))
-        both = base.unionByName(passed.withColumnRenamed("target", "host"))
-        new = settle(both.groupBy("host").agg(F.sum("rank").alias("rank")))
-        old = ranks.select("host", F.col("rank").alias("old"))
-        change = F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
-        moved = new.join(old, "host", "full").agg(F.sum(change)).first()[0]
-        ranks = new
-        if moved is None or moved < STILL * total:
-            break
-    return ranks
+    base = F.col("weight") * (1 - DAMPING)
+    ranks = settle(seeds.select("host", base.alias("rank"), base.alias("given")))
+    if shares.isEmpty():
+        return ranks.select("host", "rank")
+    while True:
+        passed = ranks.where("given > 0").join(shares, ranks.host == shares.source)
+        passed = passed.groupBy("target").agg((F.sum(F.col("given") * F.col("share")) * DAMPING).alias("given"))
+        passed = passed.select(F.col("target").alias("host"), F.col("given").alias("rank"), "given")
+        both = ranks.select("host", "rank", F.lit(0.0).alias("given")).unionByName(passed)
+        ranks = settle(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("given").alias("given")))
+        # A host reached for the first time has been given all of its rank.
+        moving, given = ranks.agg(F.max(F.col("given") > F.lit(STILL) * F.col("rank")), F.sum("given")).first()
+        if not moving or given * DAMPING < (1 - DAMPING) * STILL * MARGIN:
+            return ranks.select("host", "rank")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
