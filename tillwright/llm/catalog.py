@@ -8,10 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm import bm25, bpe_trie, decontaminate, html_consensus, link_trust, pii, rule_quality, secret_scan, simhash, toxic_kernel
+from tillwright.llm import (
+    bm25,
+    bpe_trie,
+    decontaminate,
+    html_consensus,
+    link_trust,
+    pii,
+    recursive_bpe,
+    rule_quality,
+    secret_scan,
+    simhash,
+    toxic_kernel,
+)
 from tillwright.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +75,10 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(docs, queries)
 
 
+def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recursive_bpe.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": personal_data,
     "op2_html_extraction": main_texts,
@@ -73,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": decontamination,
     "op9_url_filters": url_verdicts,
     "op10_quality_classifier": quality_classifier,
+    "op12_byte_level_bpe": byte_level_bpe,
 }
 
 ORACLE: dict[str, str] = {"op6_top_k_search": bm25.ORACLE}
