@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwright.llm import (
+    adaptive_codes,
     bm25,
     bpe_trie,
     decontaminate,
@@ -79,6 +80,10 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursive_bpe.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE))
 
 
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": personal_data,
     "op2_html_extraction": main_texts,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op9_url_filters": url_verdicts,
     "op10_quality_classifier": quality_classifier,
     "op12_byte_level_bpe": byte_level_bpe,
+    "op13_vector_code_compression": vector_codes,
 }
 
-ORACLE: dict[str, str] = {"op6_top_k_search": bm25.ORACLE}
+ORACLE: dict[str, str] = {"op6_top_k_search": bm25.ORACLE, "op13_vector_code_compression": adaptive_codes.ORACLE}

@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwright.session import settle
 
-__all__ = ["fresh_name", "held_out", "label_sample", "read_table", "settle", "shared_folder", "text_or_empty"]
+__all__ = [
+    "drop_table",
+    "fresh_name",
+    "heavy_from",
+    "held_out",
+    "label_sample",
+    "read_table",
+    "settle",
+    "shared_folder",
+    "text_or_empty",
+    "written",
+]
 
 FOLDS = 5
 
@@ -24,6 +36,34 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """A frame as a Parquet table in the shared folder, and that table's path."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``written`` that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def heavy_from(counts: DataFrame, weight: str, most: int) -> int:
+    """The least power of two such that at most ``most`` rows weigh that much; 0 if all rows are few enough.
+
+    Rows that weigh less are light: if there are any, each stands for under 2 / ``most`` of the total weight.
+    """
+    by_size = counts.groupBy(F.floor(F.log2(weight)).cast("int").alias("size")).agg(F.count("*").alias("n"))
+    sizes, seen = sorted(((r["size"], r["n"]) for r in by_size.collect()), reverse=True), 0
+    for size, n in sizes:
+        seen += n
+        if seen > most:
+            return 2 ** (size + 1)
+    return 0
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that the frame does not have yet, whatever the case."""
     taken, name = {c.lower() for c in df.columns}, stem
