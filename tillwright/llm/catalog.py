@@ -20,12 +20,14 @@ from tillwright.llm import (
     rule_quality,
     secret_scan,
     simhash,
+    token_alignment,
     toxic_kernel,
 )
 from tillwright.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +78,11 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(docs, queries)
 
 
+def token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return token_alignment.link_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECE_MODEL))
+
+
 def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursive_bpe.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE))
 
@@ -95,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": decontamination,
     "op9_url_filters": url_verdicts,
     "op10_quality_classifier": quality_classifier,
+    "op11_cross_tokenizer_alignment": token_links,
     "op12_byte_level_bpe": byte_level_bpe,
     "op13_vector_code_compression": vector_codes,
 }
