@@ -17,7 +17,7 @@ from tillwright.sources.order_report import with_file_order
 
 @pytest.fixture(scope="module")
 def flat(spark):
-    raw = StarSales(spark, SF_DIR).raw().cache()
+    raw = StarSales(spark, SF_DIR).raw(placed=True).cache()
     yield FlatSales.from_raw(raw, STAR_SCHEMA)
     raw.unpersist()
 

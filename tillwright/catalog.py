@@ -62,6 +62,7 @@ REPORTS: dict[str, Plan] = {
     "dq_shape": quality.shape,
     "dq_missing": quality.missing,
     "dq_types": quality.types,
+    "dq_inferred_types": quality.inferred_types,
     "dq_unique": quality.cardinality,
     "dq_describe": quality.describe,
     "hist_amount": quality.amount_histogram,

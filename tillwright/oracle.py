@@ -241,6 +241,30 @@ _AUDITED = (
     ("ship_city", "string"), ("ship_state", "string"), ("promotion_ids", "string"), ("b2b", "boolean"),
 )
 
+# Spellings that mean "missing" in a CSV, written out once more.
+_MISSING = """'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"""
+
+
+def _inferred_types() -> str:
+    """Types by what kinds of text a column holds."""
+    texts = " UNION ALL ".join(f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS t FROM raw""" for c, _ in _AUDITED)
+    return _raw(f"""
+, texts AS (SELECT "column", CASE WHEN t NOT IN ({_MISSING}) THEN t END AS t FROM ({texts})),
+kinds AS (
+  SELECT "column", t, CASE WHEN t IS NULL THEN 'missing'
+    WHEN regexp_full_match(t, '[ \t]*[+-]?[0-9]+[ \t]*') THEN
+      CASE WHEN TRY_CAST(trim(t, ' \t') AS BIGINT) < 0 THEN 'negative' WHEN TRY_CAST(trim(t, ' \t') AS BIGINT) >= 0 THEN 'whole'
+           WHEN TRY_CAST(trim(t, ' \t') AS UBIGINT) IS NOT NULL THEN 'unsigned' ELSE 'huge' END
+    WHEN regexp_full_match(t, '[ \t]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ \t]*') AND isfinite(TRY_CAST(trim(t, ' \t') AS DOUBLE)) THEN 'fraction'
+    WHEN lower(t) IN ('true', 'false') THEN 'flag'
+    WHEN lower(ltrim(t, '+-')) IN ('inf', 'infinity') THEN 'fraction' ELSE 'text' END AS kind FROM texts)
+SELECT "column", count(t) AS present, CASE WHEN bool_and(kind = 'missing') THEN 'double' WHEN bool_and(kind = 'flag') THEN 'boolean'
+    WHEN bool_or(kind IN ('text', 'flag')) THEN 'string' WHEN bool_or(kind = 'fraction') THEN 'double' WHEN bool_or(kind = 'huge') THEN 'string'
+    WHEN bool_or(kind = 'unsigned') THEN CASE WHEN bool_or(kind IN ('negative', 'missing')) THEN 'string' ELSE 'decimal(20,0)' END
+    WHEN bool_or(kind = 'missing') THEN 'double' ELSE 'bigint' END AS type
+FROM kinds GROUP BY "column" """)
+
+
 _SHARE_OF = f"""
 known AS (SELECT state, CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS rev, {ORDERS}, {QTY}
   FROM sales WHERE state <> 'UNKNOWN' GROUP BY state)"""
@@ -352,6 +376,7 @@ SELECT (SELECT count(*) FROM raw) AS n_rows, CAST(16 AS BIGINT) AS n_cols,
     "dq_types": "WITH " + _RAW.strip().replace("SELECT", "SELECT struct_pack(a := l_orderkey IS NULL, k := coalesce(l_orderkey, 0), n := l_linenumber) AS place,", 1) + "\n" + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", '{t}' AS type, count({c}) AS non_null,
   coalesce((min(struct_pack(p := place, v := CAST({c} AS VARCHAR))) FILTER (WHERE {c} IS NOT NULL)).v, 'N/A') AS sample FROM raw""" for c, t in _AUDITED),
+    "dq_inferred_types": _inferred_types(),
     "dq_unique": _raw(" UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique FROM raw""" for c, _ in _AUDITED)),
     "dq_describe": f"""WITH {_RAW.strip()},{_numbers(False)}

@@ -12,6 +12,8 @@ from tillwright.functions.numbers import half_even, percent
 from tillwright.operators.histograms import histogram
 from tillwright.operators.quantiles import exact_quantiles
 from tillwright.operators.rollups import union_all, value_counts
+from tillwright.operators.type_lattice import inferred
+from tillwright.sources.order_report import present
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -91,6 +93,15 @@ def types(src) -> DataFrame:
     return union_all(frames).orderBy("column")
 
 
+def inferred_types(src) -> DataFrame:
+    """What a reader without a schema would type the raw columns, were they a CSV; one pass per group of columns."""
+    parts = []
+    for part in src.raw_parts():
+        texts = [present(_quoted(c).cast("string")).alias(c) for c in _data_columns(part)]
+        parts.append(inferred(part.select(*texts)))
+    return union_all(parts).orderBy("column")
+
+
 def samples(ordered: DataFrame, order_column: str) -> DataFrame:
     """First present value per column in file order, as text, "N/A" if there is none.
 

@@ -27,6 +27,9 @@ RAW_TYPES: dict[str, str] = {
     "b2b": "boolean",
 }
 
+# A raw frame's column with the sortable place of each row in its source; no audit counts it as data.
+PLACE = "file_order"
+
 # Roles that are cleaned when present but that no report reads.
 CARRIED_ROLES = ("sales_channel", "currency", "fulfilled_by")
 

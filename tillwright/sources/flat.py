@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tillwright.operators.cleaning import MEASURES, clean, nan_to_null
 from tillwright.operators.filters import EVERY, PARTITION_MONTH, FilterSpec, row_class
-from tillwright.schema import RAW_TYPES, SalesSchema
+from tillwright.schema import PLACE, RAW_TYPES, SalesSchema
 from tillwright.session import settle
+from tillwright.sources.order_report import with_file_order
 
 
 @dataclass(frozen=True)
@@ -22,10 +23,22 @@ class FlatSales:
     raw_lines: DataFrame | None = None
     schema: SalesSchema | None = None
     filters: FilterSpec = FilterSpec()
+    order: str | None = None
 
     @classmethod
-    def from_raw(cls, raw: DataFrame, schema: SalesSchema) -> FlatSales:
-        return cls(clean(raw, schema), nan_to_null(raw), schema)
+    def from_raw(cls, raw: DataFrame, schema: SalesSchema, order: str | None = None) -> FlatSales:
+        """Clean some raw lines. ``order`` names the sortable column with their order, which is not data.
+
+        A column called ``PLACE`` is that column if none is named, see ``with_file_order``. Frames
+        straight from files need none. In others, what comes first is not known.
+        """
+        source = cls.audited(raw, schema, order)
+        return replace(source, clean_lines=clean(raw.drop(source.order) if source.order else raw, schema))
+
+    @classmethod
+    def audited(cls, raw: DataFrame, schema: SalesSchema, order: str | None = None) -> FlatSales:
+        """Raw lines for the column-wise audits alone, which need no role."""
+        return cls(raw, nan_to_null(raw), schema, order=order or (PLACE if PLACE in raw.columns else None))
 
     def where(self, spec: FilterSpec) -> FlatSales:
         return replace(self, filters=spec)
@@ -46,15 +59,21 @@ class FlatSales:
         """Untouched lines (all columns, or the physical columns of some roles); filters do not apply."""
         if self.raw_lines is None or self.schema is None:
             raise ValueError("this table was opened without its raw lines")
-        if not roles:
-            return self.raw_lines
-        by_trimmed = {c.strip(): c for c in self.raw_lines.columns}
-        return self.raw_lines.select(*[F.col(f"`{by_trimmed[self.schema.name(r)]}`") for r in roles])
+        return self.raw_lines.select(*[F.col(f"`{name}`") for name in self._raw_names(roles)])
+
+    def _raw_names(self, roles: Sequence[str]) -> list[str]:
+        names = [c for c in self.raw_lines.columns if c != self.order]
+        by_trimmed = {c.strip(): c for c in names}
+        return [by_trimmed[self.schema.name(r)] for r in roles] if roles else names
 
     def weighted_raw(self, *roles: str, placed: bool = False) -> DataFrame:
-        """``raw`` with the number of ``lines`` each row stands for; ``place`` is the order of reading."""
-        rows = self.raw(*roles).withColumn("lines", F.lit(1).cast("long"))
-        return rows.withColumn("place", F.monotonically_increasing_id()) if placed else rows
+        """``raw`` with the number of ``lines`` each row stands for; with ``placed``, ``place`` is their order."""
+        one = F.lit(1).cast("long").alias("lines")
+        if not placed:
+            return self.raw(*roles).select("*", one)
+        self.raw()
+        rows = self.raw_lines if self.order else with_file_order(self.raw_lines, "place")
+        return rows.select(*[F.col(f"`{name}`") for name in self._raw_names(roles)], one, F.col(f"`{self.order or 'place'}`").alias("place"))
 
     def raw_parts(self, placed: bool = False) -> list[DataFrame]:
         """The raw columns in groups to audit one by one, weighted."""

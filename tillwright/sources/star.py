@@ -12,7 +12,7 @@ from tillwright.fixed_values import SIZES
 from tillwright.functions import text
 from tillwright.operators.cleaning import MEASURES, add_derived, add_measures, clean_roles
 from tillwright.operators.filters import EVERY, FilterSpec, row_class
-from tillwright.schema import DERIVED_FROM, RAW_TYPES, STAR_SCHEMA
+from tillwright.schema import DERIVED_FROM, PLACE, RAW_TYPES, STAR_SCHEMA
 
 # Table columns each role is computed from.
 INPUTS: dict[str, tuple[str, ...]] = {
@@ -133,9 +133,14 @@ class StarSales:
         clean = add_derived(clean_roles(joined, tidy_places=True))
         return self.filters.apply(clean).select(*dict.fromkeys([*roles, *MEASURES]))
 
-    def raw(self, *roles: str) -> DataFrame:
-        """The raw line view, one row per line, with the columns of ``STAR_SCHEMA``; filters do not apply."""
+    def raw(self, *roles: str, placed: bool = False) -> DataFrame:
+        """The raw line view, one row per line, with the columns of ``STAR_SCHEMA``; filters do not apply.
+
+        With ``placed``, column ``PLACE`` orders the lines as in ``weighted_raw``.
+        """
         wanted = list(roles or RAW_TYPES)
+        if placed:
+            return self.weighted_raw(*wanted, placed=True).drop("lines").withColumnRenamed("place", PLACE)
         return self._raw_named(self._join(self._items(), wanted, ()), wanted)
 
     def weighted_raw(self, *roles: str, placed: bool = False) -> DataFrame:
