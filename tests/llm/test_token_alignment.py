@@ -93,9 +93,12 @@ TRICKY = ["x", " ", "  a", "a  b   c ", "\n\n x\t y", "a\n  b", "a▁ b", "▁",
           "\u0000 ﻿​ z", "x" * 500, "ab " * 200, "won't'd I'll", "\r\n\r\n a", "привет мир 12345", "a \n b \r\n  c", "<0x41> <0x0A>"]
 
 
+SIDES = token_alignment.ByteSide(PATH_A), token_alignment.PieceSide(MODEL)
+TOOL = token_alignment.Aligner(*SIDES)
+
+
 def one_by_one(texts):
-    tool = token_alignment.Aligner(token_alignment.ByteSide(PATH_A), token_alignment.PieceSide(MODEL))
-    for text, (sizes, links, groups) in zip(texts, tool.documents(texts), strict=True):
+    for text, (sizes, links, groups) in zip(texts, TOOL.documents(texts), strict=True):
         a, b = plain(text)
         found = Counter((x, y) for x, s, e in a for y, t, f in b if s < f and t < e)
         packed = np.frombuffer(links, "<u8").tolist()
@@ -136,13 +139,16 @@ def test_rare_links_are_joined_by_shuffle(make_docs, monkeypatch, sent):
 
 def test_slices_and_forgetting_change_nothing(make_docs, monkeypatch):
     rng = random.Random(5)
-    tool = token_alignment.Aligner(token_alignment.ByteSide(PATH_A), token_alignment.PieceSide(MODEL))
+    tool = token_alignment.Aligner(*SIDES)
     texts = ["".join(rng.choices("ab é\n", k=rng.randint(0, 40))) for _ in range(60)]
     whole = tool.documents(texts)
     monkeypatch.setattr(token_alignment, "REMEMBERED", 5)
     monkeypatch.setattr(token_alignment, "SLICE_CHARS", 60)
     again = [found for part in token_alignment._slices(texts) for found in tool.documents(part)]
-    assert again == whole
+    assert again == whole and len(tool.number) < 40
+    monkeypatch.setattr(token_alignment, "REMEMBERED", 40)
+    again = [found for part in token_alignment._slices(texts * 2) for found in tool.documents(part)]
+    assert again == whole * 2
     monkeypatch.setattr(token_alignment, "LINKS_AT_ONCE", 7)
     monkeypatch.setattr(token_alignment, "REMEMBERED_LINKS", 5)
     docs = list(enumerate(texts))

@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm.bpe_trie import Vocabulary, encode_texts
+from tillwright.llm.bpe_trie import LATIN, Vocabulary
 from tillwright.llm.common import drop_table, heavy_from, text_or_empty, written
 
 #: Characters aligned and links counted at a time; stretches and counts that a task remembers.
-SLICE_CHARS, LINKS_AT_ONCE, REMEMBERED, REMEMBERED_LINKS = 4_000_000, 1_000_000, 300_000, 2_000_000
+SLICE_CHARS, LINKS_AT_ONCE, REMEMBERED, REMEMBERED_LINKS = 2_000_000, 1_000_000, 400_000, 2_000_000
 #: Links whose counts are sent to every task; rarer ones, if there are more, are joined by a shuffle.
 SENT_LINKS = 1_000_000
 SPACE = "▁"
@@ -46,10 +47,17 @@ class ByteSide(Vocabulary):
         self.added = {}
         self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
         self.lengths[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
-        self.known: dict[str, bytes] = {}
 
-    def ids(self, stretches: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(p, "<u4").astype(np.int64) for p in encode_texts(self, [" " + s for s in stretches], self.known)]
+    def ids(self, kinds: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stretches in one row, and how many each has; of some kinds, as from ``sorted_out``."""
+        latin, plain, odd = kinds
+        words = []
+        for text in ("".join([" " + s for s in latin]), "".join([" " + s for s in plain]), *[" " + s for s in odd]):
+            words += self._plain_words(text) if text else []
+        found = self.encode_words(set(words))
+        ids = np.frombuffer(b"".join([found[w] for w in words]), "<u4").astype(np.int64)
+        ends = np.cumsum([len(s.encode()) + 1 for kind in kinds for s in kind])
+        return ids, np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends, "right"), prepend=0)
 
 
 class PieceSide:
@@ -63,8 +71,22 @@ class PieceSide:
         self.bytes_of = [bytes.fromhex(m[1]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
         self.lengths = np.array(list(map(len, self.bytes_of)), np.int64)
 
-    def ids(self, stretches: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.model.encode(stretches, num_threads=1)]
+    def ids(self, kinds: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.model.encode([s for kind in kinds for s in kind], num_threads=1)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())), counts
+
+
+def sorted_out(texts: Iterable[str]) -> list[list[str]]:
+    """Stretches of plain letters, of any others, and those that begin or end with white space.
+
+    With the space in front of each, the first two kinds may be run together: words end before a space
+    that follows no white space.
+    """
+    kinds: list[list[str]] = [[], [], []]
+    for text in texts:
+        kinds[2 if not text or text[0].isspace() or text[-1].isspace() else 0 if LATIN.fullmatch(text) else 1].append(text)
+    return kinds
 
 
 def stretches(text: str) -> list[str]:
@@ -86,13 +108,12 @@ class Aligned:
     groups: list[str]
 
 
-def align(a: list[np.ndarray], b: list[np.ndarray], a_lengths: np.ndarray, b_lengths: np.ndarray) -> Aligned:
+def align(ids_a: np.ndarray, n_a: np.ndarray, a_lengths: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray, b_lengths: np.ndarray) -> Aligned:
     """Coalesce the intervals of texts whose tokens, on either side, spell the same bytes.
 
-    A link is packed as the first side's id in the upper half and the second's in the lower half.
+    Each side has the ids of all texts in one row and their number per text. A link is packed as the first
+    side's id in the upper half and the second's in the lower half.
     """
-    n_a, n_b = (np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b))
-    ids_a, ids_b = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (a, b))
     ends_a, ends_b = np.cumsum(a_lengths[ids_a]), np.cumsum(b_lengths[ids_b])
     starts_a, starts_b = ends_a - a_lengths[ids_a], ends_b - b_lengths[ids_b]
     starts, ends = np.concatenate([starts_a, starts_b]), np.concatenate([ends_a, ends_b])
@@ -138,34 +159,58 @@ class Aligner:
     sizes: np.ndarray = field(default_factory=lambda: np.zeros((0, 3), np.int64))
     links: list[bytes] = field(default_factory=list)
     groups: list[str] = field(default_factory=list)
-
-    def _spells(self, stretch: str, ids_a: np.ndarray, ids_b: np.ndarray) -> bool:
-        text = (" " + stretch).encode()
-        spell_a, spell_b = self.a.bytes_of, self.b.bytes_of
-        return b"".join([spell_a[i] for i in ids_a.tolist()]) == text == b"".join([spell_b[i] for i in ids_b.tolist()])
-
-    def learn(self, new: list[str]) -> None:
-        ids_a, ids_b = self.a.ids(new), self.b.ids(new)
-        right = [self._spells(*x) for x in zip(new, ids_a, ids_b, strict=True)]
-        nothing = np.zeros(0, np.int64)
-        sides = [[x if ok else nothing for x, ok in zip(ids, right, strict=True)] for ids in (ids_a, ids_b)]
-        found = align(*sides, self.a.lengths, self.b.lengths)
+    #: Per number: the slices that held it.
+    met: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    @staticmethod
+    def _right(texts: list[bytes], ids: np.ndarray, counts: np.ndarray, side) -> np.ndarray:
+        """Which texts the tokens spell as they are."""
+        spelled = [side.bytes_of[i] for i in ids.tolist()]
+        ends = np.cumsum(counts)
+        sizes = np.r_[0, np.cumsum(side.lengths[ids])]
+        same = (sizes[ends] - sizes[ends - counts]) == np.fromiter(map(len, texts), np.int64, len(texts))
+        if same.all() and b"".join(spelled) == b"".join(texts):
+            return same
+        return np.array([b"".join(spelled[e - n : e]) == text for text, e, n in zip(texts, ends.tolist(), counts.tolist(), strict=True)])
+
+    def learn(self, new: Iterable[str]) -> None:
+        kinds = sorted_out(new)
+        ordered = [s for kind in kinds for s in kind]
+        texts = [(" " + s).encode() for s in ordered]
+        (ids_a, n_a), (ids_b, n_b) = self.a.ids(kinds), self.b.ids(kinds)
+        right = self._right(texts, ids_a, n_a, self.a) & self._right(texts, ids_b, n_b, self.b)
+        if not right.all():
+            ids_a, ids_b = ids_a[np.repeat(right, n_a)], ids_b[np.repeat(right, n_b)]
+            n_a, n_b = n_a * right, n_b * right
+        found = align(ids_a, n_a, self.a.lengths, ids_b, n_b, self.b.lengths)
         start = len(self.sizes)
-        self.number |= {stretch: start + i for i, stretch in enumerate(new)}
+        self.number |= {stretch: start + i for i, stretch in enumerate(ordered)}
         sizes = np.array([found.n_a, found.n_b, found.n_groups], np.int64).T
-        self.sizes = np.concatenate([self.sizes, np.where(np.array(right)[:, None], sizes, -1)])
+        self.sizes = np.concatenate([self.sizes, np.where(right[:, None], sizes, -1)])
         self.links += found.links
         self.groups += found.groups
+        self.met = np.concatenate([self.met, np.zeros(len(ordered), np.int64)])
+
+    def forget(self, room: int) -> None:
+        """Drop the stretches that one slice alone held, or all, so that ``room`` more can be remembered."""
+        kept = [(s, i) for s, i in self.number.items() if self.met[i] > 1]
+        kept = kept if len(kept) + room <= REMEMBERED else []
+        old = [i for _, i in kept]
+        self.number = {s: i for i, (s, _) in enumerate(kept)}
+        self.sizes, self.met = self.sizes[old], self.met[old]
+        self.links, self.groups = [self.links[i] for i in old], [self.groups[i] for i in old]
 
     def documents(self, texts: list[str]) -> list[tuple[tuple[int, int, int], bytes, str]]:
         """Per text the numbers of tokens and groups, the packed links and the groups; nothing for texts without tokens."""
         cut = [stretches(text) if text else [] for text in texts]
-        new = {s: None for part in cut for s in part if s not in self.number}
+        distinct = set(chain.from_iterable(cut))
+        new = distinct - self.number.keys()
         if len(self.number) + len(new) > REMEMBERED:
-            self.number, self.sizes, self.links, self.groups = {}, self.sizes[:0], [], []
-            new = dict.fromkeys(s for part in cut for s in part)
+            self.forget(len(distinct))
+            new = distinct - self.number.keys()
         if new:
-            self.learn(list(new))
+            self.learn(new)
+        self.met[[self.number[s] for s in distinct]] += 1
         found = []
         for part in cut:
             at = [self.number[s] for s in part]
