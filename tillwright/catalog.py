@@ -125,6 +125,14 @@ PAGES: dict[str, tuple[str, ...]] = {
 }
 
 
+# Reports that see the quartiles, and may be given a row of them.
+QUARTILE_REPORTS: dict[str, Plan] = {"dq_describe": quality.describe, "box_stats": quality.box_stats, "dq_iqr_outliers": quality.iqr_outliers}
+
+
 def page(name: str, src) -> dict[str, DataFrame]:
-    """All reports of a page over one source. Forecasts have settings of their own: see ``DemandModel``."""
-    return {query: REPORTS[query](src) for query in PAGES[name]}
+    """All reports of a page over one source; its quartiles are searched once, when the first report runs.
+
+    Forecasts have settings of their own: see ``DemandModel``.
+    """
+    found = quality.quartiles(src).persist() if set(PAGES[name]) & set(QUARTILE_REPORTS) else None
+    return {query: QUARTILE_REPORTS[query](src, found) if query in QUARTILE_REPORTS else REPORTS[query](src) for query in PAGES[name]}

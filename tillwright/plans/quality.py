@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwright.fixed_values import AMOUNT_BINS, QTY_BINS
-from tillwright.functions.numbers import half_even, percent
+from tillwright.functions.numbers import half_even, percent, ratio
 from tillwright.operators.histograms import histogram
-from tillwright.operators.quantiles import exact_quantiles
+from tillwright.operators.rank_search import quantile_row
 from tillwright.operators.rollups import union_all, value_counts
 from tillwright.operators.type_lattice import inferred
 from tillwright.sources.order_report import present
@@ -143,85 +143,92 @@ def cardinality(src, approx: bool = False) -> DataFrame:
 NUMBERS = ("qty", "amount")
 
 
-def _numbers(src, sold_only: bool = False) -> DataFrame:
-    """Quantity and amount under their role names."""
-    qty, amount = (_quoted(src.raw_name(role)) for role in ("qty", "amount"))
-    audited = F.when(qty > 0, qty) if sold_only else qty
-    return src.raw("qty", "amount").select(audited.alias("qty"), amount.alias("amount"))
+def _numbers(src) -> DataFrame:
+    """Quantity, quantity where something was sold, and amount."""
+    qty, amount = (_quoted(src.raw_name(role)) for role in NUMBERS)
+    return src.raw(*NUMBERS).select(qty.alias("qty"), F.when(qty > 0, qty).alias("sold"), amount.alias("amount"))
 
 
-def _per_number(src, numbers: DataFrame, rules: dict[str, dict[str, str]]) -> DataFrame:
-    """One pass over the numbers, with aggregates in SQL per role, then one row per role."""
-    one = numbers.selectExpr(*[f"CAST({role} AS DOUBLE) AS {role}" for role in NUMBERS]).selectExpr(
-        *[f"{rule} AS {role}_{name}" for role, named in rules.items() for name, rule in named.items()]
-    )
+def quartiles(src, *numbers: str) -> DataFrame:
+    """One row with the quartiles of quantity, sold quantity and amount, or some of these, all from one search.
+
+    Reports find theirs as part of their own plans; those of one page may share such a row, kept by
+    ``persist``, so that the search runs once.
+    """
+    return quantile_row(_numbers(src).select(*(numbers or ["*"])), QUARTILES)
+
+
+def _with_quartiles(src, numbers: tuple[str, str], rules: Callable[[Column, str], dict[str, Column]], found: DataFrame | None) -> DataFrame:
+    """Per number, aggregates that may use its value and its quartiles, then one row per number."""
+    row = quartiles(src, *numbers) if found is None else found
+    known = row.select(F.struct(*row.columns)).scalar()
+    seen = _numbers(src).select(*[F.col(c).cast("double").alias(c) for c in numbers], known.alias("quartiles"))
+    sums = [rule.alias(f"{name}_{c}") for c in numbers for name, rule in rules(F.col(c), c).items()]
     rows = [
-        F.struct(F.lit(src.raw_name(role)).alias("column"), *[F.col(f"{role}_{name}").alias(name) for name in named])
-        for role, named in rules.items()
+        F.struct(F.lit(src.raw_name(role)).alias("column"), *[F.col(f"{name}_{c}").alias(name) for name in rules(F.col(c), c)])
+        for role, c in zip(NUMBERS, numbers, strict=True)
     ]
-    return one.select(F.inline(F.array(*rows))).orderBy("column")
+    return seen.agg(*sums).select(F.inline(F.array(*rows))).orderBy("column")
+
+
+def _quartile(number: str, name: str) -> Column:
+    return F.col(f"quartiles.{number}.{name}")
 
 
-def _double(x: float | None) -> str:
-    return "CAST(NULL AS DOUBLE)" if x is None else f"{x!r}D"
+def _one_of(value: Column) -> Column:
+    """A value that is the same on all rows, as an aggregate."""
+    return F.round(F.first(value), 4)
 
 
-def describe(src) -> DataFrame:
+def describe(src, found: DataFrame | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of quantity and amount."""
-    numbers = _numbers(src)
-    quartiles = exact_quantiles(numbers, NUMBERS, QUARTILES)
-    rules = {
-        role: {
-            "cnt": f"count({role})",
-            "mean": f"round(avg({role}), 4)",
-            "std": f"round(stddev_samp({role}), 4)",
-            "min": f"min({role})",
-            **{name: f"round({_double(x)}, 4)" for name, x in quartiles[role].items()},
-            "max": f"max({role})",
+
+    def rules(x: Column, number: str) -> dict[str, Column]:
+        return {
+            "cnt": F.count(x),
+            "mean": F.round(F.avg(x), 4),
+            "std": F.round(F.stddev_samp(x), 4),
+            "min": F.min(x),
+            **{name: _one_of(_quartile(number, name)) for name in QUARTILES},
+            "max": F.max(x),
         }
-        for role in NUMBERS
-    }
-    return _per_number(src, numbers, rules)
+
+    return _with_quartiles(src, NUMBERS, rules, found)
 
 
-def _inside(role: str, q: dict[str, float | None]) -> str:
+def _inside(x: Column, number: str) -> Column:
     """Whether a value is within 1.5 IQR of the quartiles."""
-    if q["p25"] is None:
-        return "false"
-    reach = 1.5 * (q["p75"] - q["p25"])
-    return f"{role} BETWEEN {_double(q['p25'] - reach)} AND {_double(q['p75'] + reach)}"
+    low, high = _quartile(number, "p25"), _quartile(number, "p75")
+    return x.between(low - 1.5 * (high - low), high + 1.5 * (high - low))
 
 
-def box_stats(src) -> DataFrame:
+def box_stats(src, found: DataFrame | None = None) -> DataFrame:
     """Quartiles, whiskers (extreme values within the fences) and outliers; quantity only where positive."""
-    numbers = _numbers(src, sold_only=True)
-    quartiles = exact_quantiles(numbers, NUMBERS, QUARTILES)
-    rules = {}
-    for role, q in quartiles.items():
-        inside = _inside(role, q)
-        rules[role] = {
-            **{name: f"round({_double(q[p])}, 4)" for name, p in (("q1", "p25"), ("median", "p50"), ("q3", "p75"))},
-            "whisker_lo": f"min({role}) FILTER (WHERE {inside})",
-            "whisker_hi": f"max({role}) FILTER (WHERE {inside})",
-            "outliers": f"count({role}) FILTER (WHERE NOT ({inside}))",
+
+    def rules(x: Column, number: str) -> dict[str, Column]:
+        inside = _inside(x, number)
+        return {
+            **{name: _one_of(_quartile(number, p)) for name, p in (("q1", "p25"), ("median", "p50"), ("q3", "p75"))},
+            "whisker_lo": F.min(F.when(inside, x)),
+            "whisker_hi": F.max(F.when(inside, x)),
+            "outliers": F.count_if(~inside),
         }
-    return _per_number(src, numbers, rules)
 
+    return _with_quartiles(src, ("sold", "amount"), rules, found)
 
-def iqr_outliers(src) -> DataFrame:
+
+def iqr_outliers(src, found: DataFrame | None = None) -> DataFrame:
     """Rows strictly outside the 1.5 IQR fences, as a share of present values."""
-    numbers = _numbers(src)
-    quartiles = exact_quantiles(numbers, NUMBERS, QUARTILES)
-    rules = {}
-    for role, q in quartiles.items():
-        outside = f"count({role}) FILTER (WHERE NOT ({_inside(role, q)}))"
-        iqr = None if q["p25"] is None else q["p75"] - q["p25"]
-        rules[role] = {
-            "iqr": f"round({_double(iqr)}, 4)",
+
+    def rules(x: Column, number: str) -> dict[str, Column]:
+        outside = F.count_if(~_inside(x, number))
+        return {
+            "iqr": _one_of(_quartile(number, "p75") - _quartile(number, "p25")),
             "n_outliers": outside,
-            "outlier_pct": f"round({outside} * 100D / nullif(count({role}), 0), 4)",
+            "outlier_pct": F.round(ratio(outside.cast("double") * 100, F.count(x)), 4),
         }
-    return _per_number(src, numbers, rules)
+
+    return _with_quartiles(src, NUMBERS, rules, found)
 
 
 def amount_histogram(src, bins: int = AMOUNT_BINS) -> DataFrame:
