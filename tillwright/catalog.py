@@ -19,6 +19,7 @@ B2C_RANGE = FilterSpec(dt.date(1995, 3, 1), dt.date(1998, 8, 31), order_type="B2
 POOLED = demand.DemandConfig(series=None, depth=8)
 OVERALL = demand.DemandConfig(depth=8)
 CATEGORY = demand.DemandConfig(series="ECONOMY", depth=8)
+EACH = demand.DemandConfig(trees=50, depth=8)
 BOOSTED = demand.DemandConfig(model="gradient_boosting")
 NAIVE = demand.DemandConfig(model="naive", series=None)
 HORIZON = 14
@@ -77,6 +78,8 @@ REPORTS: dict[str, Plan] = {
     "fc_split": lambda src: demand.split_summary(demand.daily(src)),
     "fc_metrics_naive": lambda src: demand.naive_scores(demand.daily(src)),
     "fc_forecast_naive": lambda src: demand.DemandModel.fit(src, NAIVE)._forecast(HORIZON),
+    "fc_forecast_naive_7": lambda src: demand.DemandModel.fit(src, NAIVE)._forecast(7),
+    "fc_forecast_naive_30": lambda src: demand.DemandModel.fit(src, NAIVE)._forecast(30),
     "fc_combined_naive": lambda src: demand.DemandModel.fit(src, NAIVE).combined(HORIZON),
     "ins_category_stats": insights.category_stats_table,
     "ins_category_extremes": insights.category_extremes,
@@ -100,6 +103,9 @@ MODELS: dict[str, Plan] = {
     "fc_forecast_boosted": lambda src: demand.DemandModel.fit(src, BOOSTED).forecast(HORIZON),
     "fc_forecast": lambda src: demand.DemandModel.fit(src, POOLED).forecast(HORIZON),
     "fc_combined": lambda src: demand.DemandModel.fit(src, OVERALL).combined(HORIZON),
+    "fc_metrics_each": lambda src: demand.SeriesModels.fit(src, OVERALL).metrics(),
+    "fc_forecast_each": lambda src: demand.SeriesModels.fit(src, EACH).forecast(7),
+    "fc_importance_each": lambda src: demand.SeriesModels.fit(src, EACH).importance(),
     "fc_importance": lambda src: demand.DemandModel.fit(src, OVERALL).importance(),
 }
 

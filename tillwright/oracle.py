@@ -462,6 +462,8 @@ FROM (SELECT *, CASE WHEN figure > bound THEN 0 WHEN figure > bound / 2 THEN 1 E
     || trend_text || ' from one half of the days to the other' FROM facts
   UNION ALL SELECT 5, 'reliance on consumers', 100.0 - b2b, 95.0, 'business buyers account for ' || b2b_text || ' of revenue' FROM facts))""", *_FACTS),
     "fc_forecast_naive": _sales(_NAIVE_FORECAST, _DAYS, _SPLIT),
+    "fc_forecast_naive_7": _sales(_NAIVE_FORECAST.replace("range(1, 15)", "range(1, 8)"), _DAYS, _SPLIT),
+    "fc_forecast_naive_30": _sales(_NAIVE_FORECAST.replace("range(1, 15)", "range(1, 31)"), _DAYS, _SPLIT),
     "fc_combined_naive": _sales(f"""
 SELECT series, date, 'history' AS kind, CAST(qty AS DOUBLE) AS qty FROM complete WHERE n_days >= 16
 UNION ALL SELECT series, date, 'forecast', forecast_qty FROM ({_NAIVE_FORECAST})""", _DAYS, _SPLIT),

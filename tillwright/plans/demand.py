@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from tillwright.fixed_values import LAGS, MIN_MODEL_DAYS, TOP_FEATURES, TRAIN_SHARE, WINDOWS
 from tillwright.functions.numbers import half_even, ratio
 from tillwright.operators.filters import ALL, SOLD
-from tillwright.operators.rollups import table, total
+from tillwright.operators.rollups import table, total, union_all
 from tillwright.session import settle
 
 CALENDAR = ("day_of_week", "day_of_month", "week_of_year", "month", "is_weekend")
@@ -314,6 +317,60 @@ class DemandModel:
         return past.unionByName(future)
 
 
+@dataclass(frozen=True)
+class SeriesModels:
+    """A model of its own for every series, all fitted side by side.
+
+    The lines are read once and the daily rows of all series written out. Each series is a fit of its
+    own over its few rows, and ``parallelism`` fits run as Spark jobs at a time, so that one fit's small
+    stages fill the cores that another leaves idle. A series' model is the one that ``DemandModel.fit``
+    makes for it alone.
+    """
+
+    models: dict[str, DemandModel]
+    status: DataFrame
+    rows: DataFrame
+
+    @classmethod
+    def fit(cls, src, config: DemandConfig = DemandConfig(), fill_gaps: bool = False, parallelism: int = 4) -> SeriesModels:
+        days = settle(daily(src, fill_gaps))
+        rows = settle(model_rows(days))
+        status = split_summary(days).select("series", "status")
+        names = sorted(r["series"] for r in rows.select("series").distinct().collect())
+
+        def of_series(name: str) -> DemandModel:
+            own, mine = replace(config, series=name), rows.where(F.col("series") == name)
+            train = mine if own.refit else mine.where("is_train")
+            return DemandModel(own, DemandModel._fit_on(train, own), mine, status.where(F.col("series") == name))
+
+        with ThreadPool(max(1, min(parallelism, len(names)))) as pool:
+            fitted = pool.map(inheritable_thread_target(rows.sparkSession)(of_series), names, chunksize=1)
+        return cls(dict(zip(names, fitted, strict=True)), status, rows)
+
+    def _union(self, of: Callable[[DemandModel], DataFrame]) -> DataFrame:
+        """The models' results together; without models, those of one that was not fitted."""
+        models = list(self.models.values()) or [DemandModel(DemandConfig(), None, self.rows, self.status)]
+        return union_all([of(model) for model in models])
+
+    def _every_series(self, results: DataFrame) -> DataFrame:
+        return self.status.join(results, "series", "left").select(*results.columns, "status")
+
+    def backtest(self) -> DataFrame:
+        """As of one model, for all series."""
+        tested = self._union(DemandModel._tested)
+        return self._every_series(tested.select("series", "date", "actual", half_even(F.col("prediction"), 1).alias("predicted")))
+
+    def metrics(self) -> DataFrame:
+        return self._every_series(scores(self._union(DemandModel._tested)))
+
+    def forecast(self, horizon: int = 7) -> DataFrame:
+        return self._every_series(self._union(lambda model: model._forecast(horizon))).orderBy("series", "date")
+
+    def importance(self, top: int = TOP_FEATURES) -> DataFrame:
+        """Most important features of each series' model."""
+        return self._union(lambda model: model.importance(top)).orderBy("series", F.desc("importance"), "feature")
+
+
 # Forecast steps whose projections are planned together before the state is written out.
 STEPS_PER_CUT = 5
 
