@@ -43,6 +43,10 @@ QTY_BINS = 20
 # Limits of our own for the findings.
 MAX_TOP_STATES_PCT = 50
 MAX_DECLINE_PCT = 10
+MAX_SKU_SHARE_PCT = 1
+MAX_SKU_SHORTFALL_PCT = 75
+MAX_POOR_STATES_PCT = 25
+MAX_WEEKDAY_LEAD_PCT = 20
 
 # Demand model features and split.
 LAGS = (1, 3, 7, 14)

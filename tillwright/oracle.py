@@ -460,7 +460,22 @@ FROM (SELECT *, CASE WHEN figure > bound THEN 0 WHEN figure > bound / 2 THEN 1 E
   UNION ALL SELECT 3, 'reliance on states', top3, 50.0, share_text || ' of revenue depends on three states' FROM facts
   UNION ALL SELECT 4, 'revenue decline', -trend_pct, 10.0, 'daily revenue changed by ' || CASE WHEN trend_pct >= 0 THEN '+' ELSE '' END
     || trend_text || ' from one half of the days to the other' FROM facts
-  UNION ALL SELECT 5, 'reliance on consumers', 100.0 - b2b, 95.0, 'business buyers account for ' || b2b_text || ' of revenue' FROM facts))""", *_FACTS),
+  UNION ALL SELECT 5, 'stock of the best SKU', share, 1.0, best_sku || ' alone earns ' || format('{:,.2f}%', round_even(share, 2))
+    || ' of revenue; running out would cost that much' FROM facts, (SELECT * FROM spreads WHERE kind = 'sku')
+  UNION ALL SELECT 6, 'SKU to clear', shortfall, 75.0, worst_sku || ' earns ' || format('{:,.1f}%', round_even(shortfall, 1))
+    || ' less than the average SKU' FROM facts, (SELECT * FROM spreads WHERE kind = 'sku')
+  UNION ALL SELECT 7, 'poorly served states', 100.0 * poor / n, 25.0, poor || ' of ' || n || ' states earn under half of the average, '
+    || worst_state || ' the least' FROM facts, (SELECT * FROM spreads WHERE kind = 'state')
+  UNION ALL SELECT 8, 'reliance on a weekday', lead_pct, 20.0, best_day || ' earns ' || format('{:,.1f}%', round_even(lead_pct, 1))
+    || ' more than the average weekday' FROM facts, (SELECT * FROM spreads WHERE kind = 'weekday')
+  UNION ALL SELECT 9, 'reliance on consumers', 100.0 - b2b, 95.0, 'business buyers account for ' || b2b_text || ' of revenue' FROM facts))""", *_FACTS, """
+revenues AS (
+  SELECT 'sku' AS kind, rev::DOUBLE AS rev FROM skus UNION ALL SELECT 'state', rev::DOUBLE FROM states UNION ALL SELECT 'weekday', rev::DOUBLE FROM weekdays),
+averages AS (SELECT kind, sum(rev) AS total, count(*) AS n FROM revenues GROUP BY kind),
+spreads AS (
+  SELECT kind, any_value(n) AS n, count(*) FILTER (WHERE rev < total / n / 2) AS poor, round(max(rev) / any_value(total) * 100, 4) AS share,
+    round(max(rev) * any_value(n) / any_value(total) * 100 - 100, 4) AS lead_pct, round(100 - min(rev) * any_value(n) / any_value(total) * 100, 4) AS shortfall
+  FROM revenues JOIN averages USING (kind) GROUP BY kind)"""),
     "fc_forecast_naive": _sales(_NAIVE_FORECAST, _DAYS, _SPLIT),
     "fc_forecast_naive_7": _sales(_NAIVE_FORECAST.replace("range(1, 15)", "range(1, 8)"), _DAYS, _SPLIT),
     "fc_forecast_naive_30": _sales(_NAIVE_FORECAST.replace("range(1, 15)", "range(1, 31)"), _DAYS, _SPLIT),
