@@ -80,3 +80,39 @@ def test_orders_are_summed_where_the_join_left_them(spark, shuffle_joins):
 def test_top_k_does_not_sort_everything(spark):
     plan = plan_of(trends.top_skus(StarSales(spark, SF_DIR)))
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def _scans(node, seen):
+    """Scans that a plan really ran: what is reused, exchange or subquery, counts once."""
+    name, found = node.nodeName(), []
+    if name.startswith("AdaptiveSparkPlan"):
+        return _scans(node.executedPlan(), seen)
+    if name.startswith("Reused"):
+        return found
+    if "QueryStage" in name:
+        return _scans(node.plan(), seen)
+    if name.startswith(("Scan parquet", "FileScan")):
+        found.append(re.search(r"/(\w+)\.parquet", node.simpleString(10_000))[1])
+    subqueries, children = node.subqueries(), node.children()
+    for subquery in (subqueries.apply(i) for i in range(subqueries.size())):
+        if not subquery.nodeName().startswith("Reused") and subquery.name() not in seen:
+            seen.add(subquery.name())
+            found += _scans(subquery.child(), seen)
+    for child in (children.apply(i) for i in range(children.size())):
+        found += _scans(child, seen)
+    return found
+
+
+@pytest.mark.parametrize("name", ["ins_cards", "ins_recommendations"])
+def test_insights_read_the_lines_once_per_join_path(spark, shuffle_joins, name):
+    """Categories with their orders, SKUs, and everything about states, days and rates; no job while building."""
+    src = StarSales(spark, SF_DIR)
+    src.raw().columns  # reads the tables' schemas  # noqa: B018
+    spark.sparkContext.setJobGroup(f"building {name}", "insights while they are built")
+    df = REPORTS[name](src)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"building {name}")
+    spark.sparkContext.setJobGroup("running", "insights")
+    assert not jobs
+    df.collect()
+    read = _scans(df._jdf.queryExecution().executedPlan(), set())
+    assert read.count("lineitem") <= 3 and read.count("customer") <= 1

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwright.operators.cleaning import MEASURES, clean, nan_to_null
 from tillwright.operators.filters import EVERY, PARTITION_MONTH, FilterSpec, row_class
 from tillwright.schema import PLACE, RAW_TYPES, SalesSchema
-from tillwright.session import settle
 from tillwright.sources.order_report import with_file_order
 
 
@@ -94,17 +94,20 @@ def summarised(lines: DataFrame, measures: Sequence[str], *role_sets: tuple[str,
 
     Reports only add measures up, so they answer from the few summed rows as they would from the
     lines. The frame must carry ``kind``, which keeps the row classes apart. Lines are summed by all
-    roles at once first, so that only those sums are repeated per set. The result is written out, as
-    several reports will read it.
+    roles at once first, so that only those sums are repeated per set. Frames that read several of the
+    sources as parts of one plan share that first sum's exchange: every source asks for all measures,
+    so that it is the same for all.
     """
     keys = list(dict.fromkeys(["kind", *[role for roles in role_sets for role in roles]]))
     sums = [F.sum(m).alias(m) for m in measures]
     per_set = lines.groupBy(*keys).agg(*sums).groupingSets([["kind", *roles] for roles in role_sets], *keys)
-    written = settle(per_set.agg(F.grouping_id().alias("left_out"), *sums))
+    summed = per_set.agg(F.grouping_id().alias("left_out"), *sums)
+    # True of every group. No optimizer knows, and so none leaves out the measures a source doesn't use.
+    holds_lines = reduce(Column.__or__, [F.col(m).isNotNull() for m in measures])
 
     def only(roles: tuple[str, ...]) -> DataFrame:
         left_out = sum(2 ** (len(keys) - 1 - i) for i, key in enumerate(keys) if key not in ("kind", *roles))
-        return written.where(F.col("left_out") == left_out).select("kind", *roles, *measures)
+        return summed.where((F.col("left_out") == left_out) & holds_lines).select("kind", *roles, *measures)
 
     return [FlatSales(only(roles)) for roles in role_sets]
 
