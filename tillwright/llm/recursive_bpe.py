@@ -32,7 +32,7 @@ from tillwright.llm.common import text_or_empty
 #: Characters of text and bytes of words handled by one query, and tokens decoded by one; a longer text or word is alone.
 SLICE_CHARS, QUERY_BYTES, QUERY_TOKENS = 4_000_000, 300_000, 500_000
 #: Words that a worker remembers.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 800_000
 #: Bytes from which on a word counts as long.
 LONG_WORD = 48
 
