@@ -68,6 +68,8 @@ REPORTS: dict[str, Plan] = {
     "dq_describe": quality.describe,
     "hist_amount": quality.amount_histogram,
     "hist_qty": quality.qty_histogram,
+    "hist_amount_round": quality.amount_histogram_round,
+    "hist_qty_round": quality.qty_histogram_round,
     "box_stats": quality.box_stats,
     "dq_iqr_outliers": quality.iqr_outliers,
     "dq_raw_states": quality.raw_states,

@@ -113,6 +113,25 @@ SELECT CAST(b.bin AS BIGINT) AS bin, round(lo + b.bin::DOUBLE * w, 6) AS lo, rou
 FROM range({bins}) AS b(bin) CROSS JOIN bounds LEFT JOIN counted c ON c.bin = b.bin"""
 
 
+def _round_histogram(column: str, most: int, where: str) -> str:
+    """Steps of 1, 2 and 5 times powers of ten, all tried, the smallest that leaves few enough bins."""
+    return f"""
+WITH {_RAW.strip()},
+xs AS (SELECT CAST({column} AS DOUBLE) AS x FROM raw WHERE {column} IS NOT NULL AND {where}),
+ends AS (SELECT min(x) AS lo, max(x) AS hi FROM xs),
+steps AS (
+  SELECT CASE WHEN e < 0 THEN m::DOUBLE / power(10.0::DOUBLE, -e) ELSE m::DOUBLE * power(10.0::DOUBLE, e) END AS s
+  FROM (VALUES (1), (2), (5)) AS ms(m) CROSS JOIN range(-8, 12) AS es(e)),
+chosen AS (
+  SELECT lo, hi, CASE WHEN hi > lo THEN min(s) ELSE 1.0::DOUBLE END AS step FROM ends, steps
+  WHERE hi = lo OR floor(hi / s) - floor(lo / s) + 1 <= {most} GROUP BY lo, hi),
+counted AS (SELECT floor(x / step) AS place, count(*) AS cnt FROM xs, chosen GROUP BY 1)
+SELECT CAST(b.bin AS BIGINT) AS bin, round((floor(lo / step) + b.bin) * step, 6) AS lo, round((floor(lo / step) + b.bin + 1) * step, 6) AS hi,
+  coalesce(cnt, 0) AS cnt
+FROM range({most}) AS b(bin) CROSS JOIN chosen LEFT JOIN counted c ON c.place = floor(lo / step) + b.bin
+WHERE floor(lo / step) + b.bin <= floor(hi / step)"""
+
+
 _EARNING = """
 earning AS (SELECT * FROM sales WHERE revenue > 0)"""
 
@@ -385,6 +404,8 @@ SELECT n."column", count(x) AS cnt, round(avg(x), 4) AS mean, round(stddev_samp(
 FROM numbers n JOIN quartiles q ON n."column" = q."column" WHERE x IS NOT NULL GROUP BY n."column" """,
     "hist_amount": _histogram("amount", 80, "TRUE"),
     "hist_qty": _histogram("qty", 20, "qty > 0"),
+    "hist_amount_round": _round_histogram("amount", 80, "TRUE"),
+    "hist_qty_round": _round_histogram("qty", 20, "qty > 0"),
     "box_stats": f"""WITH {_RAW.strip()},{_numbers(True)}
 SELECT "column", round(any_value(q1), 4) AS q1, round(any_value(q2), 4) AS median, round(any_value(q3), 4) AS q3,
   min(x) FILTER (WHERE inside) AS whisker_lo, max(x) FILTER (WHERE inside) AS whisker_hi,

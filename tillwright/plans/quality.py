@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwright.fixed_values import AMOUNT_BINS, QTY_BINS
 from tillwright.functions.numbers import half_even, percent, ratio
-from tillwright.operators.histograms import histogram
+from tillwright.operators.histograms import histogram, round_histogram
 from tillwright.operators.rank_search import quantile_row
 from tillwright.operators.rollups import union_all, value_counts
 from tillwright.operators.type_lattice import inferred
@@ -240,6 +240,16 @@ def qty_histogram(src, bins: int = QTY_BINS) -> DataFrame:
     return _rounded_edges(histogram(src.raw("qty").where(_quoted(qty) > 0), qty, bins))
 
 
+def amount_histogram_round(src, most: int = AMOUNT_BINS) -> DataFrame:
+    """At most so many bins, with round edges."""
+    return _rounded_edges(round_histogram(src.raw("amount"), src.raw_name("amount"), most))
+
+
+def qty_histogram_round(src, most: int = QTY_BINS) -> DataFrame:
+    qty = src.raw_name("qty")
+    return _rounded_edges(round_histogram(src.raw("qty").where(_quoted(qty) > 0), qty, most))
+
+
 def _rounded_edges(bins: DataFrame) -> DataFrame:
     return bins.select("bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "cnt")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tillwright.operators.cleaning import MEASURES, clean, nan_to_null
 from tillwright.operators.filters import EVERY, PARTITION_MONTH, FilterSpec, row_class
 from tillwright.schema import PLACE, RAW_TYPES, SalesSchema
-from tillwright.sources.order_report import with_file_order
+from tillwright.sources.order_report import straight_from_files, with_file_order
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,8 @@ class FlatSales:
         """Clean some raw lines. ``order`` names the sortable column with their order, which is not data.
 
         A column called ``PLACE`` is that column if none is named, see ``with_file_order``. Frames
-        straight from files need none. In others, what comes first is not known.
+        straight from files need none. In others, what comes first is not known, and the value that
+        sorts first stands for it.
         """
         source = cls.audited(raw, schema, order)
         return replace(source, clean_lines=clean(raw.drop(source.order) if source.order else raw, schema))
@@ -57,23 +58,30 @@ class FlatSales:
 
     def raw(self, *roles: str) -> DataFrame:
         """Untouched lines (all columns, or the physical columns of some roles); filters do not apply."""
-        if self.raw_lines is None or self.schema is None:
-            raise ValueError("this table was opened without its raw lines")
         return self.raw_lines.select(*[F.col(f"`{name}`") for name in self._raw_names(roles)])
 
     def _raw_names(self, roles: Sequence[str]) -> list[str]:
+        if self.raw_lines is None or self.schema is None:
+            raise ValueError("this table was opened without its raw lines")
         names = [c for c in self.raw_lines.columns if c != self.order]
         by_trimmed = {c.strip(): c for c in names}
         return [by_trimmed[self.schema.name(r)] for r in roles] if roles else names
 
     def weighted_raw(self, *roles: str, placed: bool = False) -> DataFrame:
-        """``raw`` with the number of ``lines`` each row stands for; with ``placed``, ``place`` is their order."""
+        """``raw`` with the number of ``lines`` each row stands for.
+
+        With ``placed``, ``place`` orders them: by the order column, else as the files hold them. Rows
+        whose order isn't known share one place.
+        """
         one = F.lit(1).cast("long").alias("lines")
         if not placed:
             return self.raw(*roles).select("*", one)
-        self.raw()
-        rows = self.raw_lines if self.order else with_file_order(self.raw_lines, "place")
-        return rows.select(*[F.col(f"`{name}`") for name in self._raw_names(roles)], one, F.col(f"`{self.order or 'place'}`").alias("place"))
+        names = [F.col(f"`{name}`") for name in self._raw_names(roles)]
+        if self.order:
+            return self.raw_lines.select(*names, one, F.col(f"`{self.order}`").alias("place"))
+        if straight_from_files(self.raw_lines):
+            return with_file_order(self.raw_lines, "place").select(*names, one, "place")
+        return self.raw_lines.select(*names, one, F.lit(0).alias("place"))
 
     def raw_parts(self, placed: bool = False) -> list[DataFrame]:
         """The raw columns in groups to audit one by one, weighted."""

@@ -59,7 +59,7 @@ def read_sales_csv(
     return text.select(*[field(name) for name in text.columns])
 
 
-def _straight_from_files(frame: DataFrame) -> bool:
+def straight_from_files(frame: DataFrame) -> bool:
     """Whether nothing but column and row choices lies between a frame and its files."""
     node = frame._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
@@ -74,7 +74,7 @@ def with_file_order(file_frame: DataFrame, name: str = PLACE) -> DataFrame:
     shuffles carry it, and it orders the rows as the files hold them, files by path. Of a frame that
     was joined, shuffled or cached before, the order in its files is lost.
     """
-    if not _straight_from_files(file_frame):
+    if not straight_from_files(file_frame):
         raise ValueError("the order of these rows is not known: take it with with_file_order when they are read, or name a column that has it")
     place = F.struct(
         F.col("_metadata.file_path").alias("path"),
