@@ -7,6 +7,9 @@ from conftest import SF_DIR
 from check import TABLES, oracle_connection, rows_of
 from tillwright.catalog import REPORTS
 from tillwright.oracle import ORACLE
+from tillwright.plans import quality
+from tillwright.schema import SalesSchema
+from tillwright.sources import FlatSales
 from tillwright.sources.star import StarSales
 
 SPOILED = {
@@ -52,3 +55,34 @@ def test_nothing_is_lost(spark, shuffle_joins, con, spoiled, name):
 @pytest.mark.parametrize("name", ["clean_sales", "kpi_overview", "state_summary", "city_top25", "dq_missing", "ins_cards"])
 def test_nothing_is_lost_with_broadcasts(spark, con, spoiled, name):
     agree(spark, con, spoiled, name)
+
+
+DOUBLED = {
+    "lineitem": "SELECT * FROM {0} UNION ALL SELECT * FROM {0} WHERE l_orderkey % 11 = 0",
+    "orders": """SELECT * FROM {0} UNION ALL SELECT * FROM {0} WHERE o_orderkey % 7 = 0
+        UNION ALL SELECT * REPLACE (o_orderpriority || '!' AS o_orderpriority) FROM {0} WHERE o_orderkey % 5 = 0""",
+    "customer": "SELECT * FROM {0} UNION ALL SELECT * REPLACE ('MACHINERY' AS c_mktsegment) FROM {0} WHERE c_custkey % 3 = 0",
+    "part": "SELECT * FROM {0} UNION ALL SELECT * REPLACE (NULL AS p_brand, NULL AS p_type, NULL AS p_size) FROM {0} WHERE p_partkey % 4 = 0",
+    "supplier": "SELECT * FROM {0} UNION ALL SELECT * FROM {0} WHERE s_suppkey % 2 = 0 UNION ALL SELECT * REPLACE (NULL AS s_name) FROM {0} WHERE s_suppkey % 3 = 0",
+    "nation": "SELECT * FROM {0} UNION ALL SELECT * FROM {0} WHERE n_nationkey = 3",
+}
+
+
+def test_repeated_rows_are_counted_whatever_keys_repeat(spark, shuffle_joins, tmp_path):
+    for name in TABLES:
+        source = f"read_parquet('{SF_DIR}/{name}.parquet')"
+        duckdb.connect().execute(f"COPY ({DOUBLED.get(name, 'SELECT * FROM {0}').format(source)}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    agree(spark, oracle_connection(str(tmp_path)), str(tmp_path), "dq_shape")
+
+
+def test_shape_shuffles_digests(spark, shuffle_joins):
+    plan = REPORTS["dq_shape"](StarSales(spark, SF_DIR))._jdf.queryExecution().executedPlan().toString()
+    keys = [part.split(")")[0] for part in plan.split("hashpartitioning(")[1:]]
+    assert any(k.startswith("d1#") for k in keys) and all(k.count("#") <= 2 for k in keys)
+
+
+def test_digests_tell_nulls_from_their_places(spark):
+    schema = SalesSchema({"order_id": "a"})
+    frame = spark.createDataFrame([("x", None, 0.0), (None, "x", 0.0), ("x", None, -0.0), (None, None, None), (None, None, None)], "a string, b string, c double")
+    (row,) = quality.shape(FlatSales.audited(frame, schema)).collect()
+    assert row.asDict() == {"n_rows": 5, "n_cols": 3, "dup_rows": 2, "dup_order_ids": 3}

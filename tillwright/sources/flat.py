@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillwright.operators.cleaning import MEASURES, clean, nan_to_null
 from tillwright.operators.filters import EVERY, PARTITION_MONTH, FilterSpec, row_class
@@ -87,9 +88,17 @@ class FlatSales:
         """The raw columns in groups to audit one by one, weighted."""
         return [self.weighted_raw(placed=placed)]
 
-    def row_identity(self) -> DataFrame:
-        """The raw columns that tell two different rows apart."""
-        return self.raw()
+    def row_digests(self) -> DataFrame:
+        """128 bits of each raw line's columns, as d1 and d2; nulls are told from their places."""
+        raw = self.raw()
+        floats = {f.name for f in raw.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+        values = [F.col(f"`{c}`") + 0.0 if c in floats else F.col(f"`{c}`") for c in raw.columns]  # zeros of either sign are equal
+        parts = [part for value in values for part in (value.isNull(), value)]
+        return raw.select(*[F.xxhash64(F.lit(n), *parts).alias(f"d{n}") for n in (1, 2)])
+
+    def order_ids(self) -> DataFrame:
+        """The order ids of all raw lines."""
+        return self.raw("order_id")
 
     def raw_name(self, role: str) -> str:
         if self.schema is None:

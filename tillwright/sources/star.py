@@ -91,6 +91,20 @@ ROLES: dict[str, str] = {
 }
 
 
+_HOME = {column: d.table for d in DIMENSIONS for column in d.gives}
+
+
+def _digest(rules: Sequence[str], name: str) -> list[str]:
+    """Two 64-bit digests of some columns, which tell nulls from their places."""
+    parts = "".join(f", isnull({rule}), {rule}" for rule in rules)
+    return [f"xxhash64({n}{parts}) AS {name}_{n}" for n in (1, 2)]
+
+
+def _nothing(rules: Sequence[str], name: str) -> list[tuple[str, str]]:
+    """The names of the two digests, and what they are of nulls alone, which a hash passes over."""
+    return [(f"{name}_{n}", f"xxhash64({n}{', true' * len(rules)})") for n in (1, 2)]
+
+
 def _named(names: Iterable[str], rules: Mapping[str, str]) -> list[str]:
     return [f"{rules[n]} AS {n}" if n in rules else n for n in names]
 
@@ -167,14 +181,42 @@ class StarSales:
             groups.setdefault(last.get(INPUTS[role][-1], "lineitem"), []).append(role)
         return [self.weighted_raw(*group, placed=placed) for group in groups.values()]
 
-    def row_identity(self) -> DataFrame:
-        """The raw columns that tell two different rows apart.
+    def row_digests(self) -> DataFrame:
+        """128 bits of each raw line's columns, as d1 and d2, over all joins: no key is taken to be unique.
 
-        Lines with the same order id and SKU have the same order and part, so whatever comes from
-        those tables alone need not be joined or compared.
+        What a table alone gives is digested there, so that joins and shuffles carry keys and digests and
+        none of the texts. A line without a match has nulls, and so has a match of nulls alone: their
+        digests are alike.
         """
-        follows = {c for d in DIMENSIONS if d.table != "supplier" for c in d.gives}
-        return self.raw(*[role for role in RAW_TYPES if not set(INPUTS[role]) <= follows])
+        of_table: dict[str, list[str]] = {}
+        for role in RAW_TYPES:
+            homes = {_HOME.get(column, "lineitem") for column in INPUTS[role]}
+            of_table.setdefault(homes.pop() if len(homes) == 1 else "", []).append(ROLES.get(role, INPUTS[role][0]))
+        # A line without a city has a supplier all the same, who may repeat.
+        key_of = {d.table: "l_suppkey" if d.key == "l_citykey" else d.key for d in DIMENSIONS}
+        mixed = of_table.pop("")
+        kept = dict.fromkeys([*(k for k in key_of.values() if k.startswith("l_")), "l_returnflag", "l_linenumber"])
+        df = self._items().selectExpr(*kept, *_digest(of_table["lineitem"], "lineitem"))
+        digests = ["lineitem"]
+        for dimension in DIMENSIONS:
+            own = of_table.get(dimension.table, [])
+            onward = [c for c in dimension.gives if c in {d.key for d in DIMENSIONS} or c == "o_status"]
+            side = self._table(dimension.table).selectExpr(dimension.own_key, *_named(dimension.gives, COLUMNS))
+            side = side.selectExpr(dimension.own_key, *onward, *_digest(own, dimension.table))
+            joined = df.join(side, F.col(key_of[dimension.table]) == F.col(dimension.own_key), "left")
+            kept.pop(key_of[dimension.table], None)
+            kept |= dict.fromkeys(onward)
+            digests.append(dimension.table)
+            known = "l_linenumber IS DISTINCT FROM 5" if dimension.key == "l_citykey" else "true"
+            found = [f"CASE WHEN {known} THEN coalesce({name}, {nothing}) ELSE {nothing} END AS {name}" for name, nothing in _nothing(own, dimension.table)]
+            earlier = [f"{table}_{n}" for table in digests[:-1] for n in (1, 2)]
+            df = joined.selectExpr(*kept, *earlier, *found)
+        whole = [", ".join([*(f"{table}_{n}" for table in digests), *(f"isnull({rule}), {rule}" for rule in mixed)]) for n in (1, 2)]
+        return df.selectExpr(f"xxhash64({whole[0]}) AS d1", f"xxhash64({whole[1]}) AS d2")
+
+    def order_ids(self) -> DataFrame:
+        """The order ids of all raw lines, as the tables spell them."""
+        return self._join(self._items(), ["order_key"], ())
 
     def raw_name(self, role: str) -> str:
         return STAR_SCHEMA.name(role)
