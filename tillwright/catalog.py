@@ -65,6 +65,7 @@ REPORTS: dict[str, Plan] = {
     "dq_types": quality.types,
     "dq_inferred_types": quality.inferred_types,
     "dq_unique": quality.cardinality,
+    "dq_unique_estimates": quality.estimates_checked,
     "dq_describe": quality.describe,
     "hist_amount": quality.amount_histogram,
     "hist_qty": quality.qty_histogram,

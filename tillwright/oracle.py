@@ -398,6 +398,8 @@ SELECT (SELECT count(*) FROM raw) AS n_rows, CAST(16 AS BIGINT) AS n_cols,
     "dq_inferred_types": _inferred_types(),
     "dq_unique": _raw(" UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique FROM raw""" for c, _ in _AUDITED)),
+    "dq_unique_estimates": _raw(" UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique, TRUE AS near FROM raw""" for c, _ in _AUDITED)),
     "dq_describe": f"""WITH {_RAW.strip()},{_numbers(False)}
 SELECT n."column", count(x) AS cnt, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, min(x) AS min,
   round(any_value(q1), 4) AS p25, round(any_value(q2), 4) AS p50, round(any_value(q3), 4) AS p75, max(x) AS max
