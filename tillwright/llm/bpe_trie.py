@@ -235,7 +235,11 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256.
+
+    Null and empty texts have no tokens and the digests of nothing; a null doc_id stays null, repeated rows
+    are repeated, other columns are left out, and an empty table gives no rows.
+    """
     return encode_documents(docs, path, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -188,7 +188,11 @@ def findings(docs: DataFrame, model: SecretModel) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: SecretModel) -> DataFrame:
-    """The documents with ``REDACTED`` in place of each secret and n_chars counted anew; no shuffle."""
+    """The documents with ``REDACTED`` in place of each secret and n_chars counted anew; no shuffle.
+
+    Null texts stay null and empty ones empty; rows without a secret and all other columns stay as they are,
+    repeated rows are repeated, and an empty table gives no rows.
+    """
     text = F.col("text").cast("string")
     secrets = F.filter(_scored(docs, model), lambda c: c["score"] >= SECRET_FROM)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
