@@ -64,11 +64,11 @@ def test_columns_without_a_schema(read):
     assert dict(lone.raw().dtypes)["unsigned_gap"] == NAMES[str(other["unsigned_gap"].dtype)] == "string"
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(3))
 def test_random_columns(read, seed):
     rng = random.Random(seed)
     values = ["", "NA", "0", "1", "-3", "12345678901", "2.5", "-1e3", "True", "FALSE", "x", " 7", "9223372036854775808"]
-    columns = {f"c{i}": rng.choices(rng.sample(values, 1 + i % 3), k=12) for i in range(25)}
+    columns = {f"c{i}": rng.choices(rng.sample(values, 1 + i % 3), k=12) for i in range(12)}
     # Whether huge whole numbers beside fractions are text depends on their order there; here they are numbers.
     # Beside missing values, the missing ones count as texts there.
     columns = {c: v for c, v in columns.items() if not ("9223372036854775808" in v and {"2.5", "-1e3", "", "NA"} & set(v))}
