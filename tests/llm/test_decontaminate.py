@@ -141,3 +141,24 @@ def test_scripts_without_spaces_are_cut_into_characters(spark, make_docs):
     assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (2, 1), (4, 2)}
     assert {r.doc_id: (r.start, r.end) for r in rows}[1] == (3, 3 + len(chinese))
     assert dc.words_of("東京tower 42、ﾄｳ") == ["東", "京", "tower", "42", "ﾄ", "ｳ"]
+
+
+def test_texts_are_searched_without_making_their_words(monkeypatch):
+    rng = random.Random(6)
+    texts = ["", "_", "İstanbul Straße é_é d’un ΟΣ á ก่", f"x {ITEM} été", f"{ITEM.upper()}—w1", "東京tower w1"]
+    texts += ["".join(rng.choice("ab_1 .\né’東่　") for _ in range(80)) for _ in range(200)]
+    items = dc.Items([(1, ITEM), *enumerate(texts[2:60], 10)])
+    want = [items.numbered(dc.words_of(t)).tolist() for t in texts]
+    seeds = dc.Seeds(items, dict.fromkeys(items.known.tolist(), 1))
+
+    def fail(text):
+        raise AssertionError(text)
+
+    for together in (1, 300, 300_000):
+        monkeypatch.setattr(dc, "TOGETHER", together)
+        monkeypatch.setattr(dc, "words_of", fail)
+        found = seeds.find_all([*texts, None])
+        assert [items.numbers_of(t).tolist() for t in texts] == want
+        assert [n for n, held in enumerate(found) if any(i == 1 for i, *_ in held)] == [3, 4]
+        monkeypatch.undo()
+        assert found == [seeds.find(t) for t in [*texts, None]] and all(any(i == n + 8 for i, *_ in found[n]) for n in range(3, 6))

@@ -13,7 +13,8 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,10 @@ BLOCK_WORDS = 1_000_000
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3105-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 CHARACTER = re.compile(f"[{UNSPACED}]")
 WORD, MIXED = re.compile(r"\w+"), re.compile(rf"(?=\w)[{UNSPACED}]|[^\W{UNSPACED}]+")
+#: ASCII characters of no word become spaces, so that what lies between is a word if it is ASCII too.
+SPACED = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+#: Characters of texts that are looked up together.
+TOGETHER = 300_000
 #: A line, or a sentence of one.
 PART = re.compile(r"[^\n\r.!?;:\u2026\u3002\uff01\uff1f\uff1b\uff1a]+")
 
@@ -85,16 +90,62 @@ class Items:
         split = [(i, w) for i, w in split if len(w) >= GRAM]
         self.ids = [i for i, _ in split]
         self.number = {w: n for n, w in enumerate(sorted({w for _, ws in split for w in ws}), 1)}
+        self.encoded = {w.encode(): n for w, n in self.number.items()}
         self.words = [np.array([self.number[w] for w in ws], np.int64) for _, ws in split]
         self.pairs = [self.codes(ws) for ws in self.words]
-        self.own = [np.unique(p[p >= 0]) for p in self.pairs]
-        self.known = np.unique(np.concatenate(self.own)) if split else np.zeros(0, np.int64)
+        own = [np.unique(p[p >= 0]) for p in self.pairs]
+        self.known = np.unique(np.concatenate(own)) if split else np.zeros(0, np.int64)
+        #: Places of each item's pairs among the known ones.
+        self.own = [np.searchsorted(self.known, codes) for codes in own]
 
     def numbered(self, words: list[str]) -> np.ndarray:
         """Numbers of a document's words; 0 for words that no item has."""
         get = self.number.get
         return np.array([get(w, 0) for w in words], np.int64)
 
+    def numbers_of(self, text: str) -> np.ndarray:
+        """The same from the text itself, for which its words need not be made."""
+        text = text.lower()
+        cut, pattern = text.encode().translate(SPACED).split(), _pattern(text)
+        # Where all other characters are letters or digits too, and none is a word by itself, the cuts are the words.
+        if text.isascii() or (pattern is WORD and b"".join(cut).replace(b"_", b"").decode().isalnum()):
+            return np.fromiter(map(self.encoded.get, cut, repeat(0)), np.int64, len(cut))
+        out: list[int] = []
+        for piece in cut:
+            known = self.encoded.get(piece)
+            if known is not None:
+                out.append(known)
+            elif piece.isascii():
+                out.append(0)
+            else:
+                out += [self.number.get(w, 0) for w in pattern.findall(piece.decode())]
+        return np.array(out, np.int64)
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Places of codes among the known ones; their number for any other."""
+        out = np.full(codes.shape, len(self.known), np.int64)
+        if len(self.known):
+            there = codes >= 0
+            own = codes[there]
+            at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+            out[there] = np.where(self.known[at] == own, at, len(self.known))
+        return out
+
+    def groups(self, texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts some at a time: the first one, where each begins and the last ends, word numbers and places of pairs.
+
+        Two words of number 0 end each text, so that no pair reaches into the next.
+        """
+        first = size = 0
+        for n, text in enumerate(texts):
+            size += len(text)
+            if size >= TOGETHER or n == len(texts) - 1:
+                numbers = [np.append(self.numbers_of(t), (0, 0)) for t in texts[first : n + 1]]
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
+                numbers = np.concatenate(numbers)
+                yield first, starts, numbers, self.places(self.codes(numbers))
+                first, size = n + 1, 0
+
     def codes(self, words: np.ndarray) -> np.ndarray:
         """Two rows: a number for each word with the next one, and with the one after; -1 for foreign words."""
         size = len(self.number) + 1
@@ -114,12 +165,29 @@ class Seeds:
         for n, pairs in enumerate(items.pairs):
             for code in _kept(pairs, documents_with, least_score(len(items.words[n])) - 3):
                 leads[code].append(n)
-        self.leads = dict(leads)
-        self.codes = np.array(sorted(leads), np.int64)
+        codes = np.array(sorted(leads), np.int64)
+        self.leads = dict(zip(np.searchsorted(items.known, codes).tolist(), (leads[c] for c in codes.tolist()), strict=True))
+        self.is_seed = np.zeros(len(items.known) + 1, bool)
+        self.is_seed[list(self.leads)] = True
+        self.marked = np.zeros(len(items.known) + 1, np.int64)
 
     def find(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
         """Per item that the text holds: id, share of the best score, first and last character + 1."""
-        return [*self._short(text), *self._long(text)]
+        return self.find_all([text])[0]
+
+    def find_all(self, texts: Sequence[str | None]) -> list[list[tuple[int | None, float, int, int]]]:
+        """The same for each of some texts."""
+        texts = [text or "" for text in texts]
+        found = [self._short(text) for text in texts]
+        for first, starts, numbers, places in self.items.groups(texts):
+            spots = np.flatnonzero(places.min(axis=0) < len(self.items.known))
+            places = places[:, spots]
+            bounds = np.searchsorted(spots, starts)
+            seeded = np.flatnonzero(self.is_seed[places].any(axis=0))
+            for n in np.unique(np.searchsorted(bounds, seeded, "right") - 1).tolist():
+                part, at = slice(bounds[n], bounds[n + 1]), starts[n]
+                found[first + n] += self._long(texts[first + n], numbers[at : starts[n + 1] - 2], places[:, part], spots[part] - at)
+        return found
 
     def _short(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
         """Items of one or two words, which a text holds where one is all of a line or sentence."""
@@ -131,19 +199,17 @@ class Seeds:
                 found[words] = part.start() + spans[0][0], part.start() + spans[-1][1]
         return [(i, 1.0, *span) for words, span in found.items() for i in self.items.short[words]]
 
-    def _long(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
-        numbers = self.items.numbered(words_of(text))
-        codes = self.items.codes(numbers)
-        spots = np.flatnonzero(codes.max(axis=0) >= 0)
-        codes = codes[:, spots]
-        seen = codes[_among(codes, self.codes)]
-        if not len(seen):
-            return []
+    def _long(self, text: str, numbers: np.ndarray, places: np.ndarray, spots: np.ndarray) -> list[tuple[int | None, float, int, int]]:
+        """Of a text's words, and the places of its pairs at some spots."""
+        seen = places[self.is_seed[places]]
         found = []
-        for n in sorted({n for code in np.unique(seen).tolist() for n in self.leads[code]}):
-            item = self.items.words[n]
+        for n in sorted({n for place in np.unique(seen).tolist() for n in self.leads[place]}):
+            item, own = self.items.words[n], self.items.own[n]
             least = least_score(len(item))
-            tops = [(*align(item, numbers[lo:hi]), lo) for lo, hi in _stretches(codes, spots, self.items.own[n], len(item), least)]
+            self.marked[own] = 1
+            weights = np.maximum(2 * self.marked[places[0]], self.marked[places[1]])
+            self.marked[own] = 0
+            tops = [(*align(item, numbers[lo:hi]), lo) for lo, hi in _stretches(weights, spots, len(item), least)]
             tops = [top for top in tops if top[0] >= least]
             if tops:
                 score, start, end = max(self._placed(item, numbers, *top) for top in tops)
@@ -180,20 +246,12 @@ def _kept(pairs: np.ndarray, documents_with: dict[int, int], spare: int) -> list
     return []
 
 
-def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(ordered, values)
-    return ordered[np.minimum(at, len(ordered) - 1)] == values
-
-
-def _stretches(codes: np.ndarray, spots: np.ndarray, own: np.ndarray, length: int, least: int) -> list[tuple[int, int]]:
-    """Word ranges with enough of an item's pairs to hold it, overlapping ones made one."""
-    weights = np.where(_among(codes[0], own), 2, _among(codes[1], own))
+def _stretches(weights: np.ndarray, spots: np.ndarray, length: int, least: int) -> list[tuple[int, int]]:
+    """Word ranges with enough of an item's pairs, by their weights, to hold it, overlapping ones made one."""
+    if weights.sum() < least - 2:
+        return []
     at = spots[weights > 0]
     sums = np.concatenate([[0], np.cumsum(weights[weights > 0])])
-    if sums[-1] < least - 2:
-        return []
     # Words that an alignment takes up: those of the item, and others at the cost of a gap each.
     reach = 2 * length - least // 2
     lasts = at[sums[1:] - sums[np.searchsorted(at, at - reach, "right")] >= least - 2]
@@ -213,9 +271,10 @@ def _seeds(docs: DataFrame, items: Items) -> Seeds:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = np.zeros(len(items.known), np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                codes = items.codes(items.numbered(words_of(text)))
-                totals[np.searchsorted(items.known, np.unique(codes[_among(codes, items.known)]))] += 1
+            for _, starts, _, places in items.groups(batch["text"].tolist()):
+                _, at = there = np.nonzero(places < len(items.known))
+                by_text = (np.searchsorted(starts, at, "right") - 1) * len(items.known) + places[there]
+                totals += np.bincount(np.unique(by_text) % max(len(items.known), 1), minlength=len(items.known))
         seen = np.flatnonzero(totals)
         yield pd.DataFrame({"pair": items.known[seen], "documents": totals[seen]})
 
@@ -245,7 +304,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def search(seeds: Seeds):
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = [(d, i, *rest) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, *rest in seeds.find(t)]
+                rows = [(d, *one) for d, held in zip(batch["doc_id"], seeds.find_all(batch["text"].tolist()), strict=True) for one in held]
                 found = pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "start", "end"])
                 yield found.astype({"doc_id": "object", "item_id": "Int64"})
 
@@ -262,7 +321,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _holds(seeds: Seeds, text: Column) -> Column:
     @pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: bool(seeds.find(t))).astype(bool)
+        return pd.Series([bool(held) for held in seeds.find_all(texts.tolist())], dtype=bool)
 
     return holds(text)
 
