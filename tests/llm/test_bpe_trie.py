@@ -3,8 +3,10 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from corpus_fixtures import make_docs, table  # noqa: F401
 from hypothesis import given, settings
@@ -78,6 +80,26 @@ def test_forgetting_words_changes_nothing(monkeypatch):
         assert packed == struct.pack(f"<{len(packed) // 4}I", *theirs(part[0]))
 
 
+def test_a_large_batch_is_not_made_strings_at_once():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 6))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(2_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    want, known = bpe_trie.encode_texts(OURS, texts, {}), 0
+    tracemalloc.start()
+    try:
+        for part in bpe_trie._encoded([batch], PATH, True):
+            n = part.num_rows
+            assert part.column("doc_id").to_pylist() == list(range(known, known + n))
+            assert part.column("ids").to_pylist() == want[known : known + n] and part.column("decoded").to_pylist() == texts[known : known + n]
+            known += n
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert known == len(texts) and sum(map(len, texts)) > 3_500_000
+    assert peak < 45_000_000  # made at once, the words alone take more
+
+
 def test_neighbours_stay_apart_as_merging_says():
     rng = random.Random(2)
     common = [t for t in range(256, 4000) if OURS.bytes_of[t] in OURS.standing] + [OURS.id_of[b"a"], OURS.id_of[b"aa"]]

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tillwright.llm.common import text_or_empty
 
 #: Characters handled at a time and words remembered by a task, so that memory is bounded.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 REMEMBERED_WORDS = 250_000
 #: Pairs of tokens whose neighbourhood is remembered.
 REMEMBERED_PAIRS = 300_000
@@ -198,6 +199,23 @@ def _slices(texts: Iterable[str]) -> Iterator[list[str]]:
         yield part
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], path: str, decoded: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id, ids and perhaps decoded, from batches of doc_id and text."""
+    vocab, known = vocabulary(path), {}
+    for batch in batches:
+        at = 0
+        # Of a batch's texts, only those of one slice are Python strings at a time.
+        for texts in _slices(text.as_py() for text in batch.column("text")):
+            ids = encode_texts(vocab, texts, known)
+            out = {"doc_id": batch.column("doc_id").slice(at, len(ids)), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                out["decoded"] = pa.array([vocab.decode(packed) for packed in ids], pa.string())
+            at += len(ids)
+            yield pa.RecordBatch.from_pydict(out)
+        # Workers outlive their tasks, and would keep the room that Arrow's batches took.
+        pa.default_memory_pool().release_unused()
+
+
 def encode_documents(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """Columns doc_id and ids, a row per document; null and empty texts have no ids.
 
@@ -205,21 +223,11 @@ def encode_documents(docs: DataFrame, path: str, decoded: bool = False) -> DataF
     holds the text decoded from them again.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, known = vocabulary(path), {}
-        for batch in batches:
-            at = 0
-            for texts in _slices(batch["text"]):
-                ids = encode_texts(vocab, texts, known)
-                out = {"doc_id": batch["doc_id"].iloc[at : at + len(ids)], "ids": ids}
-                if decoded:
-                    out["decoded"] = [vocab.decode(packed) for packed in ids]
-                at += len(ids)
-                yield pd.DataFrame(out)
-
-    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_or_empty().alias("text"))
-    found = rows.mapInPandas(encode, "doc_id string, ids binary" + ", decoded string" * decoded)
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _encoded(batches, path, decoded)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInArrow(encode, "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
