@@ -42,6 +42,21 @@ def test_odd_documents(spark, make_docs, pairs):
     assert docs.count() <= len(pairs)
 
 
+@pytest.mark.parametrize("name", ["simhash_near_dedup", "benchmark_decontamination", "bpe"])
+def test_python_gets_few_rows_at_a_time(spark, name):
+    spark.conf.unset(corpus_pipeline.BATCH_SETTING)
+    docs = spark.range(5_000).selectExpr("id AS doc_id", "concat('a text ', id) AS text", "'x' AS source").coalesce(1)
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        sizes = docs.mapInPandas(lambda batches: (batch.iloc[:1].assign(doc_id=len(batch)) for batch in batches), docs.schema)
+        assert [r.doc_id for r in sizes.collect()] == [1_000] * 5
+        spark.conf.set(corpus_pipeline.BATCH_SETTING, "10")
+        corpus_pipeline.bpe(spark, docs, SF)
+        assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == "10"
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH_SETTING)
+
+
 def test_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "bpe"]
     assert public_tokenizers.path(corpus_pipeline.VOCABULARY)
