@@ -106,3 +106,58 @@ def test_columns_of_any_name_stay(make_docs):
     got = sorted(map(tuple, clean.collect()), key=str)
     want = [(1, "write to [EMAIL] now"), (2, None), (2, None), (3, "")]
     assert [(r[0], r[1]) for r in got] == want and all(set(r[5:]) == {"x"} for r in got)
+
+
+def plain_added(docs):
+    """Words of whole documents that disclose an entity, counted in a loop: per document (kind, start, end)."""
+    texts = [t or "" for _, t in docs]
+    base = [[s.split(":") for s in plain_base(t)] for t in texts]
+    named = lambda t, k, a, b: (k, re.sub("[^0-9]", "", t[a:b]) if k in ("card", "phone") else t[a:b].lower())
+    entities = [{named(t, k, int(a), int(b)) for k, a, b in spans} for t, spans in zip(texts, base, strict=True)]
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]+", t)} for t in texts]
+    share = {}
+    for e in set().union(*entities):
+        with_entity = [n for n, found in enumerate(entities) if e in found]
+        for w in set().union(*(words[n] for n in with_entity)):
+            both, with_term = sum(w in words[n] for n in with_entity), sum(w in ws for ws in words)
+            if both >= pii.MIN_SHARED and len(with_entity) < len(texts):
+                value = math.log2(both * len(texts) / (len(with_entity) * with_term)) / math.log2(len(texts) / len(with_entity))
+                share[w] = max(share.get(w, 0), value)
+    kinds = {w: "remove" if s >= pii.REMOVE_FROM else "generalise" for w, s in share.items() if s >= pii.GENERALISE_FROM}
+    out = []
+    for t, spans in zip(texts, base, strict=True):
+        marks = [(kinds.get(m.group().lower()), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t)]
+        out.append([m for m in marks if m[0] and not any(m[1] < int(b) and m[2] > int(a) for _, a, b in spans)])
+    return out
+
+
+def test_words_of_whole_documents_are_marked_in_all_documents(make_docs):
+    """Words of any length, far from the entity, in documents without it, and more of them than are placed at a time."""
+    far = "word " * 400
+    docs = [(i, f"Al the astronomer {far} writes from jo@mail.example or +1 555 123 4567") for i in range(4)]
+    docs += [(9, f"the ASTRONOMER \U0001f600 {'zebra mail ' * 700} al rests"), (10, "jo al"), (10, "jo al"), (None, "jo; 10.0.0.1"), (None, None), (11, "")]
+    docs += [(20 + i, f"the cook writes from {far} here {'and al' if i < 1 else ''}") for i in range(40)]
+    rows = pii.personal_data(make_docs(docs), around=None).collect()
+    want = [",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted([(int(a), pii.ALL_KINDS.index(k), k, int(b)) for k, a, b in (s.split(":") for s in plain_base(t))] + [(a, pii.ALL_KINDS.index(k), k, b) for k, a, b in added])) for (_, t), added in zip(docs, plain_added(docs), strict=True)]
+    assert sorted((str(r.doc_id), r.spans) for r in rows) == sorted((str(i), w) for (i, _), w in zip(docs, want, strict=True))
+    clean = {r.doc_id: r.text for r in pii.sanitise(make_docs(docs), around=None).collect()}
+    assert "the [TERM] word" in clean[0] and clean[9].startswith("the [TERM] ") and "the cook writes" in clean[25] and clean[11] == ""
+
+
+def test_the_query_marks_words_of_whole_documents(spark, tmp_path, make_docs):
+    from tillwright.llm.catalog import QUERIES
+
+    docs = [(i, f"Zoe {'x ' * 100} jo@mail.example") for i in range(3)] + [(3, "Zoe knows"), *((i, "nobody here") for i in range(4, 30))]
+    make_docs(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.spans for r in QUERIES["op1_pii"](spark, str(tmp_path)).collect()}
+    assert rows[0].startswith("generalise:0:3,") and rows[3] == "generalise:0:3" and rows[5] == ""
+
+
+def test_words_that_touch_the_edge_or_the_entity_are_near(make_docs):
+    """Words that begin or end just where the entity does, or where the part looked at does, are whole."""
+    text = f"ab lions {'x' * 54}+1 555 123 4567quagga {'y' * 48} gnus end"
+    cut = f"a tigers {'v' * 54}+1 555 123 4568jackal {'w' * 48} okapi"
+    docs = [(i, [text, cut][i % 2]) for i in range(6)] + [(10 + i, "none of them") for i in range(30)]
+    rows = {r.doc_id: r.spans for r in pii.personal_data(make_docs(docs)).collect()}
+    got = [[t[int(a) : int(b)] for _, a, b in (s.split(":") for s in rows[i].split(","))] for i, t in enumerate((text, cut))]
+    assert got == [["lions", "x" * 54, "+1 555 123 4567", "quagga", "y" * 48, "gnus"], ["v" * 54, "+1 555 123 4568", "jackal", "w" * 48]]
