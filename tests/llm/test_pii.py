@@ -8,6 +8,7 @@ import pytest
 from corpus_fixtures import make_docs, table  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tillwright.llm import pii
 
@@ -161,3 +162,18 @@ def test_words_that_touch_the_edge_or_the_entity_are_near(make_docs):
     rows = {r.doc_id: r.spans for r in pii.personal_data(make_docs(docs)).collect()}
     got = [[t[int(a) : int(b)] for _, a, b in (s.split(":") for s in rows[i].split(","))] for i, t in enumerate((text, cut))]
     assert got == [["lions", "x" * 54, "+1 555 123 4567", "quagga", "y" * 48, "gnus"], ["v" * 54, "+1 555 123 4568", "jackal", "w" * 48]]
+
+
+def test_frequent_words_beside_many_entities_disclose_none(make_docs):
+    """Entities each of other documents, beside words that stand in all documents."""
+    docs = [(i, " ".join(f"u{(i + n) % 90}@mail.example" for n in range(40)) + " common words here") for i in range(90)]
+    docs += [(100 + i, "common words here") for i in range(30)]
+    docs += [(200 + i, "solo words jo@mail.example") for i in range(3)]
+    found = make_docs(docs).select("text", pii.base_spans(F.col("text")).alias("base"))
+    gathered = found.select("base", F.array_join(pii._words(F.col("text")), " ").alias("words"), F.monotonically_increasing_id().alias("row"))
+    got = {r.term: r.kind for r in pii.disclosing_terms(make_docs(docs), gathered).collect()}
+    assert got == {w: len(pii.KINDS) + 1 for w in ("solo", "jo")}
+    rows = {r.doc_id: r.spans for r in pii.personal_data(make_docs(docs), around=None).collect()}
+    want = dict(zip([i for i, _ in docs], plain_added(docs), strict=True))
+    for i, spans in rows.items():
+        assert [s for s in spans.split(",") if s[:5] in ("gener", "remov")] == [f"{k}:{a}:{b}" for k, a, b in want[i]]
