@@ -177,3 +177,12 @@ def test_frequent_words_beside_many_entities_disclose_none(make_docs):
     want = dict(zip([i for i, _ in docs], plain_added(docs), strict=True))
     for i, spans in rows.items():
         assert [s for s in spans.split(",") if s[:5] in ("gener", "remov")] == [f"{k}:{a}:{b}" for k, a, b in want[i]]
+
+
+def test_the_sieve_grows_with_its_terms(spark):
+    """All terms pass, however many they are, and next to no others."""
+    terms = spark.range(20_000).select(F.concat(F.lit("t"), "id").alias("term"))
+    others = spark.range(20_000).select(F.concat(F.lit("o"), "id").alias("term"))
+    sieve = F.broadcast(pii._sieve(terms))
+    passed = [df.crossJoin(sieve).where(pii._passes(F.col("sieve"), F.col("term"))).count() for df in (terms, others)]
+    assert passed[0] == 20_000 and passed[1] < 100
